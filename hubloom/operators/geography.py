@@ -8,9 +8,9 @@ from hubloom.config import NetworkConfig
 from hubloom.functions.geo import haversine_km
 from hubloom.sources.small import literal_table
 
-# Widths, in degrees, of the strips the exact median narrows down to. A state has at
-# most 36,000 strips of the first width, and a strip 1,000 of the second.
-MEDIAN_STRIPS = (1e-2, 1e-5)
+# Widths, in degrees, of the strips the exact median narrows down to: at most 360,000
+# per state, each about a hundred metres wide. Add finer widths for denser points.
+MEDIAN_STRIPS = (1e-3,)
 
 
 def _strip(value: Column, width: float) -> Column:

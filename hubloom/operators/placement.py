@@ -32,13 +32,12 @@ TIE_SHIFT = 1e-7
 TIGHT = 1e-11
 
 
-def _dot(left: Column, right: Column) -> Column:
-    return F.aggregate(F.zip_with(left, right, lambda a, b: a * b), F.lit(0.0),
-                       lambda total, term: total + term)
+def _dot(left: str, right: str) -> str:
+    return f"aggregate(zip_with({left}, {right}, (p, q) -> p * q), 0.0D, (acc, v) -> acc + v)"
 
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
+def _total(values: str) -> str:
+    return f"aggregate({values}, 0.0D, (acc, v) -> acc + v)"
 
 
 def network_row(distances: DataFrame, freight_line: DataFrame, flows: DataFrame,
@@ -69,58 +68,60 @@ def network_row(distances: DataFrame, freight_line: DataFrame, flows: DataFrame,
     return states.withColumn("peaks", peak_row.scalar())
 
 
-def _price_sets(states: Column, cost: str) -> Column:
-    """All candidate prices with the ties that define them.
+def _price_sets(cost: str) -> str:
+    """All candidate prices with the ties that define them, from the `states` array.
 
     Array of (price[3], ties), a tie being (child, parent, state): the indifferent
     state and the two hubs it ties. A child tied to another child comes first.
     """
-    def tie(child: int, parent: int, state: Column) -> Column:
-        return F.struct(F.lit(child).alias("child"), F.lit(parent).alias("parent"),
-                        state.cast("int").alias("state"))
-
-    def gap(s: Column, child: int, parent: int) -> Column:
-        return s[cost].getItem(parent) - s[cost].getItem(child)
-
-    def candidate(prices: dict[int, Column], *ties: Column) -> Column:
-        return F.struct(
-            F.array(*[prices.get(h, F.lit(0.0)) for h in range(3)]).alias("price"),
-            F.array(*ties).alias("ties"))
-
-    def one_tie(child: int, parent: int) -> Column:
-        return F.transform(states, lambda s, i: candidate(
-            {child: gap(s, child, parent)}, tie(child, parent, i)))
-
-    def star(root: int, first: int, second: int) -> Column:
-        return F.flatten(F.transform(states, lambda s, i: F.transform(states, lambda r, j: candidate(
-            {first: gap(s, first, root), second: gap(r, second, root)},
-            tie(first, root, i), tie(second, root, j)))))
-
-    def chain(root: int, middle: int, leaf: int) -> Column:
-        return F.flatten(F.transform(states, lambda s, i: F.transform(states, lambda r, j: candidate(
-            {middle: gap(s, middle, root), leaf: gap(s, middle, root) + gap(r, leaf, middle)},
-            tie(leaf, middle, j), tie(middle, root, i)))))
-
-    # the state argument only fixes the type of the empty array
-    no_tie = F.array(F.struct(
-        F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("price"),
-        F.filter(F.array(tie(0, 0, F.lit(0))), lambda t: F.lit(False)).alias("ties")))
+    def gap(state: str, child: int, parent: int) -> str:
+        return f"({state}.{cost}[{parent}] - {state}.{cost}[{child}])"
+
+    def tie(child: int, parent: int, state: str) -> str:
+        return f"named_struct('child', {child}, 'parent', {parent}, 'state', {state})"
+
+    def candidate(prices: dict[int, str], *ties: str) -> str:
+        price = ", ".join(prices.get(h, "0.0D") for h in range(3))
+        return f"named_struct('price', array({price}), 'ties', array({', '.join(ties)}))"
+
+    def for_each_state(body: str) -> str:
+        return f"transform(states, (s, i) -> {body})"
+
+    def for_each_pair(body: str) -> str:
+        return f"flatten(transform(states, (s, i) -> transform(states, (r, j) -> {body})))"
+
+    def one_tie(child: int, parent: int) -> str:
+        return for_each_state(candidate({child: gap("s", child, parent)}, tie(child, parent, "i")))
+
+    def star(root: int, first: int, second: int) -> str:
+        return for_each_pair(candidate(
+            {first: gap("s", first, root), second: gap("r", second, root)},
+            tie(first, root, "i"), tie(second, root, "j")))
+
+    def chain(root: int, middle: int, leaf: int) -> str:
+        return for_each_pair(candidate(
+            {middle: gap("s", middle, root),
+             leaf: f"{gap('s', middle, root)} + {gap('r', leaf, middle)}"},
+            tie(leaf, middle, "j"), tie(middle, root, "i")))
+
+    no_tie = ("array(named_struct('price', array(0.0D, 0.0D, 0.0D), 'ties', "
+              f"filter(array({tie(0, 0, '0')}), t -> false)))")
     trees = [one_tie(child, parent) for child, parent in permutations(range(3), 2)]
     trees += [star(r, *[h for h in range(3) if h != r]) for r in range(3)]
     trees += [chain(*order) for order in permutations(range(3))]
-    return F.filter(F.concat(no_tie, *trees),
-                    lambda c: F.forall(c["price"], lambda p: p >= F.lit(0.0)))
+    return f"filter(concat({', '.join([no_tie, *trees])}), c -> forall(c.price, p -> p >= 0.0D))"
 
 
 def with_prices(network: DataFrame) -> DataFrame:
     """Add `prices`: array of (price[3], floor), floor being min cost + price by state."""
-    distinct = F.array_distinct(F.transform(_price_sets(F.col("states"), "cost"),
-                                            lambda c: c["price"]))
-    return (network.withColumn("candidate", distinct)
-            .withColumn("prices", F.transform("candidate", lambda p: F.struct(
-                p.alias("price"),
-                F.transform(F.col("states"), lambda s: F.array_min(
-                    F.zip_with(s["cost"], p, lambda c, q: c + q))).alias("floor"))))
+    return (network
+            .withColumn("candidate", F.expr(
+                f"array_distinct(transform({_price_sets('cost')}, c -> c.price))"))
+            .withColumn("prices", F.expr("""
+                transform(candidate, price -> named_struct(
+                    'price', price,
+                    'floor', transform(states, s ->
+                        array_min(zip_with(s.cost, price, (c, q) -> c + q)))))"""))
             .drop("candidate"))
 
 
@@ -129,27 +130,19 @@ def with_bases(network: DataFrame) -> DataFrame:
 
     array of (price[3], ties, floor by state, hub index by state), on tie-free costs.
     """
-    def floored(c: Column) -> Column:
-        loaded = F.transform(F.col("states"), lambda s: F.zip_with(
-            s["tight_cost"], c["price"], lambda k, q: k + q))
-        return F.struct(
-            c["price"].alias("price"), c["ties"].alias("ties"),
-            F.transform(loaded, lambda v: F.array_min(v)).alias("floor"),
-            F.transform(loaded, lambda v: (F.array_position(v, F.array_min(v)) - 1).cast("int"))
-            .alias("hub"),
-            loaded.alias("loaded"))
-
-    def holds(b: Column) -> Column:
-        def slack(t: Column, end: str) -> Column:
-            return (F.get(F.get(b["loaded"], t["state"]), t[end]) - F.get(b["floor"], t["state"]))
-
-        return F.forall(b["ties"], lambda t: (slack(t, "child") < TIGHT) & (slack(t, "parent") < TIGHT))
-
-    return (network.withColumn("candidate", F.transform(
-                _price_sets(F.col("states"), "tight_cost"), floored))
-            .withColumn("bases", F.transform(F.filter("candidate", holds), lambda b: F.struct(
-                b["price"].alias("price"), b["ties"].alias("ties"),
-                b["floor"].alias("floor"), b["hub"].alias("hub"))))
+    slack = "c.loaded[t.state][t.{0}] - array_min(c.loaded[t.state])"
+    holds = f"({slack.format('child')}) < {TIGHT}D AND ({slack.format('parent')}) < {TIGHT}D"
+    return (network
+            .withColumn("candidate", F.expr(f"""
+                transform({_price_sets('tight_cost')}, c -> named_struct(
+                    'price', c.price, 'ties', c.ties,
+                    'loaded', transform(states, s ->
+                        zip_with(s.tight_cost, c.price, (k, q) -> k + q))))"""))
+            .withColumn("bases", F.expr(f"""
+                transform(filter(candidate, c -> forall(c.ties, t -> {holds})), c -> named_struct(
+                    'price', c.price, 'ties', c.ties,
+                    'floor', transform(c.loaded, v -> array_min(v)),
+                    'hub', transform(c.loaded, v -> int(array_position(v, array_min(v)) - 1))))"""))
             .drop("candidate"))
 
 
@@ -177,18 +170,16 @@ def attach_network(plans: DataFrame, network: DataFrame) -> DataFrame:
     """
     net = network.select(F.struct("*").alias("net")).scalar()
     attached = plans.withColumn("net", net)
-    by_state = F.transform(F.col("net.states"), lambda s: F.aggregate(
-        F.filter("cells", lambda c: c["customer_state"] == s["customer_state"]),
-        F.lit(0.0), lambda total, c: total + c["demand"]))
-    served = F.transform(
-        F.filter("net.states", lambda s: s["policy"].isNotNull()), lambda s: s["customer_state"])
-    stranded = F.filter("cells", lambda c: (c["demand"] > 0)
-                        & ~F.array_contains(served, c["customer_state"]))
-    checked = F.when(
-        F.size(stranded) > 0,
-        F.raise_error(F.concat(F.lit("no flow or distance for state "),
-                               stranded.getItem(0)["customer_state"]))).otherwise(by_state)
-    return attached.withColumn("demand", checked)
+    stranded = F.expr("""
+        filter(cells, c -> c.demand > 0 AND NOT exists(net.states,
+            s -> s.customer_state = c.customer_state AND s.policy IS NOT NULL))""")
+    by_state = F.expr("""
+        transform(net.states, s -> aggregate(
+            filter(cells, c -> c.customer_state = s.customer_state),
+            0.0D, (total, c) -> total + c.demand))""")
+    message = F.concat(F.lit("no flow or distance for state "), stranded[0]["customer_state"])
+    return attached.withColumn(
+        "demand", F.when(F.size(stranded) > 0, F.raise_error(message)).otherwise(by_state))
 
 
 def capacity_columns(plans: DataFrame, multipliers: Column) -> DataFrame:
@@ -196,32 +187,27 @@ def capacity_columns(plans: DataFrame, multipliers: Column) -> DataFrame:
     return plans.withColumn("caps", F.zip_with("net.peaks", multipliers, lambda p, m: p * m))
 
 
-def evaluate_plans(plans: DataFrame, config: NetworkConfig) -> DataFrame:
+def evaluate_plans(plans: DataFrame) -> DataFrame:
     """Current-policy cost, cheapest cost, saving, feasibility and policy breach.
 
     `plans` carries net (with prices), demand, caps and holding.
     """
-    states, demand, caps, holding = (F.col(c) for c in ("net.states", "demand", "caps", "holding"))
-
-    def weighted(per_unit) -> Column:
-        return F.aggregate(
-            F.zip_with(states, demand, lambda s, d: F.when(d > 0, d * per_unit(s)).otherwise(0.0)),
-            F.lit(0.0), lambda total, v: total + v)
+    def over_states(per_unit: str) -> str:
+        return _total(f"zip_with(net.states, demand, (s, d) -> if(d > 0, d * {per_unit}, 0.0D))")
 
-    loads = F.array(*[weighted(lambda s, h=h: s["policy"].getItem(h)) for h in range(3)])
-    shipping = weighted(lambda s: _dot(s["policy"], s["cost"]))
-    dual = F.array_max(F.transform("net.prices", lambda c: _dot(demand, c["floor"])
-                                   - _dot(c["price"], caps)))
+    loads = ", ".join(over_states(f"s.policy[{h}]") for h in range(3))
+    shipping = over_states(f"({_dot('s.policy', 's.cost')})")
+    dual = (f"array_max(transform(net.prices, c -> {_dot('demand', 'c.floor')}"
+            f" - {_dot('c.price', 'caps')}))")
     return (plans
-            .withColumn("units", _total(demand))
-            .withColumn("feasible", F.col("units") <= _total(caps))
-            .withColumn("policy_loads", loads)
-            .withColumn("policy_cost", shipping + holding * _total(F.col("policy_loads")))
-            .withColumn("optimised_cost", F.when(
-                F.col("feasible"), dual + holding * F.col("units")))
+            .withColumn("units", F.expr(_total("demand")))
+            .withColumn("feasible", F.expr(f"units <= {_total('caps')}"))
+            .withColumn("policy_loads", F.expr(f"array({loads})"))
+            .withColumn("policy_cost", F.expr(f"{shipping} + holding * {_total('policy_loads')}"))
+            .withColumn("optimised_cost", F.expr(f"if(feasible, {dual} + holding * units, NULL)"))
             .withColumn("saving_pct", saving_pct(F.col("policy_cost"), F.col("optimised_cost")))
-            .withColumn("policy_capacity_breach", F.exists(
-                F.zip_with("policy_loads", caps, lambda load, cap: load > cap), lambda b: b)))
+            .withColumn("policy_capacity_breach", F.expr(
+                "exists(zip_with(policy_loads, caps, (load, cap) -> load > cap), b -> b)")))
 
 
 def place_units(plans: DataFrame, keys: list[str], config: NetworkConfig) -> DataFrame:
@@ -232,67 +218,62 @@ def place_units(plans: DataFrame, keys: list[str], config: NetworkConfig) -> Dat
     each tied hub is filled up by its tied state, whose rest goes to the parent hub.
     A state's units are split over its groups in proportion to their demand.
     """
-    demand, caps = F.col("demand"), F.col("caps")
-    best = F.array_max(F.transform("net.bases", lambda b: F.struct(
-        (_dot(demand, b["floor"]) - _dot(b["price"], caps)).alias("value"),
-        b["hub"].alias("hub"), b["ties"].alias("ties"))))
-    feasible = plans.where(_total(demand) <= _total(caps))
-    chosen = (feasible.withColumn("best", best)
-              .withColumn("hub_of", F.col("best.hub"))
-              .withColumn("first", F.get("best.ties", F.lit(0)))
-              .withColumn("second", F.get("best.ties", F.lit(1)))
-              .withColumn("tied", F.transform("best.ties", lambda t: t["state"])))
-
-    def base(hub: Column) -> Column:
-        kept = F.zip_with(
-            F.transform(demand, lambda d, i: F.when(
-                F.array_contains(F.col("tied"), i), 0.0).otherwise(d)),
-            F.col("hub_of"), lambda d, h: F.when(h == hub, d).otherwise(0.0))
-        return _total(kept)
-
-    # filling the leaf first fixes what its state passes on to the parent
-    d1, d2 = F.get(demand, F.col("first.state")), F.get(demand, F.col("second.state"))
-    same = F.col("first.state") == F.col("second.state")
+    best = (f"array_max(transform(net.bases, b -> named_struct('value', "
+            f"{_dot('demand', 'b.floor')} - {_dot('b.price', 'caps')}, 'hub', b.hub, 'ties', b.ties)))")
+    chosen = (plans.where(F.expr(f"{_total('demand')} <= {_total('caps')}"))
+              .withColumn("best", F.expr(best))
+              .select(*keys, "cells", "caps", "demand",
+                      F.col("best.hub").alias("hub_of"), F.col("best.ties").alias("ties"),
+                      F.expr("net.states.customer_state").alias("states")))
+
+    # room of each hub once the states that are not tied have gone to it
+    room = ", ".join(f"""caps[{h}] - aggregate(
+        zip_with(demand, hub_of, (d, k) -> if(k = {h}, d, 0.0D)), 0.0D, (acc, v) -> acc + v)
+        + aggregate(ties_by_state, 0.0D, (acc, i) -> acc + if(hub_of[i] = {h}, demand[i], 0.0D))"""
+                     for h in range(3))
+    chosen = (chosen
+              .withColumn("ties_by_state", F.expr("array_distinct(transform(ties, t -> t.state))"))
+              .withColumn("room", F.expr(f"array({room})")))
+
+    # A tied state fills the child hub; the rest goes up. Filling the leaf first fixes
+    # what reaches the hub above it. When one state is tied twice, its rest after both
+    # children goes to the root, which is the second tie's parent.
     chosen = (chosen
-              .withColumn("x1", F.get(caps, F.col("first.child")) - base(F.col("first.child")))
-              .withColumn("rest1", d1 - F.col("x1"))
-              .withColumn("x2", F.get(caps, F.col("second.child")) - base(F.col("second.child"))
-                          - F.when((F.col("first.parent") == F.col("second.child")) & ~same,
-                                   F.col("rest1")).otherwise(0.0))
-              .withColumn("rest2", d2 - F.col("x2") - F.when(same, F.col("x1")).otherwise(0.0)))
-
-    def move(tie: str, end: str, units: Column) -> Column:
-        return F.struct(F.col(f"{tie}.state").alias("state"),
-                        F.col(f"{tie}.{end}").alias("hub"), units.alias("units"))
-
-    moves = F.filter(F.array(
-        move("first", "child", F.col("x1")),
-        # when both ties share the state, only the second one has a rest for the root
-        move("first", "parent", F.when(F.coalesce(same, F.lit(False)), 0.0).otherwise(F.col("rest1"))),
-        move("second", "child", F.col("x2")),
-        move("second", "parent", F.col("rest2"))), lambda m: m["state"].isNotNull())
-
-    def placed(i: Column, h: int) -> Column:
-        from_ties = F.aggregate(
-            F.filter("moves", lambda m: (m["state"] == i) & (m["hub"] == h)),
-            F.lit(0.0), lambda total, m: total + m["units"])
-        whole = F.when(F.get("hub_of", i) == h, F.get(demand, i)).otherwise(0.0)
-        return F.when(F.array_contains("tied", i), from_ties).otherwise(whole)
-
-    hubs = F.array(*[F.lit(h) for h in config.hubs])
-    by_state = (chosen.withColumn("moves", moves)
-                .withColumn("state_units", F.transform("net.states", lambda s, i: F.struct(
-                    s["customer_state"].alias("customer_state"),
-                    F.get(demand, i).alias("state_demand"),
-                    F.array(*[placed(i, h) for h in range(3)]).alias("placed"))))
-                .select(*keys, "cells", F.explode("state_units").alias("s")))
-    by_cell = by_state.select(*keys, "s", F.explode(F.filter(
-        "cells", lambda c: c["customer_state"] == F.col("s.customer_state"))).alias("c"))
-    share = F.when(F.col("s.state_demand") > 0, F.col("c.demand") / F.col("s.state_demand")).otherwise(0.0)
-    return (by_cell.withColumn("share", share)
-            .select(*keys, F.col("c.customer_state").alias("customer_state"),
-                    F.col("c.product_group").alias("product_group"), "share",
-                    F.inline(F.arrays_zip(hubs.alias("hub"), F.col("s.placed").alias("placed"))))
+              .withColumn("first", F.get("ties", F.lit(0)))
+              .withColumn("second", F.get("ties", F.lit(1)))
+              .withColumn("same", F.expr("coalesce(first.state = second.state, false)"))
+              .withColumn("x1", F.expr("get(room, first.child)"))
+              .withColumn("rest1", F.expr("if(same, 0.0D, get(demand, first.state) - x1)"))
+              .withColumn("x2", F.expr("""get(room, second.child)
+                  - if(first.parent = second.child, rest1, 0.0D)"""))
+              .withColumn("rest2", F.expr(
+                  "get(demand, second.state) - x2 - if(same, x1, 0.0D)"))
+              .withColumn("moves", F.expr("""filter(array(
+                  named_struct('state', first.state, 'hub', first.child, 'units', x1),
+                  named_struct('state', first.state, 'hub', first.parent, 'units', rest1),
+                  named_struct('state', second.state, 'hub', second.child, 'units', x2),
+                  named_struct('state', second.state, 'hub', second.parent, 'units', rest2)),
+                  m -> m.state IS NOT NULL)""")))
+
+    by_state = chosen.select(*keys, "cells", F.posexplode("states").alias("i", "customer_state"),
+                             "demand", "hub_of", "ties_by_state", "moves")
+    whole = "if(hub_of[i] = {0}, demand[i], 0.0D)"
+    split = """aggregate(filter(moves, m -> m.state = i AND m.hub = {0}),
+               0.0D, (acc, m) -> acc + m.units)"""
+    placed = ", ".join(
+        f"if(array_contains(ties_by_state, i), {split.format(h)}, {whole.format(h)})"
+        for h in range(3))
+    by_cell = (by_state
+               .select(*keys, "customer_state", F.expr("demand[i]").alias("state_demand"),
+                       F.expr(f"array({placed})").alias("placed"),
+                       F.explode(F.expr("filter(cells, c -> c.customer_state = customer_state)"))
+                       .alias("cell")))
+    hubs = ", ".join(f"named_struct('hub', '{hub}', 'placed', placed[{h}])"
+                     for h, hub in enumerate(config.hubs))
+    return (by_cell
+            .select(*keys, "customer_state", F.col("cell.product_group").alias("product_group"),
+                    F.expr("if(state_demand > 0, cell.demand / state_demand, 0.0D)").alias("share"),
+                    F.expr(f"inline(array({hubs}))"))
             .select(*keys, "customer_state", "product_group", "hub",
                     (F.col("placed") * F.col("share")).alias("units")))
 

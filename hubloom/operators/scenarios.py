@@ -51,7 +51,7 @@ def evaluate_scenarios(scenarios: DataFrame, network: DataFrame, config: Network
     plans = attach_network(plan_rows(scenarios, ["scenario"]), network)
     plans = capacity_columns(plans, _uniform(F.lit(config.capacity_headroom)))
     plans = plans.withColumn("holding", F.lit(config.holding_cost))
-    return evaluate_plans(plans, config).select("scenario", *RESULT)
+    return evaluate_plans(plans).select("scenario", *RESULT)
 
 
 def saving_summary(results: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def sweep_plans(plan: DataFrame, network: DataFrame, config: NetworkConfig) -> D
 
 
 def capacity_sensitivity(plan: DataFrame, network: DataFrame, config: NetworkConfig) -> DataFrame:
-    return evaluate_plans(sweep_plans(plan, network, config), config).select(
+    return evaluate_plans(sweep_plans(plan, network, config)).select(
         "regional_capacity_frac", "optimised_cost", "saving_pct")
 
 
@@ -142,6 +142,6 @@ def whatif_plans(assumptions: DataFrame, plan: DataFrame, network: DataFrame,
 def whatif(assumptions: DataFrame, plan: DataFrame, network: DataFrame,
            config: NetworkConfig) -> DataFrame:
     """Costs and saving per assumption; an infeasible one is a flagged row."""
-    evaluated = evaluate_plans(whatif_plans(assumptions, plan, network, config), config)
+    evaluated = evaluate_plans(whatif_plans(assumptions, plan, network, config))
     return evaluated.select("capacity_headroom", "holding_cost", "feasible",
                             "policy_cost", "optimised_cost", "saving_pct")

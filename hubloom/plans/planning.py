@@ -47,7 +47,7 @@ class Planning:
     # geography
     @cached_property
     def centroids(self) -> DataFrame:
-        return geography.state_centroids(self.raw.geolocation)
+        return materialise(geography.state_centroids(self.raw.geolocation))
 
     @cached_property
     def hub_centroids(self) -> DataFrame:
@@ -140,11 +140,11 @@ class Planning:
 
     @cached_property
     def priced_network(self) -> DataFrame:
-        return placement.with_prices(self.network)
+        return materialise(placement.with_prices(self.network))
 
     @cached_property
     def based_network(self) -> DataFrame:
-        return placement.with_bases(self.network)
+        return materialise(placement.with_bases(self.network))
 
     def base_plan(self, network: DataFrame) -> DataFrame:
         """The planning-week demand as one plan with the default assumptions."""
@@ -154,7 +154,7 @@ class Planning:
 
     @cached_property
     def plan_result(self) -> DataFrame:
-        return placement.evaluate_plans(self.base_plan(self.priced_network), self.config).select(
+        return placement.evaluate_plans(self.base_plan(self.priced_network)).select(
             "feasible", "units", *scenarios.RESULT)
 
     @cached_property
