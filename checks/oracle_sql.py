@@ -20,6 +20,33 @@ GROUPS = ["beauty_health", "home", "other", "tech"]
 HEADROOMS = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0]
 HOLDINGS = [0.0, 1.0, 5.0, 50.0]
 
+
+
+def hub_loads(key: str, plans: str) -> str:
+    """Load of each hub in plans that have an optimal price: a priced hub is full, an
+    unpriced one takes the states it is strictly cheapest for, and the rest goes to the
+    unpriced hub that shares a state with another hub."""
+    loaded = [f"c{i} + q{i}" for i in range(3)]
+    lowest = f"least({', '.join(loaded)})"
+    ties = [f"({c} <= {lowest} + 1e-9::DOUBLE)" for c in loaded]
+    shared = f"({' + '.join(f'{t}::INT' for t in ties)} > 1)"
+    per_plan = ", ".join(
+        f"coalesce(sum(demand) FILTER (WHERE {t} AND NOT {shared}), 0) AS strict{i}, "
+        f"bool_or({t} AND {shared}) AND any_value(q{i}) = 0 AS open{i}"
+        for i, t in enumerate(ties))
+    closed = ", ".join(
+        f"CASE WHEN open{i} THEN NULL WHEN q{i} > 0 THEN cap{i} ELSE strict{i} END AS closed{i}"
+        for i in range(3))
+    rest = "units - " + " - ".join(f"coalesce(closed{i}, 0)" for i in range(3))
+    return " UNION ALL ".join(
+        f"SELECT {key}, '{hub}' AS hub, coalesce(closed{i}, {rest}) AS units FROM ("
+        f"SELECT {key}, units, {closed} FROM ("
+        f"SELECT {key}, sum(demand) AS units, {', '.join(f'any_value(q{j}) AS q{j}, any_value(cap{j}) AS cap{j}' for j in range(3))}, "
+        f"{per_plan} FROM {plans} JOIN prices USING (price_id) CROSS JOIN wide_costs "
+        f"JOIN state_plan USING (customer_state) GROUP BY {key}))"
+        for i, hub in enumerate(HUBS))
+
+
 STEPS: dict[str, str] = {
     # geography
     "points": """
@@ -221,6 +248,24 @@ STEPS: dict[str, str] = {
                       JOIN floors USING (customer_state), assumptions, wide_peaks
                     GROUP BY headroom, holding, price_id)
               GROUP BY headroom, holding), wide_peaks""",
+    "sweep_units": """
+        SELECT frac, k0 * m0 AS cap0, k1 * m1 AS cap1, k2 * m2 AS cap2, price_id FROM (
+          SELECT frac, arg_max(price_id, value) AS price_id FROM (
+            SELECT frac, price_id, sum(demand * floor_cost)
+                     - any_value(q0 * k0 * m0 + q1 * k1 * m1 + q2 * k2 * m2) AS value
+            FROM state_plan JOIN floors USING (customer_state), sweep, wide_peaks
+            GROUP BY frac, price_id) GROUP BY frac) JOIN sweep USING (frac), wide_peaks""",
+    "sweep_loads": hub_loads("frac", "sweep_units"),
+    "whatif_units": """
+        SELECT headroom, headroom * k0 AS cap0, headroom * k1 AS cap1, headroom * k2 AS cap2, price_id FROM (
+          SELECT headroom, arg_max(price_id, value) AS price_id FROM (
+            SELECT headroom, price_id, sum(demand) AS units, sum(demand * floor_cost)
+                     - headroom * any_value(q0 * k0 + q1 * k1 + q2 * k2) AS value
+            FROM state_plan JOIN floors USING (customer_state),
+                 (SELECT DISTINCT headroom FROM assumptions), wide_peaks
+            GROUP BY headroom, price_id
+            HAVING sum(demand) <= headroom * any_value(k0 + k1 + k2)) GROUP BY headroom), wide_peaks""",
+    "whatif_loads": hub_loads("headroom", "whatif_units"),
     "cheapest": """
         SELECT customer_state, arg_min(hub, (unit_cost, hub)) AS hub
         FROM costs GROUP BY customer_state""",
@@ -365,6 +410,11 @@ ORACLES: dict[str, str] = {
         SELECT {r('frac')} AS regional_capacity_frac, {r('units')} AS units,
                {r(r('optimised_cost', 3))} AS placement_cost, true AS non_negative
         FROM sweep_table""",
+    "sweep_hub_units":
+        f"SELECT {r('frac')} AS regional_capacity_frac, hub, {r(r('units', 3))} AS units FROM sweep_loads",
+    "whatif_hub_units": f"""
+        SELECT headroom AS capacity_headroom, holding AS holding_cost, hub, {r(r('units', 3))} AS units
+        FROM whatif_loads JOIN assumptions USING (headroom)""",
     "whatif_grid": f"""
         SELECT headroom AS capacity_headroom, holding AS holding_cost, feasible,
                {r('policy_cost')} AS policy_cost, {r('optimised_cost')} AS optimised_cost,

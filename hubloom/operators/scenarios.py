@@ -72,10 +72,10 @@ def saving_histogram(results: DataFrame, config: NetworkConfig) -> DataFrame:
     When all savings are equal the bins span one unit around them.
     """
     bins = config.saving_bins
-    span = results.agg(F.min("saving_pct").alias("lo"), F.max("saving_pct").alias("hi")).select(
-        F.when(F.col("lo") == F.col("hi"), F.struct(F.col("lo") - 0.5, F.col("hi") + 0.5))
-        .otherwise(F.struct("lo", "hi")).alias("span")).select(
-        F.struct(F.col("span.col1").alias("lo"), F.col("span.col2").alias("hi")).alias("span"))
+    span = results.agg(F.min("saving_pct").alias("lo"), F.max("saving_pct").alias("hi"))
+    pad = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
+    span = span.select(F.struct((F.col("lo") - pad).alias("lo"),
+                                (F.col("hi") + pad).alias("hi")).alias("span"))
     position = (F.col("saving_pct") - F.col("span.lo")) / (F.col("span.hi") - F.col("span.lo"))
     counted = (results.where(F.col("saving_pct").isNotNull())
                .withColumn("span", span.scalar())

@@ -288,7 +288,7 @@ def scenario_saving_summary(p: Planning) -> DataFrame:
 
 @full
 def scenario_saving_histogram(p: Planning) -> DataFrame:
-    return scenarios.saving_histogram(p.scenario_results, p.config)
+    return scenarios.saving_histogram(p.scenario_table, p.config)
 
 
 @full
@@ -315,7 +315,7 @@ def sweep_placement_checks(p: Planning) -> DataFrame:
 @full
 def sweep_hub_units(p: Planning) -> DataFrame:
     """Units per hub along the capacity sweep."""
-    return placement.placement_by_hub(p.sweep_placement, ["regional_capacity_frac"])
+    return rounded(placement.placement_by_hub(p.sweep_placement, ["regional_capacity_frac"]), 3)
 
 
 def _assumptions(p: Planning) -> DataFrame:
@@ -334,7 +334,7 @@ def whatif_summary(p: Planning) -> DataFrame:
 
 @full
 def whatif_hub_units(p: Planning) -> DataFrame:
-    return p.whatif_units(_assumptions(p))
+    return rounded(p.whatif_units(_assumptions(p)), 3)
 
 
 # reports

@@ -25,9 +25,11 @@ class Planning:
     `freight_rule` completes item freight from the distances, for sources without a
     freight column; `freight=False` leaves the step out where freight is not used.
 
-    Only two tables are written to the checkpoint folder, both bounded by the network
-    configuration: the distances and the weekly lane summary. The raw tables are read
-    once for each of them.
+    Tables that several later stages read are written to the checkpoint folder once:
+    centroids, distances, the weekly lane summary and the network row, all bounded by
+    the network configuration, and, where used, the routing profile and the scenario
+    results. So the raw items are read once per query, and a lost executor never sends
+    a later stage back to them.
     """
 
     def __init__(self, raw: RawTables, config: NetworkConfig, *, models: bool = False,
@@ -170,6 +172,11 @@ class Planning:
     def scenario_results(self) -> DataFrame:
         return scenarios.evaluate_scenarios(self.scenario_demand, self.priced_network, self.config)
 
+    @cached_property
+    def scenario_table(self) -> DataFrame:
+        """The scenario results written once, for the summaries that read them repeatedly."""
+        return materialise(self.scenario_results)
+
     @cached_property
     def capacity_sensitivity(self) -> DataFrame:
         return scenarios.capacity_sensitivity(self.plan, self.priced_network, self.config)
