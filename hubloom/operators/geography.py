@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hubloom.config import NetworkConfig
 from hubloom.functions.geo import haversine_km
@@ -13,70 +13,57 @@ from hubloom.sources.small import literal_table
 MEDIAN_STRIPS = (1e-3,)
 
 
-def _strip(value: Column, width: float) -> Column:
-    return F.floor(value / F.lit(width))
-
-
-def exact_median(points: DataFrame, keys: list[str], value: str,
-                 strips: tuple[float, ...] = MEDIAN_STRIPS) -> DataFrame:
-    """Exact interpolated median of `value` per `keys`, for groups of any size.
+def exact_medians(points: DataFrame, key: str, values: list[str],
+                  strips: tuple[float, ...] = MEDIAN_STRIPS) -> DataFrame:
+    """Exact interpolated median of each of `values` per `key`, for groups of any size.
 
     `percentile` keeps every distinct value of a group in one task. Here each round
     counts rows per strip of the value range (a small table after map-side
     aggregation), finds the strips that hold the two middle ranks by a running
     count, and goes on with the rows of those strips only. Repeats of one value
-    collapse into a count before they are shuffled.
+    collapse into a count before they are shuffled. Nulls and NaNs are left out.
+    """
+    axes = ", ".join(f"struct('{v}' AS axis, {v} AS value)" for v in values)
+    rows = (points.selectExpr(f"{key} AS key", f"inline(array({axes}))")
+            .where("key IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)"))
+    # `before` counts the rows ahead of a strip, and so tells the strips of a key apart
+    strip = ["key", "axis"]
+    for level, width in enumerate(strips):
+        rows = rows.withColumn("slot", F.floor(F.col("value") / F.lit(width)))
+        targets = _middle(rows, strip, level > 0).select(
+            *strip, "slot", "first", *(["lower", "upper"] if level == 0 else []))
+        # two middle ranks: at most two strips per key and axis
+        rows = (rows.join(F.broadcast(targets), [*strip, "slot"])
+                .drop("slot", "before").withColumnRenamed("first", "before"))
+        strip = ["key", "axis", "before"]
+    middle = _middle(rows.withColumnRenamed("value", "slot"), strip, bool(strips))
+    hits = "(int(lower BETWEEN first AND last) + int(upper BETWEEN first AND last))"
+    return middle.groupBy(F.col("key").alias(key)).agg(*[
+        F.expr(f"sum(if(axis = '{v}', slot * {hits}, NULL)) / 2.0D").alias(v) for v in values])
+
+
+def _middle(rows: DataFrame, strip: list[str], narrowed: bool) -> DataFrame:
+    """The slots that hold one of the middle ranks, with the ranks they cover.
+
+    The counts are partitioned by key alone, which serves the windows here and the
+    aggregation by key that follows.
     """
-    rows = points.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, value)
-    whole = Window.partitionBy(*keys)
-    narrowed = False
-    for width in (*strips, None):
-        slot = F.col(value) if width is None else _strip(F.col(value), width)
-        # once narrowed, `before` (rows ahead of the strip) tells a key's strips apart
-        part = [*keys, "before", "lower", "upper"] if narrowed else keys
-        counts = rows.groupBy(*part, slot.alias("slot")).agg(F.count("*").alias("n"))
-        if not narrowed:
-            counts = (counts
-                      .withColumn("total", F.sum("n").over(whole))
-                      .withColumn("lower", F.floor((F.col("total") - 1) / 2))
-                      .withColumn("upper", F.floor(F.col("total") / 2))
-                      .withColumn("before", F.lit(0).cast("bigint")))
-        running = (Window.partitionBy(*keys, "before").orderBy("slot")
-                   .rowsBetween(Window.unboundedPreceding, 0))
-        ranked = (counts
-                  .withColumn("last", F.col("before") + F.sum("n").over(running))
-                  .withColumn("first", F.col("last") - F.col("n")))
-
-        def holds(rank: str) -> Column:
-            return F.col(rank).between(F.col("first"), F.col("last") - 1)
-
-        hits = ranked.where(holds("lower") | holds("upper"))
-        if width is None:
-            weight = holds("lower").cast("int") + holds("upper").cast("int")
-            return hits.groupBy(*keys).agg(
-                (F.sum(F.col("slot") * weight) / F.lit(2.0)).alias(value))
-        # the two middle ranks lie in at most two strips per key
-        strip_key = [*keys, "before", "slot"] if narrowed else [*keys, "slot"]
-        targets = hits.select(*strip_key, "first", *([] if narrowed else ["lower", "upper"]))
-        rows = (rows.withColumn("slot", slot)
-                .join(F.broadcast(targets), strip_key)
-                .drop("slot", *(["before"] if narrowed else []))
-                .withColumnRenamed("first", "before"))
-        narrowed = True
-    raise AssertionError("unreachable")
+    ranks = ["lower", "upper"] if narrowed else []
+    counts = rows.groupBy(*strip, *ranks, "slot").agg(F.count("*").alias("n")).repartition("key")
+    if not narrowed:
+        counts = (counts.selectExpr("*", "0L AS before", "sum(n) OVER (PARTITION BY key, axis) AS total")
+                  .selectExpr("*", "(total - 1) DIV 2 AS lower", "total DIV 2 AS upper"))
+    ahead = "sum(n) OVER (PARTITION BY key, axis, before ORDER BY slot ROWS UNBOUNDED PRECEDING)"
+    return (counts.selectExpr("*", f"before + {ahead} - 1 AS last")
+            .selectExpr("*", "last - n + 1 AS first")
+            .where("lower BETWEEN first AND last OR upper BETWEEN first AND last"))
 
 
 def state_centroids(geolocation: DataFrame) -> DataFrame:
     """Median latitude and median longitude per state, each on its own."""
-    axes = geolocation.select(
-        F.col("geolocation_state").alias("state"),
-        F.inline(F.array(
-            F.struct(F.lit("lat").alias("axis"), F.col("geolocation_lat").alias("degrees")),
-            F.struct(F.lit("lng").alias("axis"), F.col("geolocation_lng").alias("degrees")))))
-    medians = exact_median(axes.where(F.col("state").isNotNull()), ["state", "axis"], "degrees")
-    return medians.groupBy("state").agg(
-        F.max(F.when(F.col("axis") == "lat", F.col("degrees"))).alias("lat"),
-        F.max(F.when(F.col("axis") == "lng", F.col("degrees"))).alias("lng"))
+    points = geolocation.selectExpr("geolocation_state AS state", "geolocation_lat AS lat",
+                                    "geolocation_lng AS lng")
+    return exact_medians(points, "state", ["lat", "lng"])
 
 
 def hub_member_table(spark: SparkSession, config: NetworkConfig) -> DataFrame:

@@ -37,39 +37,27 @@ def read_star_tables(spark: SparkSession, folder: str) -> RawTables:
     def table(name: str) -> DataFrame:
         return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
-    nation, customer, supplier = table("nation"), table("customer"), table("supplier")
-    customer_nation = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
-
-    # one synthetic point per customer, scattered around its nation's anchor
-    points = customer_nation.select(
-        F.col("n_name").alias("geolocation_state"),
-        (F.lit(-30.0) + F.lit(1.5) * ((F.col("c_nationkey") * 7) % 25)
-         + ((F.col("c_custkey") % 101) - 50) / F.lit(100.0)).alias("geolocation_lat"),
-        (F.lit(-65.0) + F.lit(1.2) * ((F.col("c_nationkey") * 11) % 25)
-         + (((F.col("c_custkey") * 37) % 101) - 50) / F.lit(100.0)).alias("geolocation_lng"),
-    )
+    nation = table("nation")
+    customers = table("customer").join(nation, F.expr("c_nationkey = n_nationkey"))
+    sellers = table("supplier").join(nation, F.expr("s_nationkey = n_nationkey"))
     return RawTables(
-        geolocation=points,
-        orders=table("orders").select(
-            F.col("o_orderkey").alias("order_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("o_orderstatus").alias("order_status"),
-            F.col("o_orderdate").alias("order_purchase_timestamp")),
-        order_items=table("lineitem").select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_linenumber").alias("order_item_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_suppkey").alias("seller_id"),
-            F.col("l_extendedprice").alias("price"),
-            (F.lit(FREIGHT_FLAT) + F.lit(FREIGHT_PER_UNIT) * F.col("l_quantity"))
-            .alias("freight_value")),
-        customers=customer_nation.select(
-            F.col("c_custkey").alias("customer_id"), F.col("n_name").alias("customer_state")),
-        sellers=supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(
-            F.col("s_suppkey").alias("seller_id"), F.col("n_name").alias("seller_state")),
-        products=table("part").select(
-            F.col("p_partkey").alias("product_id"),
-            F.col("p_type").alias("product_category_name")),
+        # one synthetic point per customer, scattered around its nation's anchor
+        geolocation=customers.selectExpr(
+            "n_name AS geolocation_state",
+            "-30.0D + 1.5D * ((c_nationkey * 7) % 25) + ((c_custkey % 101) - 50) / 100.0D"
+            " AS geolocation_lat",
+            "-65.0D + 1.2D * ((c_nationkey * 11) % 25) + (((c_custkey * 37) % 101) - 50) / 100.0D"
+            " AS geolocation_lng"),
+        orders=table("orders").selectExpr(
+            "o_orderkey AS order_id", "o_custkey AS customer_id", "o_orderstatus AS order_status",
+            "o_orderdate AS order_purchase_timestamp"),
+        order_items=table("lineitem").selectExpr(
+            "l_orderkey AS order_id", "l_linenumber AS order_item_id", "l_partkey AS product_id",
+            "l_suppkey AS seller_id", "l_extendedprice AS price",
+            f"{FREIGHT_FLAT}D + {FREIGHT_PER_UNIT}D * l_quantity AS freight_value"),
+        customers=customers.selectExpr("c_custkey AS customer_id", "n_name AS customer_state"),
+        sellers=sellers.selectExpr("s_suppkey AS seller_id", "n_name AS seller_state"),
+        products=table("part").selectExpr("p_partkey AS product_id", "p_type AS product_category_name"),
         category_translation=literal_table(
             spark,
             product_category_name=list(PART_TYPE_ENGLISH),
