@@ -131,6 +131,44 @@ STEPS: dict[str, str] = {
     "plan": """
         SELECT customer_state, product_group, avg(forecast) AS demand
         FROM holdout GROUP BY ALL""",
+    # ridge: normal equations on centred training rows, solved by elimination
+    "design": """
+        SELECT week, customer_state, product_group, series, demand, demand::DOUBLE AS y,
+               week >= cutoff AS is_holdout, feature, x
+        FROM features, cutoff, LATERAL (VALUES ('t', t), ('sin1', sin1), ('cos1', cos1), ('sin2', sin2),
+             ('cos2', cos2), ('lag1', lag1::DOUBLE), ('lag2', lag2::DOUBLE), ('lag3', lag3::DOUBLE),
+             ('lag4', lag4::DOUBLE)) numeric_features(feature, x)
+        UNION ALL
+        SELECT week, customer_state, product_group, f.series, demand, demand::DOUBLE,
+               week >= cutoff, 's_' || s.series, (f.series = s.series)::INT::DOUBLE
+        FROM features f, cutoff, (SELECT DISTINCT series FROM features) s""",
+    "feature_means": """
+        SELECT feature, avg(x) AS mean_x, avg(y) AS mean_y, row_number() OVER (ORDER BY feature) AS pos,
+               count(*) OVER () AS total
+        FROM design WHERE NOT is_holdout GROUP BY feature""",
+    "centred": """
+        SELECT week, series, pos, total, x - mean_x AS x, y - mean_y AS y
+        FROM design JOIN feature_means USING (feature) WHERE NOT is_holdout""",
+    "gram": """
+        SELECT a.pos AS i, b.pos AS j, sum(a.x * b.x) + CASE WHEN a.pos = b.pos THEN 3.0::DOUBLE ELSE 0 END AS v
+        FROM centred a JOIN centred b USING (week, series) GROUP BY a.pos, b.pos
+        UNION ALL SELECT pos, total + 1, sum(x * y) FROM centred GROUP BY pos, total""",
+    "elimination": """
+        SELECT 0 AS k, i, j, v FROM gram
+        UNION ALL
+        SELECT k + 1, i, j, CASE WHEN i = k + 1 THEN in_row / lead_value ELSE v - in_column * in_row / lead_value END
+        FROM (SELECT k, i, j, v, max(v) FILTER (i = k + 1) OVER (PARTITION BY j) AS in_row,
+                     max(v) FILTER (j = k + 1) OVER (PARTITION BY i) AS in_column,
+                     max(v) FILTER (i = k + 1 AND j = k + 1) OVER () AS lead_value
+              FROM elimination WHERE k < (SELECT max(i) FROM gram))""",
+    "betas": """
+        SELECT feature, v AS beta, mean_x, mean_y
+        FROM elimination JOIN feature_means ON i = pos WHERE k = total AND j = total + 1""",
+    "ridge": """
+        SELECT *, demand - forecast AS residual FROM (
+          SELECT week, customer_state, product_group, demand,
+                 greatest(any_value(mean_y) + sum((x - mean_x) * beta), 0.0::DOUBLE) AS forecast
+          FROM design JOIN betas USING (feature) WHERE is_holdout GROUP BY ALL)""",
     # routing
     "flows": """
         SELECT customer_state, hub, coalesce(n, 0) / total::DOUBLE AS p
@@ -327,6 +365,21 @@ ORACLES: dict[str, str] = {
         FROM holdout GROUP BY week""",
     "naive_planning_demand": f"SELECT customer_state, product_group, {r('demand')} AS demand FROM plan",
     "naive_planning_totals": f"SELECT count(*) AS cells, {r('sum(demand)')} AS weekly_units FROM plan",
+    "ridge_coefficients": f"""
+        SELECT feature, {r('beta')} AS coefficient FROM betas
+        UNION ALL SELECT 'intercept', {r('any_value(mean_y) - sum(mean_x * beta)')} FROM betas""",
+    "ridge_holdout": f"""
+        SELECT week, customer_state, product_group, demand, {r('forecast')} AS forecast,
+               {r('residual')} AS residual FROM ridge""",
+    "ridge_accuracy": f"""
+        SELECT {r('model')} AS model_mae, {r('naive')} AS naive_mae,
+               {r('100.0::DOUBLE * (1 - model / naive)')} AS improvement_pct
+        FROM (SELECT avg(abs(residual)) AS model FROM ridge), (SELECT avg(abs(residual)) AS naive FROM holdout)""",
+    "ridge_holdout_totals": f"""
+        SELECT week, sum(demand)::BIGINT AS demand, {r('sum(forecast)')} AS forecast
+        FROM ridge GROUP BY week""",
+    "ridge_planning_demand": f"""
+        SELECT customer_state, product_group, {r('avg(forecast)')} AS demand FROM ridge GROUP BY ALL""",
     "empirical_flows": f"SELECT customer_state, hub, {r('p')} AS p FROM flows",
     "empirical_flow_matrix": "SELECT customer_state, " + ", ".join(
         r(r(f"max(p) FILTER (hub = '{h}')", 4)) + f" AS {h}" for h in HUBS)
@@ -452,8 +505,12 @@ def oracle(name: str) -> str:
                 need(STEPS[step])
 
     need(body)
-    steps = ",\n".join(f"{s} AS MATERIALIZED ({STEPS[s]})" for s in STEPS if s in needed)
-    return f"WITH {steps}\n{body}" if steps else body
+    def step(name: str) -> str:
+        recursive = re.search(rf"\b{name}\b", STEPS[name])
+        return f"{name} AS {'' if recursive else 'MATERIALIZED '}({STEPS[name]})"
+
+    steps = ",\n".join(step(s) for s in STEPS if s in needed)
+    return f"WITH RECURSIVE {steps}\n{body}" if steps else body
 
 
 def all_oracles() -> dict[str, str]:
