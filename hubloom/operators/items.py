@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from hubloom.config import NetworkConfig
 from hubloom.functions.calendar import week_start
 from hubloom.operators.geography import hub_member_table
+from hubloom.session import broadcast_when_small
 from hubloom.sources.raw import RawTables
 from hubloom.sources.small import literal_table
 
@@ -47,9 +48,9 @@ def build_order_items(raw: RawTables, config: NetworkConfig) -> DataFrame:
 
     Orders are cut down and matched with customers before they meet the much larger
     item table, and sellers and products carry their hub and group into the join,
-    so items are only ever joined on their own keys. Dimension joins carry no
-    hints: their sizes depend on the data, so Spark broadcasts them only when its
-    statistics allow it and splits skewed keys otherwise.
+    so items are only ever joined on their own keys. Sellers and products are
+    broadcast when they are measured to be small; otherwise the joins are shuffled,
+    and adaptive execution splits the partitions of hot sellers and products.
     """
     members = hub_member_table(raw.sellers.sparkSession, config)
     customers = raw.customers.where(F.col("customer_state").isin(list(config.states)))
@@ -58,10 +59,11 @@ def build_order_items(raw: RawTables, config: NetworkConfig) -> DataFrame:
     orders = (delivered_orders(raw, config)
               .join(customers.select("customer_id", "customer_state"), "customer_id")
               .select("order_id", "customer_state", "week"))
+    sellers, products = broadcast_when_small(sellers, product_groups(raw, config))
     return (raw.order_items
             .join(orders, "order_id")
             .join(sellers, "seller_id")
-            .join(product_groups(raw, config), "product_id", "left")
+            .join(products, "product_id", "left")
             .withColumn("product_group",
                         F.coalesce("product_group", F.lit(config.fallback_group)))
             .select(*ITEM_KEY, *ITEM_COLUMNS))

@@ -47,6 +47,8 @@ class Store:
         return f"{self.folder.rstrip('/')}/{table}"
 
     def write(self, table: str, df: DataFrame) -> None:
+        if table in TABLES:
+            df = df.select(T.StructType.fromDDL(TABLES[table]).fieldNames())
         write_table(df, self.path(table), self.fmt)
 
     def read(self, table: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Adaptive execution picks partition counts and splits skewed join partitions at
 # run time; the bloom-filter rule prunes item rows before the order join shuffles.
@@ -52,3 +52,31 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# Tables up to this many bytes are sent to every executor.
+BROADCAST_BYTES = 64 << 20
+ROW_OVERHEAD = 16
+
+
+def broadcast_when_small(*tables: DataFrame, limit: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """Mark for broadcast those of the tables that one job measures as small enough.
+
+    The planner's estimate for a joined table is the product of its inputs, so small
+    lookups behind a join look huge to it and the facts would be shuffled to meet
+    them. Tables above the limit are returned as they are, for a shuffled join.
+    """
+    def measured(position: int, table: DataFrame) -> DataFrame:
+        width = F.lit(ROW_OVERHEAD)
+        for column in table.columns:
+            width = width + F.coalesce(F.octet_length(F.col(column).cast("string")), F.lit(0))
+        return table.select(F.lit(position).alias("position"), width.cast("bigint").alias("bytes"))
+
+    sizes = measured(0, tables[0])
+    for position, table in enumerate(tables[1:], 1):
+        sizes = sizes.unionAll(measured(position, table))
+    small = {row["position"] for row in
+             sizes.groupBy("position").agg(F.sum("bytes").alias("bytes")).collect()
+             if row["bytes"] <= limit}
+    return [F.broadcast(table) if position in small else table
+            for position, table in enumerate(tables)]

@@ -74,4 +74,4 @@ def add_distance_freight(items: DataFrame, distances: DataFrame) -> DataFrame:
                            (F.lit(FREIGHT_PER_KM) * F.col("km")).alias("distance_fee"))
     return (items.join(F.broadcast(fee), ["customer_state", "hub"])
             .withColumn("freight_value", F.col("freight_value") + F.col("distance_fee"))
-            .drop("distance_fee"))
+            .select(items.columns))
