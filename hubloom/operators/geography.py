@@ -6,64 +6,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hubloom.config import NetworkConfig
 from hubloom.functions.geo import haversine_km
+from hubloom.operators.quantiles import exact_quantiles
 from hubloom.sources.small import literal_table
 
-# Widths, in degrees, of the strips the exact median narrows down to: at most 360,000
-# per state, each about a hundred metres wide. Add finer widths for denser points.
+# Widths, in degrees, of the strips the medians narrow down to: at most 360,000 per
+# state, each about a hundred metres wide. Add finer widths for denser points.
 MEDIAN_STRIPS = (1e-3,)
 
 
-def exact_medians(points: DataFrame, key: str, values: list[str],
-                  strips: tuple[float, ...] = MEDIAN_STRIPS) -> DataFrame:
-    """Exact interpolated median of each of `values` per `key`, for groups of any size.
-
-    `percentile` keeps every distinct value of a group in one task. Here each round
-    counts rows per strip of the value range (a small table after map-side
-    aggregation), finds the strips that hold the two middle ranks by a running
-    count, and goes on with the rows of those strips only. Repeats of one value
-    collapse into a count before they are shuffled. Nulls and NaNs are left out.
-    """
-    axes = ", ".join(f"struct('{v}' AS axis, {v} AS value)" for v in values)
-    rows = (points.selectExpr(f"{key} AS key", f"inline(array({axes}))")
-            .where("key IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)"))
-    # `before` counts the rows ahead of a strip, and so tells the strips of a key apart
-    strip = ["key", "axis"]
-    for level, width in enumerate(strips):
-        rows = rows.withColumn("slot", F.floor(F.col("value") / F.lit(width)))
-        targets = _middle(rows, strip, level > 0).select(
-            *strip, "slot", "first", *(["lower", "upper"] if level == 0 else []))
-        # two middle ranks: at most two strips per key and axis
-        rows = (rows.join(F.broadcast(targets), [*strip, "slot"])
-                .drop("slot", "before").withColumnRenamed("first", "before"))
-        strip = ["key", "axis", "before"]
-    middle = _middle(rows.withColumnRenamed("value", "slot"), strip, bool(strips))
-    hits = "(int(lower BETWEEN first AND last) + int(upper BETWEEN first AND last))"
-    return middle.groupBy(F.col("key").alias(key)).agg(*[
-        F.expr(f"sum(if(axis = '{v}', slot * {hits}, NULL)) / 2.0D").alias(v) for v in values])
-
-
-def _middle(rows: DataFrame, strip: list[str], narrowed: bool) -> DataFrame:
-    """The slots that hold one of the middle ranks, with the ranks they cover.
-
-    The counts are partitioned by key alone, which serves the windows here and the
-    aggregation by key that follows.
-    """
-    ranks = ["lower", "upper"] if narrowed else []
-    counts = rows.groupBy(*strip, *ranks, "slot").agg(F.count("*").alias("n")).repartition("key")
-    if not narrowed:
-        counts = (counts.selectExpr("*", "0L AS before", "sum(n) OVER (PARTITION BY key, axis) AS total")
-                  .selectExpr("*", "(total - 1) DIV 2 AS lower", "total DIV 2 AS upper"))
-    ahead = "sum(n) OVER (PARTITION BY key, axis, before ORDER BY slot ROWS UNBOUNDED PRECEDING)"
-    return (counts.selectExpr("*", f"before + {ahead} - 1 AS last")
-            .selectExpr("*", "last - n + 1 AS first")
-            .where("lower BETWEEN first AND last OR upper BETWEEN first AND last"))
-
-
 def state_centroids(geolocation: DataFrame) -> DataFrame:
     """Median latitude and median longitude per state, each on its own."""
     points = geolocation.selectExpr("geolocation_state AS state", "geolocation_lat AS lat",
                                     "geolocation_lng AS lng")
-    return exact_medians(points, "state", ["lat", "lng"])
+    medians = exact_quantiles(points, "state", ["lat", "lng"], [0.5], MEDIAN_STRIPS)
+    return medians.groupBy("state").agg(
+        F.expr("max(if(axis = 'lat', value, NULL))").alias("lat"),
+        F.expr("max(if(axis = 'lng', value, NULL))").alias("lng"))
 
 
 def hub_member_table(spark: SparkSession, config: NetworkConfig) -> DataFrame:

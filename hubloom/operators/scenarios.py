@@ -10,8 +10,12 @@ from hubloom.functions.numeric import non_negative
 from hubloom.operators.demand import CELL
 from hubloom.operators.placement import (
     attach_network, capacity_columns, evaluate_plans, plan_rows, single_plan)
+from hubloom.operators.quantiles import exact_quantiles
 from hubloom.sources.small import literal_table
 
+# Width, in percentage points, of the strips the saving quartiles narrow down to.
+SAVING_STRIPS = (0.01,)
+
 RESULT = ["policy_cost", "optimised_cost", "saving_pct", "policy_capacity_breach"]
 
 
@@ -55,15 +59,21 @@ def evaluate_scenarios(scenarios: DataFrame, network: DataFrame, config: Network
 
 
 def saving_summary(results: DataFrame) -> DataFrame:
-    """Describe the savings, and the share of scenarios where the policy breaches."""
-    quartiles = F.percentile("saving_pct", [0.25, 0.5, 0.75])
+    """Describe the savings, and the share of scenarios where the policy breaches.
+
+    Reads the results several times: pass a written table.
+    """
+    quartiles = exact_quantiles(results.selectExpr("1 AS all", "saving_pct"), "all",
+                                ["saving_pct"], [0.25, 0.5, 0.75], SAVING_STRIPS)
+    row = quartiles.agg(F.expr("map_from_entries(collect_list(struct(fraction, value)))").alias("q"))
     return results.agg(
         F.count("saving_pct").alias("scenarios"),
         F.avg("saving_pct").alias("mean"), F.stddev_samp("saving_pct").alias("std"),
-        F.min("saving_pct").alias("min"), quartiles.alias("q"), F.max("saving_pct").alias("max"),
+        F.min("saving_pct").alias("min"), F.max("saving_pct").alias("max"),
         F.avg(F.col("policy_capacity_breach").cast("int")).alias("breach_rate"),
-    ).select("scenarios", "mean", "std", "min", F.col("q")[0].alias("p25"),
-             F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max", "breach_rate")
+    ).withColumn("q", row.scalar()).selectExpr(
+        "scenarios", "mean", "std", "min", "q[0.25D] AS p25", "q[0.5D] AS p50",
+        "q[0.75D] AS p75", "max", "breach_rate")
 
 
 def saving_histogram(results: DataFrame, config: NetworkConfig) -> DataFrame:

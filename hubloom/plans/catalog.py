@@ -283,7 +283,7 @@ def scenario_results(p: Planning) -> DataFrame:
 
 @full
 def scenario_saving_summary(p: Planning) -> DataFrame:
-    return scenarios.saving_summary(p.scenario_results)
+    return scenarios.saving_summary(p.scenario_table)
 
 
 @full

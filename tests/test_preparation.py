@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from hubloom.config import RETAIL_NETWORK
-from hubloom.operators.geography import (
-    exact_medians, hub_centroids, state_centroids, state_hub_distances)
+from hubloom.operators.geography import hub_centroids, state_centroids, state_hub_distances
 from hubloom.operators.items import build_order_items, lane_weeks, preparation_summary
 from hubloom.operators.demand import demand_features, holdout_cutoff, naive_holdout, weekly_demand
+from hubloom.operators.quantiles import exact_quantiles
 from hubloom.session import broadcast_when_small
 from hubloom.sources.raw import RawTables, read_raw_csv
 
@@ -129,7 +129,7 @@ def test_csv_reader_matches_the_raw_tables(spark, raw, tmp_path):
 
 
 @pytest.mark.parametrize("strips", [(1e-2,), (1e-3,), (1.0, 1e-2), (1e-2, 1e-5), ()])
-def test_exact_median_of_skewed_groups(spark, strips):
+def test_exact_quantiles_of_skewed_groups(spark, strips):
     rng = np.random.default_rng(1)
     groups = {
         "one": rng.normal(0, 5, 1), "two": rng.normal(0, 5, 2),
@@ -140,10 +140,13 @@ def test_exact_median_of_skewed_groups(spark, strips):
     }
     rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("one", None), ("one", float("nan"))]
     frame = spark.createDataFrame(rows, "k string, v double").selectExpr("k", "v", "-2 * v AS w")
-    found = {r.k: (r.v, r.w) for r in exact_medians(frame, "k", ["v", "w"], strips).collect()}
-    assert found.keys() == groups.keys()
-    for k, v in groups.items():
-        assert found[k] == pytest.approx((np.median(v), np.median(-2 * v)), abs=1e-12)
+    fractions = [0.0, 0.25, 0.5, 0.9]
+    rows = exact_quantiles(frame, "k", ["v", "w"], fractions, strips).collect()
+    found = {(r.k, r.axis, r.fraction): r.value for r in rows}
+    assert len(found) == len(rows) == len(groups) * 2 * len(fractions)
+    for (k, axis, fraction), value in found.items():
+        values = groups[k] if axis == "v" else -2 * groups[k]
+        assert value == pytest.approx(np.quantile(values, fraction), abs=1e-12)
 
 
 def test_centroids_and_distances(raw):
