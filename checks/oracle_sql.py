@@ -1,7 +1,9 @@
 """DuckDB SQL for the registered queries, on the same parquet tables.
 
-`STEPS` are named common table expressions; `oracle(name)` puts the steps a query
-needs, directly or through other steps, in front of it.
+`STEPS` are named common table expressions; `assemble` puts the steps a query needs,
+directly or through other steps, in front of it. The two model fits are solved here by
+other means than in the engine: elimination for the ridge, a fixed-bound iteration on
+single items for the multinomial.
 """
 
 from __future__ import annotations
@@ -19,9 +21,24 @@ HUBS = ["HUB_A", "HUB_E", "HUB_S"]
 GROUPS = ["beauty_health", "home", "other", "tech"]
 HEADROOMS = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0]
 HOLDINGS = [0.0, 1.0, 5.0, 50.0]
+FIT_STEPS = 200
 
 
 
+def gauss_jordan(name: str, system: str) -> str:
+    """Recursive elimination of a symmetric positive definite system (i, j, v), whose
+    columns after the square part are right-hand sides; step k has cleared k columns."""
+    return f"""
+        SELECT 0 AS k, i, j, v FROM {system}
+        UNION ALL
+        SELECT k + 1, i, j, CASE WHEN i = k + 1 THEN in_row / lead_value
+                                 ELSE v - in_column * in_row / lead_value END
+        FROM (SELECT k, i, j, v, max(v) FILTER (i = k + 1) OVER (PARTITION BY j) AS in_row,
+                     max(v) FILTER (j = k + 1) OVER (PARTITION BY i) AS in_column,
+                     max(v) FILTER (i = k + 1 AND j = k + 1) OVER () AS lead_value
+              FROM {name} WHERE k < (SELECT max(i) FROM {system}))"""
+
+
 def hub_loads(key: str, plans: str) -> str:
     """Load of each hub in plans that have an optimal price: a priced hub is full, an
     unpriced one takes the states it is strictly cheapest for, and the rest goes to the
@@ -153,14 +170,7 @@ STEPS: dict[str, str] = {
         SELECT a.pos AS i, b.pos AS j, sum(a.x * b.x) + CASE WHEN a.pos = b.pos THEN 3.0::DOUBLE ELSE 0 END AS v
         FROM centred a JOIN centred b USING (week, series) GROUP BY a.pos, b.pos
         UNION ALL SELECT pos, total + 1, sum(x * y) FROM centred GROUP BY pos, total""",
-    "elimination": """
-        SELECT 0 AS k, i, j, v FROM gram
-        UNION ALL
-        SELECT k + 1, i, j, CASE WHEN i = k + 1 THEN in_row / lead_value ELSE v - in_column * in_row / lead_value END
-        FROM (SELECT k, i, j, v, max(v) FILTER (i = k + 1) OVER (PARTITION BY j) AS in_row,
-                     max(v) FILTER (j = k + 1) OVER (PARTITION BY i) AS in_column,
-                     max(v) FILTER (i = k + 1 AND j = k + 1) OVER () AS lead_value
-              FROM elimination WHERE k < (SELECT max(i) FROM gram))""",
+    "elimination": gauss_jordan("elimination", "gram"),
     "betas": """
         SELECT feature, v AS beta, mean_x, mean_y
         FROM elimination JOIN feature_means ON i = pos WHERE k = total AND j = total + 1""",
@@ -180,6 +190,60 @@ STEPS: dict[str, str] = {
         SELECT *, ('0x' || substr(md5(concat_ws('|', order_id, order_item_id, product_id, seller_id,
                   floor(price * 100 + 0.5::DOUBLE)::BIGINT)), 1, 8))::BIGINT % 5 = 0 AS is_test
         FROM base_items""",
+    # multinomial fit on single items, with an upper bound B of the curvature: each step is
+    # w <- inverse(B) X' (z/2 - p + y), z being the scores X w; the bound makes it converge
+    "wide_distances": "SELECT customer_state, " + ", ".join(
+        f"max(km) FILTER (hub = '{h}') / 1000.0::DOUBLE AS d{i}" for i, h in enumerate(HUBS))
+        + " FROM distances GROUP BY customer_state",
+    "route_rows": "SELECT row_number() OVER () AS item, *, CASE hub "
+        + " ".join(f"WHEN '{h}' THEN {i}" for i, h in enumerate(HUBS)) + " END AS y FROM split",
+    "route_design": f"""
+        SELECT item, is_test, customer_state, y, pos, x
+        FROM route_rows JOIN wide_distances USING (customer_state),
+        LATERAL (VALUES (1, d0), (2, d1), (3, d2), (4, ln(1 + price)), (5, 1.0::DOUBLE)) numeric_features(pos, x)
+        UNION ALL
+        SELECT item, is_test, customer_state, y, 5 + level, (name IN (product_group, customer_state))::INT::DOUBLE
+        FROM route_rows, (SELECT row_number() OVER (ORDER BY name) AS level, name
+                          FROM (SELECT product_group AS name FROM groups
+                                UNION ALL SELECT customer_state FROM planned))""",
+    "route_train": "SELECT item, y, pos, x FROM route_design WHERE NOT is_test",
+    "route_bound": """
+        SELECT a.pos AS i, b.pos AS j, sum(a.x * b.x) / 2
+               + CASE WHEN a.pos = b.pos AND a.pos <> 5 THEN 1.0::DOUBLE ELSE 0 END AS v
+        FROM route_train a JOIN route_train b USING (item) GROUP BY a.pos, b.pos
+        UNION ALL
+        SELECT a.pos, b.pos + total, (a.pos = b.pos)::INT::DOUBLE
+        FROM (SELECT DISTINCT pos FROM route_train) a, (SELECT DISTINCT pos FROM route_train) b,
+             (SELECT max(pos) AS total FROM route_train)""",
+    "route_solved": gauss_jordan("route_solved", "route_bound"),
+    "route_inverse": """
+        SELECT i, j - k AS j, v FROM route_solved
+        WHERE k = (SELECT max(pos) FROM route_train) AND j > k""",
+    "route_fit": f"""
+        SELECT 0 AS step, class, pos, 0.0::DOUBLE AS w
+        FROM (SELECT unnest(range(3)) AS class), (SELECT DISTINCT pos FROM route_train)
+        UNION ALL
+        SELECT step + 1, class, i, sum(v * pull) FROM (
+          SELECT step, class, pos, sum(x * residual) AS pull FROM (
+            SELECT step, item, class,
+                   z / 2 - exp(z - top) / sum(exp(z - top)) OVER (PARTITION BY item)
+                     + (y = class)::INT AS residual
+            FROM (SELECT *, max(z) OVER (PARTITION BY item) AS top FROM (
+              SELECT step, item, class, any_value(y) AS y, sum(x * w) AS z
+              FROM route_fit JOIN route_train USING (pos) WHERE step < {FIT_STEPS}
+              GROUP BY step, item, class)))
+          JOIN route_train USING (item) GROUP BY step, class, pos)
+        JOIN route_inverse ON j = pos GROUP BY step, class, i""",
+    "route_scores": f"""
+        SELECT item, is_test, customer_state, y, class,
+               exp(z - top) / sum(exp(z - top)) OVER (PARTITION BY item) AS p
+        FROM (SELECT *, max(z) OVER (PARTITION BY item) AS top FROM (
+          SELECT item, is_test, customer_state, y, class, sum(x * w) AS z
+          FROM route_design JOIN route_fit USING (pos) WHERE step = {FIT_STEPS}
+          GROUP BY ALL))""",
+    "route_flows": "SELECT customer_state, CASE class "
+        + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(HUBS))
+        + " END AS hub, avg(p) AS p FROM route_scores GROUP BY customer_state, class",
     # costs
     "line": """
         SELECT regr_intercept(freight_value, km) AS a, regr_slope(freight_value, km) AS b
@@ -365,6 +429,17 @@ ORACLES: dict[str, str] = {
         FROM holdout GROUP BY week""",
     "naive_planning_demand": f"SELECT customer_state, product_group, {r('demand')} AS demand FROM plan",
     "naive_planning_totals": f"SELECT count(*) AS cells, {r('sum(demand)')} AS weekly_units FROM plan",
+    "routing_metrics": f"""
+        SELECT count(*) AS test_items, {r('avg(hit)')} AS accuracy, {r('avg(loss)')} AS log_loss
+        FROM (SELECT item, (arg_max(class, p) = any_value(y))::INT AS hit,
+                     -ln(max(p) FILTER (class = y)) AS loss
+              FROM route_scores WHERE is_test GROUP BY item)""",
+    "routing_model_flows": "SELECT customer_state, " + ", ".join(
+        r(r(f"max(p) FILTER (hub = '{h}')", 4)) + f" AS {h}" for h in HUBS)
+        + " FROM route_flows GROUP BY customer_state",
+    "routing_flow_fit": f"""
+        SELECT customer_state, {r('max(abs(m.p - e.p))')} AS max_abs_diff
+        FROM route_flows m JOIN flows e USING (customer_state, hub) GROUP BY customer_state""",
     "ridge_coefficients": f"""
         SELECT feature, {r('beta')} AS coefficient FROM betas
         UNION ALL SELECT 'intercept', {r('any_value(mean_y) - sum(mean_x * beta)')} FROM betas""",
@@ -416,16 +491,6 @@ ORACLES: dict[str, str] = {
     "policy_hub_loads": f"""
         SELECT hub, {r('load')} AS load, {r('peak * 1.5::DOUBLE')} AS capacity, load > peak * 1.5::DOUBLE AS breach
         FROM (SELECT hub, sum(units) AS load FROM policy_units GROUP BY hub) JOIN peaks USING (hub)""",
-    "plan_costs": f"""
-        SELECT feasible, {r('units')} AS units, {r('policy_cost')} AS policy_cost,
-               {r('optimised_cost')} AS optimised_cost,
-               {r('100.0::DOUBLE * (policy_cost - optimised_cost) / policy_cost')} AS saving_pct,
-               (SELECT max(load > peak * 1.5::DOUBLE) FROM
-                  (SELECT hub, sum(units) AS load FROM policy_units GROUP BY hub) JOIN peaks USING (hub))
-                 AS policy_capacity_breach
-        FROM (SELECT * FROM whatif WHERE headroom = 1.5 AND holding = 1.0),
-             (SELECT sum(demand) AS units FROM plan)""",
-    "optimal_placement": f"SELECT customer_state, product_group, hub, {r('units')} AS units FROM placed",
     "placement_by_hub": f"SELECT hub, {r('sum(units)')} AS units FROM placed GROUP BY hub",
     "placement_vs_nearest": """
         SELECT customer_state, chosen_hub, c.hub AS nearest_hub, chosen_hub = c.hub AS is_nearest
@@ -437,9 +502,6 @@ ORACLES: dict[str, str] = {
         JOIN (SELECT hub, sum(units) AS optimised_units FROM placed GROUP BY hub) USING (hub)""",
     "scenario_demand":
         f"SELECT scenario, customer_state, product_group, {r('demand')} AS demand FROM scenario_cells",
-    "scenario_results": f"""
-        SELECT scenario, {r('policy_cost')} AS policy_cost, {r('optimised_cost')} AS optimised_cost,
-               {r('saving_pct')} AS saving_pct, policy_capacity_breach FROM scenario_table""",
     "scenario_saving_summary": f"""
         SELECT count(saving_pct) AS scenarios, {r('avg(saving_pct)')} AS mean,
                {r('stddev_samp(saving_pct)')} AS std, {r('min(saving_pct)')} AS min,
@@ -455,10 +517,6 @@ ORACLES: dict[str, str] = {
                    FROM scenario_table,
                         (SELECT min(saving_pct) AS lo, max(saving_pct) AS hi FROM scenario_table)
                    WHERE saving_pct IS NOT NULL GROUP BY 1) USING (bin)""",
-    "capacity_sensitivity": f"""
-        SELECT {r('frac')} AS regional_capacity_frac, {r('optimised_cost')} AS optimised_cost,
-               {r('100.0::DOUBLE * (policy_cost - optimised_cost) / policy_cost')} AS saving_pct
-        FROM sweep_table""",
     "sweep_placement_checks": f"""
         SELECT {r('frac')} AS regional_capacity_frac, {r('units')} AS units,
                {r(r('optimised_cost', 3))} AS placement_cost, true AS non_negative
@@ -468,11 +526,6 @@ ORACLES: dict[str, str] = {
     "whatif_hub_units": f"""
         SELECT headroom AS capacity_headroom, holding AS holding_cost, hub, {r(r('units', 3))} AS units
         FROM whatif_loads JOIN assumptions USING (headroom)""",
-    "whatif_grid": f"""
-        SELECT headroom AS capacity_headroom, holding AS holding_cost, feasible,
-               {r('policy_cost')} AS policy_cost, {r('optimised_cost')} AS optimised_cost,
-               {r('100.0::DOUBLE * (policy_cost - optimised_cost) / policy_cost')} AS saving_pct
-        FROM whatif""",
     "whatif_summary": f"""
         SELECT headroom AS capacity_headroom, holding AS holding_cost, feasible,
                {r('policy_cost', 0)} AS current_policy_cost, {r('optimised_cost', 0)} AS optimised_cost,
@@ -494,24 +547,90 @@ ORACLES: dict[str, str] = {
 }
 
 
+def plan_queries(digits: int) -> dict[str, str]:
+    """Queries on a plan and its flows, from the naive forecast or from the models."""
+    return {
+        "plan_costs": f"""
+            SELECT feasible, {r('units', digits)} AS units, {r('policy_cost', digits)} AS policy_cost,
+                   {r('optimised_cost', digits)} AS optimised_cost,
+                   {r('100.0::DOUBLE * (policy_cost - optimised_cost) / policy_cost', digits)} AS saving_pct,
+                   (SELECT max(load > peak * 1.5::DOUBLE) FROM
+                      (SELECT hub, sum(units) AS load FROM policy_units GROUP BY hub) JOIN peaks USING (hub))
+                     AS policy_capacity_breach
+            FROM (SELECT * FROM whatif WHERE headroom = 1.5 AND holding = 1.0),
+                 (SELECT sum(demand) AS units FROM plan)""",
+        "optimal_placement": f"SELECT customer_state, product_group, hub, {r('units', digits)} AS units FROM placed",
+        "scenario_results": f"""
+            SELECT scenario, {r('policy_cost', digits)} AS policy_cost, {r('optimised_cost', digits)} AS optimised_cost,
+                   {r('saving_pct', digits)} AS saving_pct, policy_capacity_breach FROM scenario_table""",
+        "capacity_sensitivity": f"""
+            SELECT {r('frac', digits)} AS regional_capacity_frac, {r('optimised_cost', digits)} AS optimised_cost,
+                   {r('100.0::DOUBLE * (policy_cost - optimised_cost) / policy_cost', digits)} AS saving_pct
+            FROM sweep_table""",
+        "whatif_grid": f"""
+            SELECT headroom AS capacity_headroom, holding AS holding_cost, feasible,
+                   {r('policy_cost', digits)} AS policy_cost, {r('optimised_cost', digits)} AS optimised_cost,
+                   {r('100.0::DOUBLE * (policy_cost - optimised_cost) / policy_cost', digits)} AS saving_pct
+            FROM whatif""",
+    }
+
+
+# Queries on the fitted models: the same SQL over the ridge holdout and the model's flows.
+MODEL_ORACLES = {"plan_costs": "model_plan_costs", "optimal_placement": "model_placement",
+                 "scenario_results": "model_scenario_results",
+                 "capacity_sensitivity": "model_capacity_sensitivity",
+                 "whatif_grid": "model_whatif_grid"}
+MODEL_STEPS = {"holdout": "ridge", "flows": "route_flows"}
+
+
 def oracle(name: str) -> str:
-    body = ORACLES[name]
+    return assemble(ORACLES[name], STEPS)
+
+
+def model_oracle(name: str) -> str:
+    """The SQL of a plan query with the models in the place of the simple estimates."""
+    def swap(sql: str) -> str:
+        for simple, fitted in MODEL_STEPS.items():
+            sql = re.sub(rf"\b{simple}\b", fitted, sql)
+        return sql
+
+    steps = {step: sql if step in MODEL_STEPS else swap(sql) for step, sql in STEPS.items()}
+    return assemble(plan_queries(2)[name], steps)
+
+
+def assemble(body: str, steps: dict[str, str]) -> str:
     needed: set[str] = set()
 
     def need(sql: str) -> None:
-        for step in STEPS:
+        for step in steps:
             if step not in needed and re.search(rf"\b{step}\b", sql):
                 needed.add(step)
-                need(STEPS[step])
+                need(steps[step])
+
+    def written(step: str) -> str:
+        recursive = re.search(rf"\b{step}\b", steps[step])
+        return f"{step} AS {'' if recursive else 'MATERIALIZED '}({steps[step]})"
 
     need(body)
-    def step(name: str) -> str:
-        recursive = re.search(rf"\b{name}\b", STEPS[name])
-        return f"{name} AS {'' if recursive else 'MATERIALIZED '}({STEPS[name]})"
+    if not needed:
+        return body
+    # a step may only use steps written before it
+    order: list[str] = []
+
+    def place(step: str) -> None:
+        if step not in order:
+            for other in needed - {step}:
+                if re.search(rf"\b{other}\b", steps[step]):
+                    place(other)
+            order.append(step)
 
-    steps = ",\n".join(step(s) for s in STEPS if s in needed)
-    return f"WITH RECURSIVE {steps}\n{body}" if steps else body
+    for step in steps:
+        if step in needed:
+            place(step)
+    return "WITH RECURSIVE " + ",\n".join(written(step) for step in order) + "\n" + body
 
 
 def all_oracles() -> dict[str, str]:
-    return {name: oracle(name) for name in ORACLES}
+    simple = {name: oracle(name) for name in ORACLES}
+    simple |= {name: assemble(sql, STEPS) for name, sql in plan_queries(6).items()}
+    return simple | {fitted: model_oracle(name) for name, fitted in MODEL_ORACLES.items()}

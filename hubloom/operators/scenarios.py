@@ -99,6 +99,13 @@ def saving_histogram(results: DataFrame, config: NetworkConfig) -> DataFrame:
             .select("bin", (F.col("span.lo") + F.col("bin") * width).alias("bin_start"), "scenarios"))
 
 
+def base_plan(plan: DataFrame, network: DataFrame, config: NetworkConfig) -> DataFrame:
+    """The planned demand as one plan, with the configured headroom and holding cost."""
+    plans = capacity_columns(attach_network(single_plan(plan), network),
+                             _uniform(F.lit(config.capacity_headroom)))
+    return plans.withColumn("holding", F.lit(config.holding_cost))
+
+
 def sweep_plans(plan: DataFrame, network: DataFrame, config: NetworkConfig) -> DataFrame:
     """The planned demand under a sweep of regional capacity, one plan per fraction.
 

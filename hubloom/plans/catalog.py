@@ -1,7 +1,7 @@
 """The registered queries over the star-schema tables, by name.
 
-Every query starts from the parquet tables of a folder. Doubles leave rounded half up
-to six digits, so that engines which add in another order agree.
+Every query starts from the parquet tables of a folder. Doubles leave rounded half up,
+to six digits unless noted, so that engines which add in another order agree.
 """
 
 from __future__ import annotations
@@ -32,11 +32,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
         for name, kind in df.dtypes])
 
 
-def query(**options) -> Callable[[Callable[[Planning], DataFrame]], Query]:
+def query(digits: int = 6, **options) -> Callable[[Callable[[Planning], DataFrame]], Query]:
     """Register a query written against a `Planning` built with the given options."""
     def register(build: Callable[[Planning], DataFrame]) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return rounded(build(Planning.over_star(spark, folder, **options)))
+            return rounded(build(Planning.over_star(spark, folder, **options)), digits)
 
         run.__doc__ = build.__doc__
         QUERIES[build.__name__] = run
@@ -47,7 +47,7 @@ def query(**options) -> Callable[[Callable[[Planning], DataFrame]], Query]:
 
 counts_only = query(freight=False)
 full = query()
-fitted = query(models=True)
+fitted = query(digits=2, models=True)  # costs to the cent: the fit is iterative
 
 
 # sources and preparation

@@ -148,20 +148,16 @@ class Planning:
     def based_network(self) -> DataFrame:
         return materialise(placement.with_bases(self.network))
 
-    def base_plan(self, network: DataFrame) -> DataFrame:
-        """The planning-week demand as one plan with the default assumptions."""
-        assumptions = scenarios.assumption_grid(
-            self.spark, [self.config.capacity_headroom], [self.config.holding_cost])
-        return scenarios.whatif_plans(assumptions, self.plan, network, self.config)
-
     @cached_property
     def plan_result(self) -> DataFrame:
-        return placement.evaluate_plans(self.base_plan(self.priced_network)).select(
+        return placement.evaluate_plans(scenarios.base_plan(
+            self.plan, self.priced_network, self.config)).select(
             "feasible", "units", *scenarios.RESULT)
 
     @cached_property
     def optimal_placement(self) -> DataFrame:
-        return placement.place_units(self.base_plan(self.based_network), [], self.config)
+        return placement.place_units(scenarios.base_plan(
+            self.plan, self.based_network, self.config), [], self.config)
 
     # evaluation
     @cached_property

@@ -104,14 +104,14 @@ def optimise(store: Store, config: NetworkConfig) -> DataFrame:
     plan, holdout = store.read("planning_demand"), store.read("forecast_holdout")
     network = planning_network(store, config)
     priced = materialise(placement.with_prices(network))
-    base = scenarios.assumption_grid(store.spark, [config.capacity_headroom], [config.holding_cost])
-    placed = placement.place_units(
-        scenarios.whatif_plans(base, plan, materialise(placement.with_bases(network)), config), [], config)
+    based = materialise(placement.with_bases(network))
+    placed = placement.place_units(scenarios.base_plan(plan, based, config), [], config)
     store.write("optimal_placement", placed)
     store.write("capacity_sensitivity", scenarios.capacity_sensitivity(plan, priced, config))
     store.write("scenario_results", scenarios.evaluate_scenarios(
         scenarios.scenario_demand(plan, holdout, config), priced, config))
-    return scenarios.whatif(base, plan, priced, config)
+    return placement.evaluate_plans(scenarios.base_plan(plan, priced, config)).select(
+        "feasible", "units", *scenarios.RESULT)
 
 
 def whatif(store: Store, config: NetworkConfig, headrooms: list[float], holdings: list[float]) -> DataFrame:
