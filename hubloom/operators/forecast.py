@@ -12,6 +12,7 @@ from hubloom.config import NetworkConfig
 from hubloom.functions.numeric import non_negative
 from hubloom.operators.demand import CELL, lag_columns, mark_holdout, seasonal_columns
 from hubloom.session import materialise
+from hubloom.sources.small import literal_table
 
 # The normal-equation solver is limited to this many features.
 NORMAL_SOLVER_LIMIT = 4096
@@ -56,7 +57,6 @@ class RidgeForecast:
 
     def coefficients(self, config: NetworkConfig) -> DataFrame:
         """Intercept and coefficients by feature name."""
-        from hubloom.sources.small import literal_table
         return literal_table(
             self.holdout.sparkSession,
             feature=["intercept", *feature_names(config)],
@@ -70,8 +70,7 @@ def fit_ridge(train: DataFrame, alpha: float, label: str = "demand") -> LinearRe
     penalty is alpha / rows * deviation: the population deviation for the normal
     equations, the sample one for the iterative solver.
     """
-    size = len(train.schema["features"].metadata["ml_attr"]["attrs"]["numeric"]) + sum(
-        1 for _ in train.schema["features"].metadata["ml_attr"]["attrs"].get("binary", []))
+    size = train.schema["features"].metadata["ml_attr"]["num_attrs"]
     solver = "normal" if size <= NORMAL_SOLVER_LIMIT else "l-bfgs"
     deviation = F.stddev_pop(label) if solver == "normal" else F.stddev_samp(label)
     stats = train.agg(F.count("*").alias("n"), deviation.alias("dev")).first()

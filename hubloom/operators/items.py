@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hubloom.config import NetworkConfig
 from hubloom.functions.calendar import week_start
-from hubloom.operators.geography import hub_member_table
-from hubloom.session import broadcast_when_small
 from hubloom.sources.raw import RawTables
-from hubloom.sources.small import literal_table
 
 ITEM_KEY = ["order_id", "order_item_id", "product_id", "seller_id"]
 ITEM_COLUMNS = ["week", "customer_state", "hub", "product_group", "price", "freight_value"]
@@ -31,42 +28,50 @@ def delivered_orders(raw: RawTables, config: NetworkConfig) -> DataFrame:
             .select("order_id", "customer_id", week_start(purchased).alias("week")))
 
 
+def bucket_of(value: str, buckets: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
+    """The bucket whose members contain the value, null when there is none.
+
+    A configured mapping is an expression rather than a join: the planner then still
+    knows the size of the table it is applied to, and broadcasts it only when small.
+    """
+    (first, members), *others = buckets
+    bucket = F.when(F.col(value).isin(list(members)), first)
+    for name, members in others:
+        bucket = bucket.when(F.col(value).isin(list(members)), name)
+    return bucket
+
+
+def with_product_group(frame: DataFrame, raw: RawTables, config: NetworkConfig) -> DataFrame:
+    """Category name -> planning group; null or unmapped categories get the fallback."""
+    group = bucket_of("product_category_name_english", config.group_categories)
+    return (frame.join(raw.category_translation, "product_category_name", "left")
+            .withColumn("product_group", F.coalesce(group, F.lit(config.fallback_group)))
+            .drop("product_category_name", "product_category_name_english"))
+
+
 def product_groups(raw: RawTables, config: NetworkConfig) -> DataFrame:
-    """Product -> planning group; null or unmapped categories get the fallback."""
-    pairs = [(c, g) for g, categories in config.group_categories for c in categories]
-    groups = literal_table(raw.products.sparkSession,
-                           product_category_name_english=[c for c, _ in pairs],
-                           product_group=[g for _, g in pairs])
-    return (raw.products
-            .join(raw.category_translation, "product_category_name", "left")
-            .join(F.broadcast(groups), "product_category_name_english", "left")
-            .select("product_id", "product_group"))
+    return with_product_group(raw.products, raw, config).select("product_id", "product_group")
 
 
 def build_order_items(raw: RawTables, config: NetworkConfig) -> DataFrame:
     """Delivered items with customer state, hub and product group, in the window.
 
     Orders are cut down and matched with customers before they meet the much larger
-    item table, and sellers and products carry their hub and group into the join,
-    so items are only ever joined on their own keys. Sellers and products are
-    broadcast when they are measured to be small; otherwise the joins are shuffled,
-    and adaptive execution splits the partitions of hot sellers and products.
+    item table. Sellers and products are joined as they are stored, without hints:
+    Spark knows their sizes and broadcasts them below its threshold; beyond it the
+    joins are shuffled and adaptive execution splits hot sellers and products.
     """
-    members = hub_member_table(raw.sellers.sparkSession, config)
     customers = raw.customers.where(F.col("customer_state").isin(list(config.states)))
-    sellers = (raw.sellers.join(F.broadcast(members), "seller_state")
-               .select("seller_id", "hub"))
+    sellers = (raw.sellers.withColumn("hub", bucket_of("seller_state", config.hub_members))
+               .where(F.col("hub").isNotNull()))
     orders = (delivered_orders(raw, config)
               .join(customers.select("customer_id", "customer_state"), "customer_id")
               .select("order_id", "customer_state", "week"))
-    sellers, products = broadcast_when_small(sellers, product_groups(raw, config))
-    return (raw.order_items
-            .join(orders, "order_id")
-            .join(sellers, "seller_id")
-            .join(products, "product_id", "left")
-            .withColumn("product_group",
-                        F.coalesce("product_group", F.lit(config.fallback_group)))
-            .select(*ITEM_KEY, *ITEM_COLUMNS))
+    items = (raw.order_items
+             .join(orders, "order_id")
+             .join(sellers.select("seller_id", "hub"), "seller_id")
+             .join(raw.products, "product_id", "left"))
+    return with_product_group(items, raw, config).select(*ITEM_KEY, *ITEM_COLUMNS)
 
 
 def lane_weeks(items: DataFrame) -> DataFrame:

@@ -70,8 +70,7 @@ def delivered_orders(p: Planning) -> DataFrame:
 
 @counts_only
 def product_groups(p: Planning) -> DataFrame:
-    return items.product_groups(p.raw, p.config).withColumn(
-        "product_group", F.coalesce("product_group", F.lit(p.config.fallback_group)))
+    return items.product_groups(p.raw, p.config)
 
 
 @full

@@ -10,7 +10,6 @@ from hubloom.operators.geography import hub_centroids, state_centroids, state_hu
 from hubloom.operators.items import build_order_items, lane_weeks, preparation_summary
 from hubloom.operators.demand import demand_features, holdout_cutoff, naive_holdout, weekly_demand
 from hubloom.operators.quantiles import exact_quantiles
-from hubloom.session import broadcast_when_small
 from hubloom.sources.raw import RawTables, read_raw_csv
 
 ORDERS = [
@@ -73,19 +72,15 @@ def test_order_items_keep_what_the_network_plans(raw):
     assert rows["o2", 1].week == date(2018, 8, 13)
 
 
-def test_only_tables_below_the_limit_are_broadcast(spark):
-    small = spark.range(10).selectExpr("id", "repeat('x', 100) AS text")
-    empty = spark.range(0).selectExpr("id", "'' AS text")
-    marked = broadcast_when_small(small, empty, limit=500)
-    assert "ResolvedHint" not in marked[0]._jdf.queryExecution().analyzed().toString()
-    marked = broadcast_when_small(small, limit=5000)
-    assert "broadcast" in marked[0]._jdf.queryExecution().analyzed().toString()
-
-
-def test_items_do_not_depend_on_the_join_strategy(raw, monkeypatch):
+def test_items_do_not_depend_on_the_join_strategy(spark, raw):
     expected = build_order_items(raw, RETAIL_NETWORK).sort("order_id", "order_item_id").collect()
-    monkeypatch.setattr("hubloom.operators.items.broadcast_when_small", lambda *tables: list(tables))
-    assert build_order_items(raw, RETAIL_NETWORK).sort("order_id", "order_item_id").collect() == expected
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = build_order_items(raw, RETAIL_NETWORK).sort("order_id", "order_item_id").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert shuffled == expected
 
 
 def test_weekly_grid_is_complete(raw):
