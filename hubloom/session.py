@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution picks partition counts and splits skewed join partitions at
@@ -30,18 +27,16 @@ def build_session(app_name: str = "hubloom", **overrides: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; choose one only on a local master."""
+    """Use the shared folder the cluster names; where none is set, one beside the warehouse.
+
+    The warehouse is a folder that driver and executors share, on any master.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        context.setCheckpointDir(configured)
-        return
-    if not context.master.startswith("local"):
-        raise RuntimeError(
-            "set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(os.path.join(tempfile.mkdtemp(prefix="hubloom-"), "checkpoint"))
+    beside = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    context.setCheckpointDir(configured or beside)
 
 
 def materialise(df: DataFrame) -> DataFrame:
