@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from hubloom.llm import mixing, sharding
+from hubloom.llm import minhash, mixing, sharding
 
 QUERIES = {
+    "op3_minhash": minhash.op3_minhash,
     "op6_mixing": mixing.op6_mixing,
     "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLES = {
+    "op3_minhash": minhash.OP3_SQL,
     "op6_mixing": mixing.OP6_SQL,
 }

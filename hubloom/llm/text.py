@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 # Bytes of text handled at once; a longer document is a step of its own.
 STEP_BYTES = 1 << 21
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE_VALUES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
+
+_BYTE_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, 256, dtype=np.uint64)
 _POWER_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 LOWER = np.arange(256, dtype=np.uint8)
