@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from hubloom.llm import minhash, mixing, sharding
+from hubloom.llm import licenses, minhash, mixing, pii, quality, sharding, toxicity
 
 QUERIES = {
+    "op2_licenses": licenses.op2_licenses,
     "op3_minhash": minhash.op3_minhash,
     "op6_mixing": mixing.op6_mixing,
+    "op4_quality": quality.op4_quality,
+    "op8_pii": pii.op8_pii,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_sharding": sharding.op10_sharding,
 }
 
