@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from hubloom.llm import licenses, minhash, mixing, pii, quality, sharding, toxicity
+from hubloom.llm import ann, licenses, minhash, mixing, neargraph, pii, quality, sharding, toxicity
 
 QUERIES = {
+    "op1_neargraph": neargraph.op1_neargraph,
     "op2_licenses": licenses.op2_licenses,
     "op3_minhash": minhash.op3_minhash,
+    "op5_ann": ann.op5_ann,
     "op6_mixing": mixing.op6_mixing,
     "op4_quality": quality.op4_quality,
     "op8_pii": pii.op8_pii,
