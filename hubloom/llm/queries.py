@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hubloom.llm import ann, licenses, minhash, mixing, neargraph, pii, quality, sharding, toxicity
+from hubloom.llm import ann, licenses, minhash, mixing, neargraph, pii, quality, segmentations, sharding, toxicity
 
 QUERIES = {
     "op1_neargraph": neargraph.op1_neargraph,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_ann": ann.op5_ann,
     "op6_mixing": mixing.op6_mixing,
     "op4_quality": quality.op4_quality,
+    "op7_segmentations": segmentations.op7_segmentations,
     "op8_pii": pii.op8_pii,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_sharding": sharding.op10_sharding,

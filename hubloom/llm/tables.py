@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hubloom.session import materialise
+from hubloom.session import ensure_checkpoint_dir, materialise
 
 # White space that separates words in the word-counting operators; everything else is a word.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -23,3 +25,12 @@ def word_count(text: str | Column) -> Column:
     """Number of words of a text column as long; null counts as empty."""
     column = F.col(text) if isinstance(text, str) else text
     return F.regexp_count(F.coalesce(column, F.lit("")), F.lit(WORDS)).cast("long")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet to the shared checkpoint folder and read again."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
