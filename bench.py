@@ -27,6 +27,7 @@ def main() -> None:
     spark = build_session(
         "bench", spark__master=f"local[{cpus}]", spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false", spark__sql__shuffle__partitions=cpus,
+        spark__checkpoint__dir=os.environ.get("BENCH_SHARED", "spark-warehouse/_bench"),
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "8g"))
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["scenario_results"](spark, folder).collect()  # warm up the JVM

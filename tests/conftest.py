@@ -11,11 +11,13 @@ from hubloom.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")  # driver and executors are one process here
     session = build_session(
         "tests", spark__master=os.environ.get("TEST_MASTER", "local[8]"),
         spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
-        spark__sql__shuffle__partitions="8")
+        spark__sql__shuffle__partitions="8", spark__checkpoint__dir=str(shared),
+        spark__sql__warehouse__dir=str(shared / "warehouse"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
