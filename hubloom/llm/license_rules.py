@@ -329,6 +329,7 @@ class Rule:
 
 def compiled(phrase: str) -> re.Pattern[bytes]:
     """A phrase as a pattern over lower-cased UTF-8: spaces, also optional ones, are marks."""
+    phrase = phrase.replace("( v| version)? ", "( version)?( v ?| )")  # also v3 and version v3
     body = phrase.replace("#", "[0-9]+( [0-9]+)?").encode()
     body = body.replace(b" ?", b"(?:" + MARKS + b")?").replace(b" ", MARKS)
     return re.compile(rb"(?<![0-9a-z\x80-\xff])" + body + rb"(?![0-9a-z\x80-\xff])")

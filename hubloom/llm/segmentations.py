@@ -204,7 +204,8 @@ def build_lattices(chars: np.ndarray, first: np.ndarray, length: np.ndarray, voc
 
 def draw_keys(seeds: np.ndarray, sample: int, unit: np.ndarray) -> np.ndarray:
     """Keys of the draws of a text's unit; a step of the unit is added to them."""
-    return words.mix64(seeds + unit.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(sample * 0x2545F4914F6CDD1D >> 3))
+    of_sample = np.uint64((sample + 1) * 0x2545F4914F6CDD1D % 2**64)
+    return words.mix64(seeds + unit.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + of_sample)
 
 
 def uniform(keys: np.ndarray, step: int) -> np.ndarray:

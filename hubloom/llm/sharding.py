@@ -3,7 +3,7 @@
 Documents with equal texts are one group. Groups are placed by their vector (bytes, tokens,
 rows) where the dot product with the shards' residual capacity is highest. Small groups are
 packed as bundles of groups that a hash picks, so the packing sees a bounded number of
-items whatever the input; a group that is too large to balance is split by document.
+items whatever the input; a group that is larger than a shard is split by document.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from hubloom.llm.tables import read_table, word_count, written
 SHARDS = 24
 # Bundles for each shard. A group over this share of a shard is an item of its own.
 BUNDLES = 256
-# A group over this share of a shard, in any of the three measures, is split...
-WHOLE_SHARE = 1 / 4
-# ...into pieces of about this share.
+# A group over this many shards, in any of the three measures, is split.
+WHOLE_SHARE = 1
+# Large groups are dealt to pieces of about this share of a shard: these are placed apart where
+# the group is split, and numbered apart in any case, so that no task holds a whole group.
 PIECE_SHARE = 1 / 64
 
 MEASURES = ("bytes", "tokens", "rows")
@@ -52,8 +53,8 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     Size is the text's UTF-8 bytes plus 8; a null text has none and counts as empty. Every row
     is placed, repeated rows and rows without an id too. Ties in slots are broken by id, then
     arbitrarily between rows alike. An empty table gives an empty result. Other columns are
-    not looked at. What reaches the driver are at most `shards` * (`bundles` + 3 * `bundles`)
-    item sums and the pieces of at most 12 split groups a shard.
+    not looked at. What reaches the driver are the sums of at most `shards` * (4 * `bundles` +
+    3 / PIECE_SHARE) bundles and pieces.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = written(docs.select(
@@ -71,26 +72,33 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     # Each measure sums to `shards` shares, so at most 3 * shards * bundles groups are large.
     large = (groups.withColumn("share", share).filter(F.col("share") > 1 / bundles)
              .select(F.col("text_key").alias("large_key"),
-                     F.when(F.col("share") > WHOLE_SHARE, F.ceil(F.col("share") / PIECE_SHARE))
-                     .otherwise(1).cast("int").alias("pieces")))
+                     (F.col("share") > WHOLE_SHARE).alias("parted"),
+                     F.ceil(F.col("share") / PIECE_SHARE).cast("int").alias("pieces")))
     bundle = F.pmod(F.xxhash64("text_key", F.lit(1)), F.lit(shards * bundles))
-    piece = F.pmod(F.xxhash64("doc_id", "text_key", F.lit(2)), F.col("pieces"))
+    piece = F.coalesce(F.pmod(F.xxhash64("doc_id", "text_key", F.lit(2)), F.col("pieces")), F.lit(0)).cast("int")
     items = (rows.join(F.broadcast(large), F.col("text_key") == F.col("large_key"), "left")
+             .withColumn("piece", piece)
              .withColumn("item", F.when(F.col("large_key").isNull(), F.concat(F.lit("b"), bundle))
-                         .otherwise(F.concat_ws(":", "text_key", piece)))
-             .select("doc_id", "size", "tokens", "text_crc32", "text_key", "item"))
-    sums = (items.groupBy("item").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"),
-                                      F.count("*").alias("rows")).orderBy("item").collect())
-    placed = pack(np.array([[s[m] for m in MEASURES] for s in sums], float), shards)
+                         .when(F.col("parted"), F.concat_ws(":", "text_key", "piece"))
+                         .otherwise(F.col("text_key").cast("string")))
+             .select("doc_id", "size", "tokens", "text_crc32", "text_key", "item", "piece"))
+    sums = (items.groupBy("item", "piece").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"),
+                                               F.count("*").alias("rows")).orderBy("item", "piece").collect())
+    of = {item: k for k, item in enumerate(dict.fromkeys(s["item"] for s in sums))}
+    vectors = np.zeros((len(of), len(MEASURES)))
+    for s in sums:
+        vectors[of[s["item"]]] += [s[m] for m in MEASURES]
+    placed = pack(vectors, shards).tolist()
     places, filled = [], [0] * shards
-    for item, shard in zip(sums, placed.tolist()):
-        places.append((item["item"], shard, filled[shard]))
-        filled[shard] += item["rows"]
+    for s in sums:
+        shard = placed[of[s["item"]]]
+        places.append((s["item"], s["piece"], shard, filled[shard]))
+        filled[shard] += s["rows"]
     spark = docs.sparkSession
-    placement = spark.createDataFrame(places, "placed_item string, shard int, first_slot long")
-    within = Window.partitionBy("item").orderBy(F.col("doc_id").asc_nulls_last(), "text_key")
+    placement = spark.createDataFrame(places, "placed_item string, placed_piece int, shard int, first_slot long")
+    within = Window.partitionBy("item", "piece").orderBy(F.col("doc_id").asc_nulls_last(), "text_key")
     return (items.withColumn("place", F.row_number().over(within))
-            .join(F.broadcast(placement), F.col("item") == F.col("placed_item"))
+            .join(F.broadcast(placement), (F.col("item") == F.col("placed_item")) & (F.col("piece") == F.col("placed_piece")))
             .select("doc_id", "size", "tokens", "text_crc32", "shard",
                     (F.col("first_slot") + F.col("place") - 1).cast("long").alias("slot")))
 
