@@ -519,7 +519,8 @@ ORACLES: dict[str, str] = {
                    WHERE saving_pct IS NOT NULL GROUP BY 1) USING (bin)""",
     "sweep_placement_checks": f"""
         SELECT {r('frac')} AS regional_capacity_frac, {r('units')} AS units,
-               {r(r('optimised_cost', 3))} AS placement_cost, true AS non_negative
+               {r(r('optimised_cost', 3))} AS placement_cost, true AS non_negative,
+               0.0::DOUBLE AS demand_gap, 0.0::DOUBLE AS over_capacity
         FROM sweep_table""",
     "sweep_hub_units":
         f"SELECT {r('frac')} AS regional_capacity_frac, hub, {r(r('units', 3))} AS units FROM sweep_loads",
@@ -531,6 +532,17 @@ ORACLES: dict[str, str] = {
                {r('policy_cost', 0)} AS current_policy_cost, {r('optimised_cost', 0)} AS optimised_cost,
                {r(r('100.0::DOUBLE * (policy_cost - optimised_cost) / policy_cost', 2))} AS saving_pct
         FROM whatif""",
+    "whatif_answer": f"""
+        SELECT headroom AS capacity_headroom, holding AS holding_cost, feasible,
+               {r('policy_cost', 0)} AS current_policy_cost, {r('optimised_cost', 0)} AS optimised_cost,
+               {r(r('100.0::DOUBLE * (policy_cost - optimised_cost) / policy_cost', 2))} AS saving_pct, """
+        + ", ".join(f"units_{h}" for h in HUBS) + " FROM whatif LEFT JOIN (SELECT headroom, "
+        + ", ".join(f"{r(f'sum(units) FILTER (hub = {q}{h}{q})', 0)} AS units_{h}" for h in HUBS for q in ["'"])
+        + " FROM whatif_loads GROUP BY headroom) USING (headroom)",
+    "reporting_order_items": """
+        SELECT week, customer_state, hub, product_group, price::DECIMAL(38, 6)::VARCHAR AS price,
+               freight_value::DECIMAL(38, 6)::VARCHAR AS freight_value
+        FROM items""",
     "flow_share_report": f"""
         SELECT customer_state, hub,
                {r(r('count(*) / sum(count(*)) OVER (PARTITION BY customer_state)::DOUBLE', 3))} AS share

@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hubloom.config import NetworkConfig
 
 
+def known_distance(state: Column, km: Column) -> Column:
+    """The distance of a lane, or an error that names the state without one."""
+    return F.when(km.isNull(), F.raise_error(F.concat(F.lit("no distance for state "), state))).otherwise(km)
+
+
 def fit_freight_line(lanes: DataFrame, distances: DataFrame) -> DataFrame:
     """Least squares of item freight on distance over all items: freight = a + b km.
 
@@ -15,7 +20,8 @@ def fit_freight_line(lanes: DataFrame, distances: DataFrame) -> DataFrame:
     """
     per_lane = (lanes.groupBy("customer_state", "hub")
                 .agg(F.sum("items").alias("n"), F.sum("freight").alias("freight"))
-                .join(F.broadcast(distances), ["customer_state", "hub"]))
+                .join(F.broadcast(distances), ["customer_state", "hub"], "left")
+                .withColumn("km", known_distance(F.col("customer_state"), F.col("km"))))
     sums = per_lane.agg(
         F.sum("n").cast("double").alias("n"),
         F.sum(F.col("n") * F.col("km")).alias("x"),
@@ -85,7 +91,11 @@ def policy_cost(lanes: DataFrame, holding: float) -> DataFrame:
 
 
 def policy_loads(lanes: DataFrame, capacities: DataFrame) -> DataFrame:
-    """Policy load per hub against its capacity (strictly above is a breach)."""
+    """Policy load per hub against its capacity (strictly above is a breach).
+
+    A hub that has shipped nothing has no capacity, as in the placement.
+    """
     return (lanes.groupBy("hub").agg(F.sum("units").alias("load"))
-            .join(F.broadcast(capacities), "hub")
+            .join(F.broadcast(capacities), "hub", "left")
+            .withColumn("capacity", F.coalesce("capacity", F.lit(0.0)))
             .withColumn("breach", F.col("load") > F.col("capacity")))

@@ -93,6 +93,15 @@ def forecast_accuracy(holdout: DataFrame) -> DataFrame:
     return holdout.agg(F.avg(F.abs("residual")).alias("mae"))
 
 
+def accuracy_report(model_holdout: DataFrame, naive: DataFrame) -> DataFrame:
+    """Mean absolute error of the model and of the naive forecast, and the improvement."""
+    errors = (forecast_accuracy(model_holdout).withColumn("forecast", F.lit("model"))
+              .unionByName(forecast_accuracy(naive).withColumn("forecast", F.lit("naive")))
+              .groupBy().pivot("forecast", ["model", "naive"]).agg(F.first("mae")))
+    return errors.select(F.col("model").alias("model_mae"), F.col("naive").alias("naive_mae"),
+                         (F.lit(100.0) * (1 - F.col("model") / F.col("naive"))).alias("improvement_pct"))
+
+
 def weekly_group_totals(demand: DataFrame, config: NetworkConfig) -> DataFrame:
     """Demand per week, one column per group."""
     return demand.groupBy("week").pivot("product_group", sorted(config.groups)).sum("demand")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hubloom.config import NetworkConfig
@@ -14,9 +14,6 @@ from hubloom.operators.demand import CELL, lag_columns, mark_holdout, seasonal_c
 from hubloom.session import materialise
 from hubloom.sources.small import literal_table
 
-# The normal-equation solver is limited to this many features.
-NORMAL_SOLVER_LIMIT = 4096
-
 
 def level_index(column: str, levels: tuple[str, ...], name: str) -> Column:
     """Position of a value in a fixed list of levels, labelled for the ML encoders.
@@ -45,41 +42,61 @@ def feature_names(config: NetworkConfig) -> list[str]:
 
 
 def model_frame(features: DataFrame, config: NetworkConfig) -> DataFrame:
-    """Features with the holdout flag, written once: the fit reads them repeatedly."""
-    return assemble(materialise(mark_holdout(features, config)),
+    """Feature vectors of the demand model, with the holdout flag."""
+    return assemble(mark_holdout(features, config),
                     seasonal_columns() + lag_columns(config), {"series": config.series})
 
 
 @dataclass(frozen=True)
 class RidgeForecast:
-    model: LinearRegressionModel
+    intercept: float
+    weights: tuple[float, ...]  # of the numeric features
+    series: DataFrame  # series, offset: the coefficient of each series seen in training
     holdout: DataFrame
 
     def coefficients(self, config: NetworkConfig) -> DataFrame:
-        """Intercept and coefficients by feature name."""
-        return literal_table(
-            self.holdout.sparkSession,
-            feature=["intercept", *feature_names(config)],
-            coefficient=[float(self.model.intercept), *map(float, self.model.coefficients)])
-
-
-def fit_ridge(train: DataFrame, alpha: float, label: str = "demand") -> LinearRegressionModel:
+        """Intercept and coefficients by feature name; 0 for series without training weeks."""
+        spark = self.holdout.sparkSession
+        numeric = seasonal_columns() + lag_columns(config)
+        common = literal_table(spark, feature=["intercept", *numeric],
+                               coefficient=[self.intercept, *self.weights])
+        every = literal_table(spark, series=list(config.series))
+        offsets = every.join(self.series, "series", "left").select(
+            F.concat(F.lit("s_"), "series").alias("feature"),
+            F.coalesce("offset", F.lit(0.0)).alias("coefficient"))
+        return common.unionByName(offsets)
+
+
+def fit_ridge(train: DataFrame, numeric: list[str], alpha: float,
+              label: str = "demand") -> tuple[float, tuple[float, ...], DataFrame]:
     """Least squares plus alpha * |coefficients|^2, intercept free, features as they are.
 
-    Spark minimises the mean loss on a label scaled by its standard deviation, so its
-    penalty is alpha / rows * deviation: the population deviation for the normal
-    equations, the sample one for the iterative solver.
+    The one-hot columns of the series part the rows, so each series' coefficient follows
+    from the others: (sum of its labels - sum of its features times their weights) / (rows +
+    alpha). Put in, one small system over intercept and numeric features is left, whatever
+    the number of series; it needs one aggregation by series and no iteration.
     """
-    size = train.schema["features"].metadata["ml_attr"]["num_attrs"]
-    solver = "normal" if size <= NORMAL_SOLVER_LIMIT else "l-bfgs"
-    deviation = F.stddev_pop(label) if solver == "normal" else F.stddev_samp(label)
-    stats = train.agg(F.count("*").alias("n"), deviation.alias("dev")).first()
-    if not stats["n"]:
+    columns = [F.lit(1.0), *[F.col(c).cast("double") for c in numeric]]
+    y, size = F.col(label).cast("double"), len(columns)
+    sums = train.groupBy("series").agg(
+        F.count("*").cast("double").alias("n"), F.sum(y).alias("m"),
+        F.array(*[F.sum(z) for z in columns]).alias("u"),
+        F.array(*[F.sum(z * y) for z in columns]).alias("zy"),
+        F.array(*[F.sum(columns[i] * columns[j]) for i in range(size) for j in range(size)]).alias("zz"))
+    sums = materialise(sums)
+    shrink = F.col("n") + F.lit(float(alpha))
+    left = [F.sum(F.col("zz")[i * size + j] - F.col("u")[i] * F.col("u")[j] / shrink)
+            for i in range(size) for j in range(size)]
+    right = [F.sum(F.col("zy")[i] - F.col("u")[i] * F.col("m") / shrink) for i in range(size)]
+    row = sums.agg(F.array(*left).alias("left"), F.array(*right).alias("right"), F.sum("n").alias("n")).first()
+    if not row["n"]:
         raise ValueError("no training weeks before the holdout")
-    return LinearRegression(
-        featuresCol="features", labelCol=label, solver=solver, elasticNetParam=0.0,
-        standardization=False, regParam=alpha / stats["n"] * stats["dev"],
-        maxIter=1000, tol=1e-12).fit(train)
+    system = np.array(row["left"]).reshape(size, size) + alpha * np.diag([0.0, *[1.0] * (size - 1)])
+    weights = np.linalg.solve(system, np.array(row["right"]))
+    explained = sum((F.col("u")[i] * F.lit(float(w)) for i, w in enumerate(weights[1:], 1)),
+                    F.col("n") * F.lit(float(weights[0])))
+    offsets = sums.select("series", ((F.col("m") - explained) / shrink).alias("offset"))
+    return float(weights[0]), tuple(map(float, weights[1:])), offsets
 
 
 def ridge_forecast(features: DataFrame, config: NetworkConfig) -> RidgeForecast:
@@ -87,10 +104,12 @@ def ridge_forecast(features: DataFrame, config: NetworkConfig) -> RidgeForecast:
 
     The lags of a holdout week are the actual demands of the weeks before it.
     """
-    frame = model_frame(features, config).withColumn("label", F.col("demand").cast("double"))
-    model = fit_ridge(frame.where(~F.col("is_holdout")), config.ridge_alpha, "label")
-    holdout = (model.transform(frame.where("is_holdout"))
-               .withColumn("forecast", non_negative(F.col("prediction")))
+    numeric = seasonal_columns() + lag_columns(config)
+    frame = materialise(mark_holdout(features, config))
+    intercept, weights, offsets = fit_ridge(frame.where(~F.col("is_holdout")), numeric, config.ridge_alpha)
+    common = sum((F.col(c) * F.lit(w) for c, w in zip(numeric, weights)), F.lit(intercept))
+    holdout = (frame.where("is_holdout").join(offsets, "series", "left")
+               .withColumn("forecast", non_negative(common + F.coalesce("offset", F.lit(0.0))))
                .select("week", *CELL, "demand", "forecast",
                        (F.col("demand") - F.col("forecast")).alias("residual")))
-    return RidgeForecast(model, holdout)
+    return RidgeForecast(intercept, weights, offsets, holdout)

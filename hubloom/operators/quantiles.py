@@ -27,8 +27,8 @@ def exact_quantiles(points: DataFrame, key: str, values: list[str], fractions: l
         targets = _next_to_ranks(rows, ranks, wanted)
         join_on = ["key", "axis", "slot", *(["fraction", "before"] if ranks else [])]
         carried = [c for c in ("fraction", "rank", "first") if c not in join_on and c not in ranks]
-        # at most two strips per key, axis and fraction
-        rows = (rows.join(F.broadcast(targets.select(*join_on, *carried)), join_on)
+        # At most two strips per key, axis and fraction; the planner knows whether that is small.
+        rows = (rows.join(targets.select(*join_on, *carried), join_on)
                 .drop("slot", "before").withColumnRenamed("first", "before"))
         ranks = ["fraction", "rank", "before"]
     found = _next_to_ranks(rows.withColumnRenamed("value", "slot"), ranks, wanted)

@@ -60,3 +60,15 @@ def whatif_summary(evaluated: DataFrame) -> DataFrame:
         round_half_up(F.col("policy_cost"), 0).alias("current_policy_cost"),
         round_half_up(F.col("optimised_cost"), 0).alias("optimised_cost"),
         round_half_up(F.col("saving_pct"), 2).alias("saving_pct"))
+
+
+def whatif_answer(evaluated: DataFrame, hub_units: DataFrame, config: NetworkConfig) -> DataFrame:
+    """What-if summary with the weekly units of each hub, rounded to whole units.
+
+    An infeasible assumption keeps its row; its units are null like its costs.
+    """
+    keys = ["capacity_headroom", "holding_cost"]
+    units = hub_units.groupBy(*keys).agg(*[
+        round_half_up(F.sum(F.when(F.col("hub") == hub, F.col("units"))), 0).alias(f"units_{hub}")
+        for hub in config.hubs])
+    return whatif_summary(evaluated).join(units, keys, "left")

@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hubloom.config import NetworkConfig
 from hubloom.functions.draws import hash32
+from hubloom.operators.costs import known_distance
 from hubloom.operators.forecast import assemble, level_index
 from hubloom.operators.items import ITEM_KEY
-from hubloom.session import materialise
 
 # Probabilities are kept this far from 0 and 1 in logarithms (double precision).
 EPSILON = 2.0 ** -52
@@ -52,9 +52,10 @@ def wide_distances(distances: DataFrame, config: NetworkConfig) -> DataFrame:
 
 
 def routing_features(rows: DataFrame, distances: DataFrame, config: NetworkConfig) -> DataFrame:
-    """Add the distances to all hubs and the log price."""
-    return (rows.join(F.broadcast(wide_distances(distances, config)), "customer_state")
-            .withColumn("log_price", F.log1p("price")))
+    """Add the distances to all hubs and the log price; a state without distances is an error."""
+    known = {name: known_distance(F.col("customer_state"), F.col(name)) for name in distance_columns(config)}
+    return (rows.join(F.broadcast(wide_distances(distances, config)), "customer_state", "left")
+            .withColumns(known).withColumn("log_price", F.log1p("price")))
 
 
 def routing_design(rows: DataFrame, distances: DataFrame, config: NetworkConfig) -> DataFrame:
@@ -75,10 +76,11 @@ class RoutingModel:
 def fit_routing(profile: DataFrame, distances: DataFrame, config: NetworkConfig) -> RoutingModel:
     """Weighted multinomial fit with an L2 penalty, on the training split.
 
+    The fit reads `profile` once per iteration, so it should be a written table.
     The penalty 1 / (C * items) makes it the sum of losses times C plus half the
     squared coefficients.
     """
-    design = routing_design(materialise(profile), distances, config)
+    design = routing_design(profile, distances, config)
     train = design.where(~F.col("is_test")).withColumn("weight", F.col("n").cast("double"))
     items = train.agg(F.sum("n")).first()[0]
     if not items:
@@ -88,6 +90,8 @@ def fit_routing(profile: DataFrame, distances: DataFrame, config: NetworkConfig)
         regParam=1.0 / (config.inverse_l2 * items), elasticNetParam=0.0, standardization=False,
         maxIter=config.logistic_max_iter, tol=config.logistic_tol)
     model = estimator.fit(train.select("features", "label", "weight"))
+    if model.summary.totalIterations >= config.logistic_max_iter:
+        raise RuntimeError(f"the routing fit has not converged in {config.logistic_max_iter} iterations")
     scored = (model.transform(design)
               .withColumn("proba", vector_to_array("probability"))
               .select("is_test", "customer_state", "product_group", "hub", "n",

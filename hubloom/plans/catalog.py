@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hubloom.functions.numeric import round_half_up
 from hubloom.operators import costs, demand, forecast, items, placement, reports, routing, scenarios
 from hubloom.plans.planning import Planning
+from hubloom.session import materialise
 from hubloom.sources.raw import CSV_LAYOUT
 from hubloom.sources.sinks import reporting_columns
 
@@ -47,6 +48,7 @@ def query(digits: int = 6, **options) -> Callable[[Callable[[Planning], DataFram
 
 counts_only = query(freight=False)
 full = query()
+shared = query(freight=False, share_items=True)  # lanes and routing profile of the same items
 fitted = query(digits=2, models=True)  # costs to the cent: the fit is iterative
 
 
@@ -116,6 +118,13 @@ def reporting_weekly_demand(p: Planning) -> DataFrame:
     return reporting_columns(p.weekly_demand, "weekly_demand")
 
 
+@full
+def reporting_order_items(p: Planning) -> DataFrame:
+    """Order items in the reporting types, money as text so that no digit is lost."""
+    typed = reporting_columns(p.items, "order_items")
+    return typed.withColumns({c: F.col(c).cast("decimal(38,6)").cast("string") for c in ("price", "freight_value")})
+
+
 @counts_only
 def weekly_group_totals(p: Planning) -> DataFrame:
     return demand.weekly_group_totals(p.weekly_demand, p.config)
@@ -299,16 +308,28 @@ def capacity_sensitivity(p: Planning) -> DataFrame:
 def sweep_placement_checks(p: Planning) -> DataFrame:
     """Units, cost and hub use of the placements of the capacity sweep.
 
-    The cost is added up over the placed units and has to meet the optimised cost.
+    The cost is added up over the placed units and has to meet the optimised cost; every
+    cell's units have to meet its demand, and no hub's load may exceed its capacity.
     """
+    placed = materialise(p.sweep_placement)
     per_unit = p.lane_costs.select("customer_state", "hub", "unit_cost")
-    return (p.sweep_placement.join(F.broadcast(per_unit), ["customer_state", "hub"])
-            .groupBy("regional_capacity_frac")
+    frac = "regional_capacity_frac"
+    cells = (placed.groupBy(frac, *demand.CELL).agg(F.sum("units").alias("units"))
+             .join(F.broadcast(p.plan), demand.CELL)
+             .groupBy(frac).agg(round_half_up(F.max(F.abs(F.col("units") - F.col("demand"))), 6).alias("demand_gap")))
+    share = F.when(F.col("hub") == p.config.primary_hub, p.config.primary_multiplier).otherwise(F.col(frac))
+    over = F.col("load") - F.col("capacity") * share
+    hubs = (placed.groupBy(frac, "hub").agg(F.sum("units").alias("load"))
+            .join(F.broadcast(p.capacities), "hub")
+            .groupBy(frac).agg(round_half_up(F.greatest(F.max(over), F.lit(0.0)), 6).alias("over_capacity")))
+    return (placed.join(F.broadcast(per_unit), ["customer_state", "hub"])
+            .groupBy(frac)
             .agg(round_half_up(F.sum("units"), 6).alias("units"),
                  round_half_up(F.sum(F.col("units") * (F.col("unit_cost")
                                                        + F.lit(p.config.holding_cost))), 3)
                  .alias("placement_cost"),
-                 (F.min("units") >= -1e-9).alias("non_negative")))
+                 (F.min("units") >= -1e-9).alias("non_negative"))
+            .join(cells, frac).join(hubs, frac))
 
 
 @full
@@ -336,6 +357,12 @@ def whatif_hub_units(p: Planning) -> DataFrame:
     return rounded(p.whatif_units(_assumptions(p)), 3)
 
 
+@full
+def whatif_answer(p: Planning) -> DataFrame:
+    """Rounded costs, saving and weekly units by hub of every assumption, in one row each."""
+    return p.whatif_answer(_assumptions(p))
+
+
 # reports
 
 @counts_only
@@ -367,12 +394,7 @@ def ridge_holdout(p: Planning) -> DataFrame:
 
 @counts_only
 def ridge_accuracy(p: Planning) -> DataFrame:
-    """Mean absolute error of the model and of the naive forecast, and the improvement."""
-    model = demand.forecast_accuracy(p.ridge.holdout).withColumn("forecast", F.lit("model"))
-    naive = demand.forecast_accuracy(p.naive_holdout).withColumn("forecast", F.lit("naive"))
-    both = model.unionByName(naive).groupBy().pivot("forecast", ["model", "naive"]).agg(F.first("mae"))
-    return both.select(F.col("model").alias("model_mae"), F.col("naive").alias("naive_mae"),
-                       (F.lit(100.0) * (1 - F.col("model") / F.col("naive"))).alias("improvement_pct"))
+    return demand.accuracy_report(p.ridge.holdout, p.naive_holdout)
 
 
 @counts_only
@@ -395,7 +417,7 @@ def routing_model_flows(p: Planning) -> DataFrame:
     return reports.flow_matrix(routing.model_flows(p.routing_model.scored, p.config), p.config)
 
 
-@counts_only
+@shared
 def routing_flow_fit(p: Planning) -> DataFrame:
     model = routing.model_flows(p.routing_model.scored, p.config)
     return routing.flow_fit(model, p.empirical_flows)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hubloom.config import NetworkConfig, STAR_NETWORK
 from hubloom.operators import costs, demand, forecast, geography, items, placement, reports
 from hubloom.operators import routing, scenarios
-from hubloom.session import materialise
+from hubloom.session import materialise, store
 from hubloom.sources.raw import RawTables
 from hubloom.sources.star import add_distance_freight, read_star_tables
 
@@ -25,16 +25,19 @@ class Planning:
     `freight_rule` completes item freight from the distances, for sources without a
     freight column; `freight=False` leaves the step out where freight is not used.
 
-    Tables that several later stages read are written to the checkpoint folder once:
-    centroids, distances, the weekly lane summary and the network row, all bounded by
-    the network configuration, and, where used, the routing profile and the scenario
-    results. So the raw items are read once per query, and a lost executor never sends
-    a later stage back to them.
+    Tables that several later stages read are written once to the shared folder: centroids,
+    distances, the weekly lane summary and the network row, bounded by the configuration;
+    the routing profile and the scenario results, which are not. With `models` (or
+    `share_items`), where both the lane summary and the routing profile are wanted, the
+    joined items are written as well. So the raw items are read once per query, and a lost
+    executor never sends a later stage back to them.
     """
 
     def __init__(self, raw: RawTables, config: NetworkConfig, *, models: bool = False,
-                 freight: bool = True, freight_rule: FreightRule | None = None) -> None:
+                 freight: bool = True, freight_rule: FreightRule | None = None,
+                 share_items: bool = False) -> None:
         self.raw, self.config, self.models = raw, config, models
+        self._share_items = models or share_items
         self._freight_rule = freight_rule if freight else None
 
     @classmethod
@@ -63,7 +66,8 @@ class Planning:
     @cached_property
     def items(self) -> DataFrame:
         built = items.build_order_items(self.raw, self.config)
-        return built if self._freight_rule is None else self._freight_rule(built, self.distances)
+        built = built if self._freight_rule is None else self._freight_rule(built, self.distances)
+        return store(built) if self._share_items else built
 
     @cached_property
     def lanes(self) -> DataFrame:
@@ -97,7 +101,7 @@ class Planning:
     # routing
     @cached_property
     def routing_profile(self) -> DataFrame:
-        return routing.routing_profile(self.items, self.config)
+        return materialise(routing.routing_profile(self.items, self.config))
 
     @cached_property
     def routing_model(self) -> routing.RoutingModel:
@@ -190,5 +194,8 @@ class Planning:
         keys = ["capacity_headroom", "holding_cost"]
         return placement.placement_by_hub(placement.place_units(plans, keys, self.config), keys)
 
+    def whatif_answer(self, assumptions: DataFrame) -> DataFrame:
+        return reports.whatif_answer(self.whatif(assumptions), self.whatif_units(assumptions), self.config)
+
     def hub_volumes(self) -> DataFrame:
         return reports.hub_volumes(self.policy_lanes, self.optimal_placement, self.config)

@@ -74,23 +74,26 @@ def prepare(raw: RawTables, store: Store, config: NetworkConfig, freight_rule=No
 
 
 def fit_forecast(store: Store, config: NetworkConfig) -> DataFrame:
-    """Holdout forecast and planning demand; returns the accuracy of both forecasts."""
+    """Holdout forecast and planning demand; returns both forecasts' error and the improvement."""
     features = demand.demand_features(store.read("weekly_demand"), config)
     store.write("forecast_holdout", forecast.ridge_forecast(features, config).holdout)
     holdout = store.read("forecast_holdout")
     store.write("planning_demand", demand.planning_demand(holdout))
     naive = demand.naive_holdout(features, config)
-    return (demand.forecast_accuracy(holdout).withColumn("forecast", F.lit("model"))
-            .unionByName(demand.forecast_accuracy(naive).withColumn("forecast", F.lit("naive"))))
+    return demand.accuracy_report(holdout, naive)
 
 
 def fit_flows(store: Store, config: NetworkConfig) -> DataFrame:
-    """Flow matrix of the routing model; returns its metrics next to the baseline's."""
+    """Flow matrix of the routing model; returns its metrics next to the baseline's, and the
+    largest difference between a modelled and an observed flow."""
     profile = materialise(routing.routing_profile(store.read("order_items"), config))
     fitted = routing.fit_routing(profile, store.read("state_hub_distance"), config)
     store.write("routing_probabilities", routing.model_flows(fitted.scored, config))
-    return routing.routing_metrics(fitted.scored).join(
-        routing.baseline_metrics(profile, config), "test_items")
+    fit = routing.flow_fit(store.read("routing_probabilities"),
+                           costs.empirical_flows(store.read("lane_weeks"), config))
+    return (routing.routing_metrics(fitted.scored)
+            .join(routing.baseline_metrics(profile, config), "test_items")
+            .withColumn("max_flow_diff", fit.agg(F.max("max_abs_diff")).scalar()))
 
 
 def planning_network(store: Store, config: NetworkConfig) -> DataFrame:
@@ -115,11 +118,15 @@ def optimise(store: Store, config: NetworkConfig) -> DataFrame:
 
 
 def whatif(store: Store, config: NetworkConfig, headrooms: list[float], holdings: list[float]) -> DataFrame:
-    """Costs for every pairing of the given assumptions, from the stored tables."""
-    priced = materialise(placement.with_prices(planning_network(store, config)))
+    """Costs and units by hub for every pairing of the given assumptions, from the stored tables."""
+    network, plan = planning_network(store, config), store.read("planning_demand")
+    priced = materialise(placement.with_prices(network))
+    based = materialise(placement.with_bases(network))
     grid = scenarios.assumption_grid(store.spark, headrooms, holdings)
-    return reports.whatif_summary(
-        scenarios.whatif(grid, store.read("planning_demand"), priced, config))
+    keys = ["capacity_headroom", "holding_cost"]
+    placed = placement.place_units(scenarios.whatif_plans(grid, plan, based, config), keys, config)
+    return reports.whatif_answer(scenarios.whatif(grid, plan, priced, config),
+                                 placement.placement_by_hub(placed, keys), config)
 
 
 def figure_tables(store: Store, config: NetworkConfig) -> dict[str, DataFrame]:

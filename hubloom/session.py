@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution picks partition counts and splits skewed join partitions at
@@ -39,12 +41,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(configured or beside)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write `df` as Parquet beside the checkpoints and read it back: for large tables, of
+    which later stages read some columns each."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder once and go on from the written copy.
 
-    Used for tables whose size the network configuration bounds, so that several
-    branches of one query share a single pass over the raw tables, and so that a
-    lost executor never sends the job back to them.
+    So several branches of one query share a single pass over the raw tables, and a lost
+    executor never sends the job back to them. Most tables that go this way are bounded by
+    the network configuration; the routing profile (one row per distinct price and cell) and
+    the scenario table (one row per scenario) grow with their input.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

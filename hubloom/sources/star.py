@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from hubloom.operators.costs import known_distance
 from hubloom.sources.raw import RawTables
 from hubloom.sources.small import literal_table
 
@@ -72,6 +73,7 @@ def add_distance_freight(items: DataFrame, distances: DataFrame) -> DataFrame:
     """
     fee = distances.select("customer_state", "hub",
                            (F.lit(FREIGHT_PER_KM) * F.col("km")).alias("distance_fee"))
-    return (items.join(F.broadcast(fee), ["customer_state", "hub"])
-            .withColumn("freight_value", F.col("freight_value") + F.col("distance_fee"))
+    fee_of = known_distance(F.col("customer_state"), F.col("distance_fee"))
+    return (items.join(F.broadcast(fee), ["customer_state", "hub"], "left")
+            .withColumn("freight_value", F.col("freight_value") + fee_of)
             .select(items.columns))

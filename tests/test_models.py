@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hubloom.config import RETAIL_NETWORK
 from hubloom.operators import routing
 from hubloom.operators.demand import demand_features
-from hubloom.operators.forecast import feature_names, model_frame, ridge_forecast
+from hubloom.operators.forecast import feature_names, fit_ridge, model_frame, ridge_forecast
 from hubloom.sources.small import literal_table
 
 CONFIG = replace(RETAIL_NETWORK, states=("SP", "RJ", "BA"), holdout_weeks=4)
@@ -36,8 +36,9 @@ def test_ridge_equals_the_closed_form(features):
     xc, yc = x - x.mean(0), y - y.mean()
     beta = np.linalg.solve(xc.T @ xc + CONFIG.ridge_alpha * np.eye(x.shape[1]), xc.T @ yc)
     intercept = y.mean() - x.mean(0) @ beta
-    assert np.allclose(fitted.model.coefficients.toArray(), beta, atol=1e-8)
-    assert fitted.model.intercept == pytest.approx(intercept, abs=1e-8)
+    found = {r.feature: r.coefficient for r in fitted.coefficients(CONFIG).collect()}
+    assert np.allclose([found[f] for f in feature_names(CONFIG)], beta, atol=1e-8)
+    assert found["intercept"] == pytest.approx(intercept, abs=1e-8)
 
     expected = {(str(r.week), r.series): max(np.array(r.x) @ beta + intercept, 0.0)
                 for r in rows if r.is_holdout}
@@ -48,6 +49,25 @@ def test_ridge_equals_the_closed_form(features):
         assert got[key].residual == pytest.approx(got[key].demand - forecast, abs=1e-7)
 
 
+def test_ridge_with_thousands_of_series(spark):
+    """More series than a dense solver takes, against the closed form on centred columns."""
+    rng = np.random.default_rng(1)
+    series, weeks, alpha = 4200, 3, 3.0
+    z = rng.normal(size=(series * weeks, 2))
+    of = np.repeat(np.arange(series), weeks)
+    y = 5 + z @ [2.0, -1.0] + rng.normal(size=series)[of] + 0.1 * rng.normal(size=len(of))
+    rows = literal_table(spark, series=[f"s{k}" for k in of], a=list(map(float, z[:, 0])),
+                         b=list(map(float, z[:, 1])), demand=list(map(float, y)))
+    intercept, weights, offsets = fit_ridge(rows, ["a", "b"], alpha)
+    x = np.hstack([z, np.eye(series)[of]])
+    xc, yc = x - x.mean(0), y - y.mean()
+    beta = np.linalg.solve(xc.T @ xc + alpha * np.eye(x.shape[1]), xc.T @ yc)
+    assert np.allclose(weights, beta[:2], atol=1e-9)
+    assert intercept == pytest.approx(y.mean() - x.mean(0) @ beta, abs=1e-9)
+    found = {r.series: r.offset for r in offsets.collect()}
+    assert np.allclose([found[f"s{k}"] for k in range(series)], beta[2:], atol=1e-9)
+
+
 @pytest.fixture(scope="module")
 def items(spark):
     rng = np.random.default_rng(9)
