@@ -30,7 +30,7 @@ LITERAL_SPACE = 0x110000
 FIRST_BYTE, FIRST_PIECE = 3, 259  # ids in the model: bytes, then pieces by rank
 UNKNOWN = 1 << 24  # ids from here stand for a character that goes by its bytes
 SLOT_BITS = 20
-STEP_BYTES = 1 << 21
+STEP_BYTES = 3 << 20
 TRIES = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -169,19 +169,24 @@ def build_lattices(chars: np.ndarray, first: np.ndarray, length: np.ndarray, voc
     left = length[unit] - inside  # characters from here to the unit's end
     at = np.where(left > 0, first[unit] + inside, 0)
     symbol = chars[at] if size else at
-    values = np.where(left > 0, char_values(symbol), np.uint64(0))
-    ids = np.full((size, vocabulary.longest), -1, np.int32)
+    scattered = char_values(symbol)
     total = np.zeros(size, np.uint64)
     powers = np.cumprod(np.append(np.uint64(1), np.full(vocabulary.longest, _BASE)), dtype=np.uint64)
+    ids = np.full((size, vocabulary.longest), -1, np.int32)
+    values = np.full(ids.shape, -np.inf, np.float32)  # log-weights of ids
+    there = np.flatnonzero(left > 0)
     for k in range(min(vocabulary.longest, int(length.max(initial=0)))):
-        total[:size - k] += values[k:] * powers[k]
-        there = np.flatnonzero(left > k)
+        there = there[left[there] > k]
+        total[there] += scattered[there + k] * powers[k]
         found = vocabulary.pieces.find(words.mix64(total[there]))
-        ids[there, k] = np.where(found >= 0, vocabulary.ids[np.maximum(found, 0)], -1)
+        hit = found >= 0
+        at, found = there[hit], vocabulary.ids[found[hit]]
+        ids[at, k], values[at, k] = found, vocabulary.weights[found]
+    lattices = Lattices(start, length, ids, np.zeros(size), np.ones(size, np.float32),
+                        np.zeros(ids.shape, np.float32), vocabulary.weights, vocabulary.byte_weight)
     lone = (left > 0) & (ids[:, 0] < 0)
     ids[lone, 0] = UNKNOWN + symbol[lone]
-    lattices = Lattices(start, length, ids, np.zeros(size), np.ones(size),
-                        np.zeros(ids.shape, np.float32), vocabulary.weights, vocabulary.byte_weight)
+    values[lone, 0] = lattices.weight(ids[lone, 0])
     # From the units' ends backwards, all units of at least t characters at once.
     longest_first = np.argsort(-length, kind="stable")
     ends = (start + length)[longest_first]
@@ -189,16 +194,15 @@ def build_lattices(chars: np.ndarray, first: np.ndarray, length: np.ndarray, voc
     for t, n in enumerate(counts.tolist(), 1):
         here = ends[:n] - t
         width = min(t, vocabulary.longest)
-        values = lattices.weight(ids[here, :width])
         after = here[:, None] + np.arange(1, width + 1)
-        values = values + lattices.rest[after]
-        top = values.max(axis=1)
-        shares = np.exp(values - top[:, None])
-        lattices.rest[here] = top + np.log(shares.sum(axis=1))
-        lattices.ways[here] = np.minimum((lattices.ways[after] * (ids[here, :width] >= 0)).sum(axis=1), 1e15)
-        reach = np.cumsum(shares, axis=1)
-        lattices.reach[here, :width] = reach / reach[:, -1:]
-        lattices.reach[here, width - 1:] = 2  # whatever is drawn, the last possible piece ends it
+        logs = values[here, :width] + lattices.rest[after]
+        top = logs.max(axis=1)
+        shares = np.exp((logs - top[:, None]).astype(np.float32))
+        lattices.ways[here] = np.minimum((lattices.ways[after] * (shares > 0)).sum(axis=1), 1e15)
+        reach = np.cumsum(shares, axis=1, dtype=np.float64)
+        lattices.rest[here] = top + np.log(reach[:, -1])
+        # Whatever is drawn, the last possible piece is within reach.
+        lattices.reach[here, :width] = np.where(reach >= reach[:, -1:], 2, reach / reach[:, -1:])
     return lattices
 
 
@@ -320,6 +324,7 @@ class Node:
     bound: float  # its perturbed log-chance
     log_chance: float
     parts: np.ndarray  # perturbed log-chance of the part of the space split off at each unit
+    top: float  # the largest of them
 
 
 def search(lattices: Lattices, kinds: np.ndarray, bounds: np.ndarray, seeds: np.ndarray, samples: int
@@ -348,9 +353,8 @@ def search(lattices: Lattices, kinds: np.ndarray, bounds: np.ndarray, seeds: np.
             chosen = []
             take = np.full(len(kinds), k)  # the run that each unit is copied from
             for t in range(texts):
-                tops = [node.parts.max(initial=-np.inf) for node in nodes[t]]
-                s = int(np.argmax(tops))
-                if np.isneginf(tops[s]):
+                s = max(range(len(nodes[t])), key=lambda i: nodes[t][i].top)
+                if nodes[t][s].top == -np.inf:
                     continue
                 unit = int(np.argmax(nodes[t][s].parts))
                 barred = ([*nodes[t][s].excluded] if unit == nodes[t][s].split else []) + [runs[s].of(int(bounds[t]) + unit)]
@@ -366,28 +370,37 @@ def search(lattices: Lattices, kinds: np.ndarray, bounds: np.ndarray, seeds: np.
         unit_weight = np.zeros(len(kinds))
         if len(kinds):
             unit_weight = np.add.reduceat(weight, run.bounds[:-1]) - total
+        chances = np.where(one_way, 0.0, np.minimum(unit_weight, -1e-15))
+        with np.errstate(divide="ignore"):
+            apart = np.where(one_way, -np.inf, np.log(-np.expm1(chances)))
+        # The part where a unit is the first to differ: what stands before it is as sampled.
+        before = np.zeros(len(kinds))
+        limit = np.zeros(texts)
         for t, s, unit, barred in chosen:
-            own = slice(int(bounds[t]), int(bounds[t + 1]))
-            chances = np.where(one_way[own], 0.0, np.minimum(unit_weight[own], -1e-15))
-            through = np.cumsum(chances)
+            start, end = int(bounds[t]), int(bounds[t + 1])
+            np.cumsum(chances[start:end - 1], out=before[start + 1:end])
             if s < 0:
-                bound = float(-np.log(-np.log(root[t])))
-            else:
-                bound = float(nodes[t][s].parts[unit])
-                nodes[t][s].parts[unit] = -np.inf
-            # The part where a unit is the first to differ: what stands before it is as sampled.
-            with np.errstate(divide="ignore"):
-                apart = np.where(one_way[own], -np.inf, np.log(-np.expm1(chances)))
-            if s >= 0:
-                apart[:unit] = -np.inf
-                gone = [*barred, run.of(int(bounds[t]) + unit)]
-                kind = int(kinds[int(bounds[t]) + unit])
-                left = 1 - sum(np.exp(lattices.weight(np.array(ids, np.int64)).sum() - total[int(bounds[t]) + unit]) for ids in gone)
-                all_gone = len(gone) >= lattices.ways[lattices.first[kind]]
-                apart[unit] = -np.inf if all_gone else np.log(max(left, 1e-300))
-            before = np.concatenate([[0.0], through[:-1]]) if len(through) else through
-            parts = bounded_gumbel(before + apart, np.full(len(chances), bound), drawn[own])
-            nodes[t].append(Node(unit, barred, bound, float(chances.sum()), parts))
+                limit[t] = -np.log(-np.log(root[t]))
+                continue
+            parent = nodes[t][s]
+            limit[t] = parent.parts[unit]
+            parent.parts[unit] = -np.inf
+            parent.top = float(parent.parts.max())
+            at = start + unit
+            apart[start:at] = -np.inf
+            gone = [*barred, run.of(at)]
+            left = 1 - sum(np.exp(lattices.weight(np.array(ids, np.int64)).sum() - total[at]) for ids in gone)
+            all_gone = len(gone) >= lattices.ways[lattices.first[kinds[at]]]
+            apart[at] = -np.inf if all_gone else np.log(max(left, 1e-300))
+        parts = bounded_gumbel(before + apart, limit[text_of], drawn)
+        some = np.diff(bounds) > 0
+        tops = np.full(texts, -np.inf)
+        if len(parts):
+            tops[some] = np.maximum.reduceat(parts, bounds[:-1][some])
+        for t, s, unit, barred in chosen:
+            start, end = int(bounds[t]), int(bounds[t + 1])
+            chance = float(before[end - 1] + chances[end - 1]) if end > start else 0.0
+            nodes[t].append(Node(unit, barred, float(limit[t]), chance, parts[start:end], float(tops[t])))
         runs.append(run)
     return runs, nodes, rounds
 
@@ -461,7 +474,7 @@ def sampled_batches(ids: pa.Array, texts: pa.Array, vocabulary: Vocabulary, samp
             for i, t in enumerate(chosen.tolist()):
                 text = spelled[before[at[i]]:before[at[i + 1]]]
                 same.append(np.array_equal(text[1:], part[cuts[t]:cuts[t + 1]]))
-            threshold = np.array([max((n.parts.max(initial=-np.inf) for n in nodes[t]), default=-np.inf) for t in chosen.tolist()])
+            threshold = np.array([max(n.top for n in nodes[t]) for t in chosen.tolist()])
             chance = np.array([nodes[t][k].log_chance for t in chosen.tolist()])
             yield pa.RecordBatch.from_arrays([
                 ids.slice(first, last - first).take(pa.array(chosen)), pa.array(np.full(len(chosen), k + 1, np.int32)),
