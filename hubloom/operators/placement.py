@@ -113,16 +113,18 @@ def _price_sets(cost: str) -> str:
 
 
 def with_prices(network: DataFrame) -> DataFrame:
-    """Add `prices`: array of (price[3], floor), floor being min cost + price by state."""
-    return (network
-            .withColumn("candidate", F.expr(
-                f"array_distinct(transform({_price_sets('cost')}, c -> c.price))"))
-            .withColumn("prices", F.expr("""
-                transform(candidate, price -> named_struct(
-                    'price', price,
-                    'floor', transform(states, s ->
-                        array_min(zip_with(s.cost, price, (c, q) -> c + q)))))"""))
-            .drop("candidate"))
+    """Add `prices`: array of (price[3], floor), floor being min cost + price by state.
+
+    The candidates are rows while equal ones are removed and their floors computed, so this
+    grows with their number, not with its square, and runs in parallel.
+    """
+    candidates = (network.select(F.explode(F.expr(f"transform({_price_sets('cost')}, c -> c.price)")).alias("price"))
+                  .distinct()
+                  .withColumn("states", network.select("states").scalar()))
+    priced = candidates.select(F.expr("""
+        named_struct('price', price, 'floor', transform(states, s ->
+            array_min(zip_with(s.cost, price, (c, q) -> c + q)))) AS price"""))
+    return network.withColumn("prices", priced.agg(F.collect_list("price")).scalar())
 
 
 def with_bases(network: DataFrame) -> DataFrame:
