@@ -24,6 +24,8 @@ PERCENT = 75
 CACHED = 1 << 15
 # Centres to which each document is compared first; all else is left to the exact pass.
 FIRST_TRIES = 2
+# Rarest shingles of a set that travel with each of them in the exact pass.
+HEAD = 100
 
 
 def circle_place(shingles: np.ndarray) -> np.ndarray:
@@ -139,33 +141,58 @@ def rare_prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> Data
     """All pairs of `members` (node, component) across components that can be similar enough.
 
     With shingles ordered rarest first, two similar sets share one within their first
-    n - ceil(percent * n / 100) + 1. Documents with edits of their own begin with shingles that
-    nobody shares, so few pairs come out. For each shingle the largest component's documents
-    meet the others only, never each other.
+    n - ceil(percent * n / 100) + 1. A pair comes out at the first one that they share only, and
+    only if the overlap that their sizes ask for can still be reached: by what is left of either
+    from there on, and by what their `HEAD` rarest share and what comes after these. (All of a
+    head that isn't in the other head is lost, for the one whose head ends first.) Documents with
+    edits of their own begin with shingles that nobody shares, so few pairs come out. For each
+    shingle the largest component's documents meet the others only, never each other.
     """
     tokens = (members.join(sets, F.col("node") == F.col("doc_id"))
               .select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("token")))
     counts = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("low"),
                                          F.max("component").alias("high"))
     rarest = Window.partitionBy("node").orderBy("df", "token")
+    ranked = (tokens.join(counts, "token").withColumn("rank", F.row_number().over(rarest))
+              .filter(F.col("rank") <= F.greatest(F.lit(HEAD), F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)))
+    heads = ranked.filter(F.col("rank") <= HEAD).groupBy("node").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("head"))
     prefix = written(
-        tokens.join(counts, "token").withColumn("rank", F.row_number().over(rarest))
-        .filter((F.col("rank") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)
-                & (F.col("low") != F.col("high")))
-        .select("token", "node", "component", "n"))
+        ranked.filter((F.col("rank") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)
+                      & (F.col("low") != F.col("high")))
+        .join(heads, "node")
+        .select("token", "node", "component", "n", (F.col("n") - F.col("rank") + 1).alias("rest"), "head"))
     largest = (prefix.groupBy("token", "component").agg(F.count("*").alias("held"))
                .groupBy("token").agg(F.max_by("component", "held").alias("largest"),
                                      F.count("*").alias("kinds"))
                .filter(F.col("kinds") > 1).select("token", "largest"))
-    left = (prefix.join(largest, "token").filter(F.col("component") != F.col("largest"))
-            .select("token", F.col("node").alias("x"), F.col("component").alias("x_of"), F.col("n").alias("x_n")))
-    right = prefix.select("token", F.col("node").alias("y"), F.col("component").alias("y_of"), F.col("n").alias("y_n"))
+    side = lambda s, rows: rows.select(
+        "token", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("component", "n", "rest", "head")])
+    left = side("x", prefix.join(largest, "token").filter(F.col("component") != F.col("largest")))
+    right = side("y", prefix.join(largest, "token"))
+    common = F.array_intersect("x_head", "y_head")
+    after = F.greatest(F.col("x_n") - F.size("x_head"), F.col("y_n") - F.size("y_head"))
+    asked = percent * (F.col("x_n") + F.col("y_n"))
+    reachable = ((100 + percent) * F.least("x_rest", "y_rest") >= asked) & (
+        (100 + percent) * (F.size(common) + after) >= asked)
+    first = F.coalesce(F.get(common, F.lit(0)) == F.col("token"), F.lit(True))
     return (left.join(right, "token")
-            .filter((F.col("x_of") != F.col("y_of"))
-                    & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")))
+            .filter((F.col("x_component") != F.col("y_component")) & reachable & first)
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
+def open_members(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members (band, node, component) of the buckets that hold more than one component.
+
+    The pair of a bucket of two has been compared.
+    """
+    placed = (members.filter(F.col("held") > 2).join(parts, "node", "left")
+              .select("band", "node", F.coalesce("component", "node").alias("component")))
+    mixed = (placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+             .filter(F.col("low") != F.col("high")).select("band"))
+    return placed.join(mixed, "band", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Columns doc_id, n_shingles, component_id (smallest id reachable by links), kept.
@@ -203,13 +230,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     sets = written(one_set(sets_of(whole, "doc_id", "text", members.select("node").distinct())))
     links = written(confirmed(first, sets, percent))
     parts = written(components(links))
-    placed = (members.filter(F.col("held") > 2)
-              .join(parts, "node", "left")
-              .select("band", "node", F.coalesce("component", "node").alias("component")))
-    mixed = (placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-             .filter(F.col("low") != F.col("high")).select("band"))
-    open_members = placed.join(mixed, "band", "left_semi").select("node", "component").distinct()
-    more = confirmed(rare_prefix_pairs(written(open_members), sets, percent), sets, percent)
+    still = open_members(members, parts).select("node", "component").distinct()
+    more = confirmed(rare_prefix_pairs(written(still), sets, percent), sets, percent)
     more = written(more.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     final = components(more)
     named = (classes.join(final, "node", "left")
