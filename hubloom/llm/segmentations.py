@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -30,7 +30,7 @@ LITERAL_SPACE = 0x110000
 FIRST_BYTE, FIRST_PIECE = 3, 259  # ids in the model: bytes, then pieces by rank
 UNKNOWN = 1 << 24  # ids from here stand for a character that goes by its bytes
 SLOT_BITS = 20
-STEP_BYTES = 3 << 20
+STEP_BYTES = 5 << 20
 TRIES = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -182,7 +182,8 @@ def build_lattices(chars: np.ndarray, first: np.ndarray, length: np.ndarray, voc
         hit = found >= 0
         at, found = there[hit], vocabulary.ids[found[hit]]
         ids[at, k], values[at, k] = found, vocabulary.weights[found]
-    lattices = Lattices(start, length, ids, np.zeros(size), np.ones(size, np.float32),
+    rest, ways = np.zeros(size + 1), np.ones(size + 1, np.float32)
+    lattices = Lattices(start, length, ids, rest[:size], ways[:size],
                         np.zeros(ids.shape, np.float32), vocabulary.weights, vocabulary.byte_weight)
     lone = (left > 0) & (ids[:, 0] < 0)
     ids[lone, 0] = UNKNOWN + symbol[lone]
@@ -194,11 +195,11 @@ def build_lattices(chars: np.ndarray, first: np.ndarray, length: np.ndarray, voc
     for t, n in enumerate(counts.tolist(), 1):
         here = ends[:n] - t
         width = min(t, vocabulary.longest)
-        after = here[:, None] + np.arange(1, width + 1)
-        logs = values[here, :width] + lattices.rest[after]
+        # What follows a position in the arrays is what follows it in the unit.
+        logs = sliding_window_view(rest, width)[here + 1] + values[here, :width]
         top = logs.max(axis=1)
         shares = np.exp((logs - top[:, None]).astype(np.float32))
-        lattices.ways[here] = np.minimum((lattices.ways[after] * (shares > 0)).sum(axis=1), 1e15)
+        lattices.ways[here] = np.minimum((sliding_window_view(ways, width)[here + 1] * (shares > 0)).sum(axis=1), 1e15)
         reach = np.cumsum(shares, axis=1, dtype=np.float64)
         lattices.rest[here] = top + np.log(reach[:, -1])
         # Whatever is drawn, the last possible piece is within reach.
