@@ -9,16 +9,11 @@ from hubloom.functions.geo import haversine_km
 from hubloom.operators.quantiles import exact_quantiles
 from hubloom.sources.small import literal_table
 
-# Widths, in degrees, of the strips the medians narrow down to: at most 360,000 per
-# state, each about a hundred metres wide. Add finer widths for denser points.
-MEDIAN_STRIPS = (1e-3,)
-
-
 def state_centroids(geolocation: DataFrame) -> DataFrame:
     """Median latitude and median longitude per state, each on its own."""
     points = geolocation.selectExpr("geolocation_state AS state", "geolocation_lat AS lat",
                                     "geolocation_lng AS lng")
-    medians = exact_quantiles(points, "state", ["lat", "lng"], [0.5], MEDIAN_STRIPS)
+    medians = exact_quantiles(points, "state", ["lat", "lng"], [0.5])
     return medians.groupBy("state").agg(
         F.expr("max(if(axis = 'lat', value, NULL))").alias("lat"),
         F.expr("max(if(axis = 'lng', value, NULL))").alias("lng"))

@@ -13,9 +13,6 @@ from hubloom.operators.placement import (
 from hubloom.operators.quantiles import exact_quantiles
 from hubloom.sources.small import literal_table
 
-# Width, in percentage points, of the strips the saving quartiles narrow down to.
-SAVING_STRIPS = (0.01,)
-
 RESULT = ["policy_cost", "optimised_cost", "saving_pct", "policy_capacity_breach"]
 
 
@@ -64,7 +61,7 @@ def saving_summary(results: DataFrame) -> DataFrame:
     Reads the results several times: pass a written table.
     """
     quartiles = exact_quantiles(results.selectExpr("1 AS all", "saving_pct"), "all",
-                                ["saving_pct"], [0.25, 0.5, 0.75], SAVING_STRIPS)
+                                ["saving_pct"], [0.25, 0.5, 0.75])
     row = quartiles.agg(F.expr("map_from_entries(collect_list(struct(fraction, value)))").alias("q"))
     return results.agg(
         F.count("saving_pct").alias("scenarios"),

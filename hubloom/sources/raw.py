@@ -29,6 +29,7 @@ class RawTables:
     category_translation: DataFrame
 
 
+# File names and columns of the public data, as they are spelled there.
 # Full file layouts: a CSV schema has to name every column in file order, and
 # Spark then parses only the ones a query uses.
 _STRING, _DOUBLE, _INT, _TS = T.StringType(), T.DoubleType(), T.IntegerType(), T.TimestampType()

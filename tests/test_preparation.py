@@ -123,20 +123,21 @@ def test_csv_reader_matches_the_raw_tables(spark, raw, tmp_path):
     assert tables.geolocation.first().geolocation_lat == -23.5
 
 
-@pytest.mark.parametrize("strips", [(1e-2,), (1e-3,), (1.0, 1e-2), (1e-2, 1e-5), ()])
-def test_exact_quantiles_of_skewed_groups(spark, strips):
+@pytest.mark.parametrize("few_rows,strips", [(100_000, 1024), (50, 4), (1, 8), (300, 2)])
+def test_exact_quantiles_of_skewed_groups(spark, few_rows, strips):
     rng = np.random.default_rng(1)
     groups = {
         "one": rng.normal(0, 5, 1), "two": rng.normal(0, 5, 2),
         "wide": rng.uniform(-90, 90, 501), "even": rng.uniform(-3, 3, 400),
         "hot": np.concatenate([np.full(3000, 1.23456), rng.uniform(0, 2, 700)]),
+        "large": rng.lognormal(0, 3, 5000),  # many different values of one key, most in few strips
         "split": np.array([0.9999, 1.0001] * 5),  # the middle ranks lie in two strips
         "grid": np.round(rng.uniform(-1, 1, 1000), 2),
     }
     rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("one", None), ("one", float("nan"))]
     frame = spark.createDataFrame(rows, "k string, v double").selectExpr("k", "v", "-2 * v AS w")
     fractions = [0.0, 0.25, 0.5, 0.9]
-    rows = exact_quantiles(frame, "k", ["v", "w"], fractions, strips).collect()
+    rows = exact_quantiles(frame, "k", ["v", "w"], fractions, few_rows, strips).collect()
     found = {(r.k, r.axis, r.fraction): r.value for r in rows}
     assert len(found) == len(rows) == len(groups) * 2 * len(fractions)
     for (k, axis, fraction), value in found.items():
