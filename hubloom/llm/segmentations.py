@@ -15,7 +15,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -30,7 +29,7 @@ LITERAL_SPACE = 0x110000
 FIRST_BYTE, FIRST_PIECE = 3, 259  # ids in the model: bytes, then pieces by rank
 UNKNOWN = 1 << 24  # ids from here stand for a character that goes by its bytes
 SLOT_BITS = 20
-STEP_BYTES = 5 << 20
+STEP_BYTES = 2 << 20
 TRIES = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -67,17 +66,15 @@ def char_values(chars: np.ndarray) -> np.ndarray:
     return words.mix64(chars.astype(np.uint64) + np.uint64(0x1234567))
 
 
-def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return words.mix64(char_values(left) * _BASE + char_values(right))
-
-
 @dataclass
 class Vocabulary:
     """Pieces of a model as arrays; small enough to travel with every task."""
 
     ids: np.ndarray  # of each number in the lookup
     pieces: Lookup
-    pairs: Lookup  # of characters that stand side by side in a piece
+    symbols: np.ndarray  # by code point: number of a character that has neighbours in pieces, else 0
+    values: np.ndarray  # of the numbered characters
+    beside: np.ndarray  # by pair of numbers: whether they stand side by side in a piece
     longest: int
     weights: np.ndarray  # log-weight by id
     byte_weight: float
@@ -105,13 +102,18 @@ def read_vocabulary(path: str | None = None, alpha: float = ALPHA) -> Vocabulary
         powers = np.cumprod(np.append(np.uint64(1), np.full(len(chars) - 1, _BASE)), dtype=np.uint64)
         keys.append((char_values(chars) * powers).sum(dtype=np.uint64))
         pairs |= set(zip(names[i], names[i][1:]))
-    left, right = (np.array([ord(p[k]) for p in sorted(pairs)]) for k in (0, 1))
+    alphabet = np.array(sorted({ord(c) for pair in pairs for c in pair}))
+    symbols = np.zeros(LITERAL_SPACE + 1, np.int32)
+    symbols[alphabet] = np.arange(1, len(alphabet) + 1)
+    beside = np.zeros((len(alphabet) + 1,) * 2, bool)
+    for left, right in pairs:
+        beside[symbols[ord(left)], symbols[ord(right)]] = True
     weights = -alpha * np.log(np.arange(size) - FIRST_PIECE + 2.0, where=np.arange(size) >= FIRST_PIECE, out=np.zeros(size))
     byte_weight = -alpha * float(np.log(size + 2.0))
     spelled = [bytes([i - FIRST_BYTE]) if FIRST_BYTE <= i < FIRST_PIECE else names[i].replace(chr(SPACE), " ").encode()
                if i >= FIRST_PIECE else b"" for i in range(size)]
-    return Vocabulary(np.array(ids), Lookup(words.mix64(np.array(keys, np.uint64))), Lookup(pair_keys(left, right)), longest,
-                      weights, byte_weight, np.frombuffer(b"".join(spelled), np.uint8),
+    return Vocabulary(np.array(ids), Lookup(words.mix64(np.array(keys, np.uint64))), symbols,
+                      char_values(np.append(0, alphabet)), beside, longest, weights, byte_weight, np.frombuffer(b"".join(spelled), np.uint8),
                       np.concatenate([[0], np.cumsum([len(s) for s in spelled])]))
 
 
@@ -159,7 +161,8 @@ class Lattices:
         return result
 
 
-def build_lattices(chars: np.ndarray, first: np.ndarray, length: np.ndarray, vocabulary: Vocabulary) -> Lattices:
+def build_lattices(chars: np.ndarray, values: np.ndarray, first: np.ndarray, length: np.ndarray,
+                   vocabulary: Vocabulary) -> Lattices:
     """Lattices of units given as (first, length) in `chars`; each unit gets an end position."""
     start = np.cumsum(length + 1) - (length + 1)
     size = int((length + 1).sum())
@@ -169,41 +172,53 @@ def build_lattices(chars: np.ndarray, first: np.ndarray, length: np.ndarray, voc
     left = length[unit] - inside  # characters from here to the unit's end
     at = np.where(left > 0, first[unit] + inside, 0)
     symbol = chars[at] if size else at
-    scattered = char_values(symbol)
+    scattered = values[at] if size else np.zeros(0, np.uint64)
     total = np.zeros(size, np.uint64)
     powers = np.cumprod(np.append(np.uint64(1), np.full(vocabulary.longest, _BASE)), dtype=np.uint64)
-    ids = np.full((size, vocabulary.longest), -1, np.int32)
-    values = np.full(ids.shape, -np.inf, np.float32)  # log-weights of ids
+    pieces: list[np.ndarray] = []  # by length less 1: ids at each position, and their log-weights
+    logs: list[np.ndarray] = []
     there = np.flatnonzero(left > 0)
     for k in range(min(vocabulary.longest, int(length.max(initial=0)))):
+        total[:size - k] += scattered[k:] * powers[k]
         there = there[left[there] > k]
-        total[there] += scattered[there + k] * powers[k]
         found = vocabulary.pieces.find(words.mix64(total[there]))
         hit = found >= 0
         at, found = there[hit], vocabulary.ids[found[hit]]
-        ids[at, k], values[at, k] = found, vocabulary.weights[found]
-    rest, ways = np.zeros(size + 1), np.ones(size + 1, np.float32)
-    lattices = Lattices(start, length, ids, rest[:size], ways[:size],
-                        np.zeros(ids.shape, np.float32), vocabulary.weights, vocabulary.byte_weight)
-    lone = (left > 0) & (ids[:, 0] < 0)
-    ids[lone, 0] = UNKNOWN + symbol[lone]
-    values[lone, 0] = lattices.weight(ids[lone, 0])
+        pieces.append(np.full(size, -1, np.int32))
+        logs.append(np.full(size, -np.inf, np.float32))
+        pieces[k][at], logs[k][at] = found, vocabulary.weights[found]
+    rest, ways = np.zeros(size + len(pieces)), np.ones(size + len(pieces), np.float32)
+    lattices = Lattices(start, length, np.zeros((size, 0), np.int32), rest, ways,
+                        np.zeros((size, len(pieces)), np.float32), vocabulary.weights, vocabulary.byte_weight)
+    if not pieces:
+        return lattices
+    lone = np.flatnonzero((left > 0) & (pieces[0] < 0))
+    pieces[0][lone] = UNKNOWN + symbol[lone]
+    logs[0][lone] = lattices.weight(pieces[0][lone])
     # From the units' ends backwards, all units of at least t characters at once.
     longest_first = np.argsort(-length, kind="stable")
     ends = (start + length)[longest_first]
-    counts = np.searchsorted(-length[longest_first], -np.arange(1, int(length.max(initial=0)) + 1), side="right")
+    counts = np.searchsorted(-length[longest_first], -np.arange(1, int(length.max()) + 1), side="right")
     for t, n in enumerate(counts.tolist(), 1):
         here = ends[:n] - t
-        width = min(t, vocabulary.longest)
+        width = min(t, len(pieces))
         # What follows a position in the arrays is what follows it in the unit.
-        logs = sliding_window_view(rest, width)[here + 1] + values[here, :width]
-        top = logs.max(axis=1)
-        shares = np.exp((logs - top[:, None]).astype(np.float32))
-        lattices.ways[here] = np.minimum((sliding_window_view(ways, width)[here + 1] * (shares > 0)).sum(axis=1), 1e15)
-        reach = np.cumsum(shares, axis=1, dtype=np.float64)
-        lattices.rest[here] = top + np.log(reach[:, -1])
+        each = [logs[k][here] + rest[here + k + 1] for k in range(width)]
+        top = each[0].copy()
+        for one in each[1:]:
+            np.maximum(top, one, out=top)
+        so_far, count = np.zeros(n), np.zeros(n, np.float32)
+        reach = np.empty((n, width))
+        for k, one in enumerate(each):
+            share = np.exp((one - top).astype(np.float32))
+            so_far += share
+            reach[:, k] = so_far
+            count += ways[here + k + 1] * (share > 0)
+        rest[here] = top + np.log(so_far)
+        ways[here] = np.minimum(count, 1e15)
         # Whatever is drawn, the last possible piece is within reach.
-        lattices.reach[here, :width] = np.where(reach >= reach[:, -1:], 2, reach / reach[:, -1:])
+        lattices.reach[here, :width] = np.where(reach >= so_far[:, None], 2, reach / so_far[:, None])
+    lattices.ids = np.stack(pieces, axis=1)
     return lattices
 
 
@@ -447,18 +462,12 @@ def sampled_batches(ids: pa.Array, texts: pa.Array, vocabulary: Vocabulary, samp
     keys = ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     seeds = words.mix64(words.mix64(keys) + np.uint64(seed))
     for first, last in words.steps(offsets, STEP_BYTES):
-        part = data[offsets[first]:offsets[last]]
-        cuts = offsets[first:last + 1] - offsets[first]
-        chars, bounds = characters(part, cuts)
-        new = np.ones(len(chars), bool)
-        if len(chars):
-            new[1:] = vocabulary.pairs.find(pair_keys(chars[:-1], chars[1:])) < 0
-            new[bounds[:-1][np.diff(bounds) > 0]] = True
-        starts = np.flatnonzero(new)
-        length = np.diff(np.append(starts, len(chars)))
+        chars, bounds = characters(data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first])
+        values, starts, length = units_of(chars, bounds, vocabulary)
         unit_bounds = np.searchsorted(starts, bounds)
-        kinds, one, of = distinct_units(chars, starts, length)
-        lattices = build_lattices(chars, starts[one], length[one], vocabulary)
+        one, of = distinct_units(values, starts, length)
+        lattices = build_lattices(chars, values, starts[one], length[one], vocabulary)
+        del chars, values
         runs, nodes, rounds = search(lattices, of, unit_bounds, seeds[first:last], samples)
         for k, run in enumerate(runs):
             chosen = np.array(rounds[k], np.int64)
@@ -466,34 +475,42 @@ def sampled_batches(ids: pa.Array, texts: pa.Array, vocabulary: Vocabulary, samp
                 continue
             run = spelled_ids(run)
             edges = run.bounds[unit_bounds]
-            own = np.concatenate([np.arange(edges[t], edges[t + 1]) for t in chosen] + [np.zeros(0, np.int64)])
             counts = (edges[1:] - edges[:-1])[chosen]
-            kept = run.ids[own]
-            spelled, before = decode_bytes(kept, vocabulary)
             at = np.concatenate([[0], np.cumsum(counts)])
-            same = []
-            for i, t in enumerate(chosen.tolist()):
-                text = spelled[before[at[i]]:before[at[i + 1]]]
-                same.append(np.array_equal(text[1:], part[cuts[t]:cuts[t + 1]]))
+            own = run.ids
+            if len(chosen) < last - first:
+                own = np.concatenate([run.ids[edges[t]:edges[t + 1]] for t in chosen])
             threshold = np.array([max(n.top for n in nodes[t]) for t in chosen.tolist()])
             chance = np.array([nodes[t][k].log_chance for t in chosen.tolist()])
             yield pa.RecordBatch.from_arrays([
                 ids.slice(first, last - first).take(pa.array(chosen)), pa.array(np.full(len(chosen), k + 1, np.int32)),
-                pa.array(counts.astype(np.int32)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(kept.astype(np.int32))),
-                pa.array(np.round(chance, 6)), pa.array(np.round(log_inclusion(chance, threshold), 6)), pa.array(same, pa.bool_())],
-                names=NAMES)
-
-
-def distinct_units(chars: np.ndarray, starts: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the distinct units, one example of each, and the number of each unit's kind."""
+                pa.array(counts.astype(np.int32)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(own.astype(np.int32))),
+                pa.array(np.round(chance, 6)), pa.array(np.round(log_inclusion(chance, threshold), 6))], names=NAMES)
+
+
+def units_of(chars: np.ndarray, bounds: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash values of the characters, and starts and lengths of the units that no piece leaves."""
+    symbol = vocabulary.symbols[chars]
+    values = vocabulary.values[symbol]
+    rare = np.flatnonzero(symbol == 0)
+    values[rare] = char_values(chars[rare])
+    new = np.ones(len(chars), bool)
+    if len(chars):
+        new[1:] = ~vocabulary.beside[symbol[:-1], symbol[1:]]
+        new[bounds[:-1][np.diff(bounds) > 0]] = True
+    starts = np.flatnonzero(new)
+    return values, starts, np.diff(np.append(starts, len(chars)))
+
+
+def distinct_units(values: np.ndarray, starts: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One example of each kind of unit, and the number of each unit's kind."""
     if not len(starts):
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty
-    place = np.arange(len(chars)) - np.repeat(starts, length)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.arange(len(values)) - np.repeat(starts, length)
     powers = np.cumprod(np.append(np.uint64(1), np.full(int(length.max()) - 1, _BASE)), dtype=np.uint64)
-    keys = words.mix64(np.add.reduceat(char_values(chars) * powers[place], starts) + length.astype(np.uint64))
-    kinds, one, of = np.unique(keys, return_index=True, return_inverse=True)
-    return kinds, one, of
+    keys = words.mix64(np.add.reduceat(values * powers[place], starts) + length.astype(np.uint64))
+    _, one, of = np.unique(keys, return_index=True, return_inverse=True)
+    return one, of
 
 
 def log_inclusion(log_chance: np.ndarray, threshold: np.ndarray) -> np.ndarray:
@@ -504,9 +521,8 @@ def log_inclusion(log_chance: np.ndarray, threshold: np.ndarray) -> np.ndarray:
     return np.where(np.isneginf(threshold), 0.0, np.minimum(value, 0.0))
 
 
-NAMES = ["doc_id", "sample", "n_pieces", "pieces", "log_chance", "log_inclusion", "round_trip"]
-SCHEMA = ("doc_id long, sample int, n_pieces int, pieces array<int>, log_chance double, log_inclusion double, "
-          "round_trip boolean")
+NAMES = ["doc_id", "sample", "n_pieces", "pieces", "log_chance", "log_inclusion"]
+SCHEMA = "doc_id long, sample int, n_pieces int, pieces array<int>, log_chance double, log_inclusion double"
 
 
 def sample_segmentations(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text",
@@ -515,7 +531,7 @@ def sample_segmentations(docs: DataFrame, vocabulary: Vocabulary, key: str = "do
 
     Columns: doc_id, sample (from 1, by falling perturbed log-chance), n_pieces, pieces (ids),
     log_chance, log_inclusion (log of the chance to be among the samples, given the first
-    perturbed log-chance that isn't), round_trip (decoding gives the text back). Texts with
+    perturbed log-chance that isn't). `decode` gives the text back from any sample. Texts with
     fewer segmentations have all of them. Null and empty texts have the empty one. Whole texts
     are segmented; draws are seeded by the id (null ids alike), so repeated rows give the same.
     An empty table gives an empty result. Other columns are not looked at.
