@@ -128,7 +128,7 @@ def votes(facts: np.ndarray) -> np.ndarray:
         return np.where(bad, BAD, np.where(good, GOOD, NONE))
 
     return np.stack([
-        vote(f["words"] < 3, f["words"] > 40),
+        vote(f["words"] < 1, f["words"] > 40),
         vote(f["symbols"] > 0.06, f["symbols"] < 0.01),
         vote(some & (f["capitals"] > 0.4), f["capitals"] < 0.15),
         vote(some & (f["common"] < 0.04), some & (f["common"] > 0.12)),
@@ -149,22 +149,24 @@ def pattern_chances(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200)
     """Chance that each vote pattern's documents are good, and how labellers vote by class.
 
     Expectation-maximisation over patterns weighted by their documents. Labellers are taken to
-    be independent within a class; pseudo-counts say that they are seldom wrong on good ones.
+    be independent within a class, and to say nothing by not voting; pseudo-counts say that they
+    are seldom wrong on good documents.
     """
     cast = patterns[:, None] // POWERS % 3
-    prior = np.zeros((2, 3))
-    prior[GOOD, [BAD, GOOD, NONE]] = 0.2, 20, 5
-    prior[BAD, [BAD, GOOD, NONE]] = 6, 10, 4
-    table = np.broadcast_to((prior / prior.sum(axis=1, keepdims=True))[:, None, :], (2, LABELLERS, 3))
+    voted = cast != NONE
+    prior = np.zeros((2, 2))
+    prior[GOOD, [BAD, GOOD]] = 0.2, 20
+    prior[BAD, [BAD, GOOD]] = 6, 10
+    table = np.broadcast_to((prior / prior.sum(axis=1, keepdims=True))[:, None, :], (2, LABELLERS, 2))
     good_share = 0.85
     chances = np.zeros(len(patterns))
     for _ in range(rounds):
-        logs = np.log(table[:, np.arange(LABELLERS), cast]).sum(axis=2)
+        logs = (np.log(table[:, np.arange(LABELLERS), np.where(voted, cast, 0)]) * voted).sum(axis=2)
         odds = logs[GOOD] - logs[BAD] + np.log(good_share / (1 - good_share))
         new = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
         weights = np.stack([counts * (1 - new), counts * new])
-        table = np.zeros((2, LABELLERS, 3))
-        for value in range(3):
+        table = np.zeros((2, LABELLERS, 2))
+        for value in (BAD, GOOD):
             table[:, :, value] = weights @ (cast == value) + prior[:, value][:, None]
         table /= table.sum(axis=2, keepdims=True)
         good_share = (weights[GOOD].sum() + 8.5) / (counts.sum() + 10)

@@ -110,5 +110,5 @@ def test_expectation_maximisation_finds_the_labellers():
     chances, table = quality.pattern_chances(patterns, counts.astype(float))
     found = np.array([chances[p] for p in patterns.tolist()])[of]
     assert ((found >= 0.5) == good).mean() > 0.97
-    assert np.abs(table[quality.GOOD, :, quality.BAD] - wrong * 0.9).max() < 0.02
-    assert np.abs(table[quality.BAD, :, quality.BAD] - 0.45).max() < 0.05
+    assert np.abs(table[quality.GOOD, :, quality.BAD] - wrong).max() < 0.02
+    assert np.abs(table[quality.BAD, :, quality.BAD] - 0.5).max() < 0.05
