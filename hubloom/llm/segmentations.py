@@ -29,7 +29,7 @@ LITERAL_SPACE = 0x110000
 FIRST_BYTE, FIRST_PIECE = 3, 259  # ids in the model: bytes, then pieces by rank
 UNKNOWN = 1 << 24  # ids from here stand for a character that goes by its bytes
 SLOT_BITS = 20
-STEP_BYTES = 2 << 20
+STEP_BYTES = 3 << 18
 TRIES = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -187,6 +187,9 @@ def build_lattices(chars: np.ndarray, values: np.ndarray, first: np.ndarray, len
         pieces.append(np.full(size, -1, np.int32))
         logs.append(np.full(size, -np.inf, np.float32))
         pieces[k][at], logs[k][at] = found, vocabulary.weights[found]
+    while len(pieces) > 1 and (pieces[-1] < 0).all():  # no piece of these units is so long
+        pieces.pop()
+        logs.pop()
     rest, ways = np.zeros(size + len(pieces)), np.ones(size + len(pieces), np.float32)
     lattices = Lattices(start, length, np.zeros((size, 0), np.int32), rest, ways,
                         np.zeros((size, len(pieces)), np.float32), vocabulary.weights, vocabulary.byte_weight)
@@ -218,6 +221,7 @@ def build_lattices(chars: np.ndarray, values: np.ndarray, first: np.ndarray, len
         ways[here] = np.minimum(count, 1e15)
         # Whatever is drawn, the last possible piece is within reach.
         lattices.reach[here, :width] = np.where(reach >= so_far[:, None], 2, reach / so_far[:, None])
+    logs.clear()
     lattices.ids = np.stack(pieces, axis=1)
     return lattices
 
