@@ -4,9 +4,10 @@ Vectors so close to a leader that any two of them must be linked are one ball; b
 the graph is built on, so a crowd of near copies is a few nodes. Leaders are dealt to the shards
 of their nearest centres. In each shard a graph of robustly pruned neighbours is built; the
 adjacency lists of all shards are united. Every leader then searches its nearest shards greedily
-from the medoid and widens the search through whatever lies in range. Pairs of balls are decided
-by their angle where it leaves no doubt, and vector by vector otherwise. An audit counts links of
-a sample by brute force; if any is missing, more shards are searched.
+from the medoid and the nearest of some spread nodes, and widens the search through whatever lies
+in range. Pairs of balls are decided by their angle where it leaves no doubt, and vector by vector
+otherwise. An audit counts links of a sample by brute force; if too many are missing, more shards
+are searched, and at last every ball is compared with every other.
 """
 
 from __future__ import annotations
@@ -30,7 +31,10 @@ PROBES = 3  # shards that it searches at first
 # Rows among which leaders are chosen in one task, and nodes of one graph.
 BLOCK_ROWS = 4096
 POOL, DEGREE, ALPHA = 32, 16, 1.2
+FAR = 2  # links of each node to rows drawn from all of the graph
+JOINS = 8  # links that a node may give to nodes that can't be reached otherwise
 BEAM = 16
+SPREAD, STARTS = 256, 4  # nodes that searches may start from, those nearest to a query
 SEARCHED_AT_ONCE = 1024
 AUDIT_ROWS = 256
 AUDIT_RECALL = 0.999
@@ -108,7 +112,10 @@ def robust_prune(rows: np.ndarray, pool: np.ndarray, degree: int = DEGREE, alpha
 
 
 def build_graph(rows: np.ndarray) -> np.ndarray:
-    """Adjacency of one shard: each row's pool are its nearest rows and a few far ones."""
+    """Adjacency of one shard: neighbours out of each row's nearest rows, and a few far ones.
+
+    Every row can be reached from the medoid.
+    """
     n = len(rows)
     width = min(POOL, n - 1)
     if width < 1:
@@ -126,17 +133,96 @@ def build_graph(rows: np.ndarray) -> np.ndarray:
         row = graph[graph[node, k]]
         if node not in row and (room := np.flatnonzero(row < 0)).size:
             row[room[0]] = node
-    return graph
+    rng = np.random.Generator(np.random.PCG64(SEED))
+    far = (np.arange(n)[:, None] + rng.integers(1, n, (n, FAR))) % n
+    return connected(rows, np.concatenate([graph, far.astype(np.int32)], axis=1))
+
+
+def medoid_of(rows: np.ndarray) -> int:
+    return int((rows @ rows.mean(axis=0)).argmax())
+
+
+def reached(graph: np.ndarray, start: int) -> np.ndarray:
+    """Which nodes a walk along the links comes to."""
+    seen = np.zeros(len(graph), bool)
+    front = np.array([start])
+    while len(front):
+        seen[front] = True
+        front = np.unique(graph[front])
+        front = front[front >= 0]
+        front = front[~seen[front]]
+    return seen
+
+
+def connected(rows: np.ndarray, graph: np.ndarray) -> np.ndarray:
+    """The graph with links added until a walk from the medoid comes to every node.
+
+    Each group of nodes that isn't reached gets a link from the nearest node that is and has
+    room; what a few rounds leave is strung together.
+    """
+    n, width = graph.shape
+    graph = np.concatenate([graph, np.full((n, JOINS + 1), -1, np.int32)], axis=1)
+    given = np.zeros(n, np.int64)
+    start = medoid_of(rows)
+    for _ in range(8):
+        seen = reached(graph, start)
+        lost = np.flatnonzero(~seen)
+        if not len(lost):
+            break
+        near = np.full(n, -2.0)
+        giver = np.zeros(n, np.int64)
+        able = np.flatnonzero(seen & (given < JOINS))
+        if not len(able):
+            break
+        for begin in range(0, len(lost), 512):
+            part = lost[begin:begin + 512]
+            cosine = rows[part] @ rows[able].T
+            giver[part], near[part] = able[cosine.argmax(axis=1)], cosine.max(axis=1)
+        group = np.arange(n)
+        a, k = np.nonzero(graph >= 0)
+        b = graph[a, k]
+        inside = ~seen[a] & ~seen[b]
+        a, b = a[inside], b[inside]
+        while True:
+            new = group.copy()
+            np.minimum.at(new, a, group[b])
+            np.minimum.at(new, b, group[a])
+            new = new[new]
+            if (new == group).all():
+                break
+            group = new
+        order = lost[np.argsort(-near[lost], kind="stable")]
+        for node in order[np.sort(np.unique(group[order], return_index=True)[1])]:
+            if given[giver[node]] < JOINS:
+                graph[giver[node], width + given[giver[node]]] = node
+                given[giver[node]] += 1
+    last = start
+    for node in np.flatnonzero(~reached(graph, start)):
+        graph[last, -1] = last = node
+    return graph[:, (graph >= 0).any(axis=0)]
+
+
+def spread_nodes(rows: np.ndarray) -> np.ndarray:
+    """At most SPREAD nodes: half of them drawn, each other one the farthest from all before it."""
+    if len(rows) <= SPREAD:
+        return np.arange(len(rows))
+    chosen = np.random.Generator(np.random.PCG64(SEED)).choice(len(rows), SPREAD // 2, replace=False).tolist()
+    near = (rows @ rows[chosen].T).max(axis=1)
+    while len(chosen) < SPREAD:
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, rows @ rows[chosen[-1]])
+    return np.unique(chosen)
 
 
 def range_search(rows: np.ndarray, radii: np.ndarray, graph: np.ndarray, queries: np.ndarray,
                  query_radii: np.ndarray, own: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, node) within `reach` plus both radii that the search comes upon.
 
-    Greedy best-first search with a beam from the medoid, and from the query's own node where it
-    is in the shard (`own`, else -1); then neighbours of everything in range, until nothing new.
+    Greedy best-first search with a beam from the medoid, from the nearest of the spread nodes and
+    from the query's own node where it is in the shard (`own`, else -1); then neighbours of
+    everything in range, until nothing new.
     """
-    medoid = int((rows @ rows.mean(axis=0)).argmax())
+    medoid, spread = medoid_of(rows), spread_nodes(rows)
     seen_q, seen_n = [], []
     width = graph.shape[1]
     for begin in range(0, len(queries), SEARCHED_AT_ONCE):
@@ -162,6 +248,10 @@ def range_search(rows: np.ndarray, radii: np.ndarray, graph: np.ndarray, queries
         beam[:, 0], value[:, 0], done[:, 0] = medoid, visit(q, np.full(len(q), medoid)), False
         beam[:, 1], value[:, 1] = start, visit(q, start)
         done[:, 1] = value[:, 1] <= -2
+        starts = spread[np.argsort(-(asked @ rows[spread].T), axis=1, kind="stable")[:, :STARTS]]
+        for k in range(starts.shape[1]):
+            beam[:, 2 + k], value[:, 2 + k] = starts[:, k], visit(q, starts[:, k])
+            done[:, 2 + k] = value[:, 2 + k] <= -2
         while not done.all():
             active = np.flatnonzero(~done.all(axis=1))
             place = np.where(done[active], -3, value[active]).argmax(axis=1)
@@ -272,7 +362,7 @@ def linked_balls(leaders: DataFrame, centres: np.ndarray, probes: int, reach: fl
     lists = written(
         nodes.select("shard", "part", "leader", "embedding").groupBy("shard", "part")
         .applyInArrow(build, "leader long, next long")
-        .groupBy("leader").agg(F.collect_set("next").alias("next")))  # at most OVERLAP lists of DEGREE
+        .groupBy("leader").agg(F.collect_set("next").alias("next")))  # at most OVERLAP lists of DEGREE + FAR + JOINS + 1
     # A crowded shard's leaders are parted on both sides, so that a task holds a bounded number.
     every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     graph = (nodes.join(lists, "leader", "left").withColumn("asker", every_part)
@@ -310,6 +400,34 @@ def linked_balls(leaders: DataFrame, centres: np.ndarray, probes: int, reach: fl
     return pairs.distinct()
 
 
+def every_pair(leaders: DataFrame, reach: float) -> DataFrame:
+    """All pairs (a, b) of leaders whose balls might hold a link, by comparing blocks of leaders."""
+    blocks = max(1, math.ceil(leaders.count() / BLOCK_ROWS))
+    dealt = (leaders.select("leader", "embedding", "radius")
+             .withColumn("block", F.pmod(F.xxhash64("leader", F.lit(6)), F.lit(blocks)).cast("int")))
+    left = dealt.withColumn("other", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))))
+    right = dealt.withColumnRenamed("block", "other").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("other"))))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, other_ids = left["leader"].to_numpy(), right["leader"].to_numpy()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(ids) and len(other_ids):
+            same = left["block"][0].as_py() == right["other"][0].as_py()
+            rows, others = matrix(left["embedding"].combine_chunks()), matrix(right["embedding"].combine_chunks())
+            radii, other_radii = left["radius"].to_numpy(), right["radius"].to_numpy()
+            for begin in range(0, len(ids), 512):
+                limit = np.cos(np.minimum(reach + SLACK + radii[begin:begin + 512, None] + other_radii[None, :], np.pi))
+                i, k = np.nonzero(rows[begin:begin + 512] @ others.T >= limit)
+                x, y = ids[i + begin], other_ids[k]
+                kept = x < y if same else x != y
+                a.append(np.minimum(x, y)[kept])
+                b.append(np.maximum(x, y)[kept])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return (left.groupBy("block", "other").cogroup(right.groupBy("block", "other"))
+            .applyInArrow(compare, "a long, b long"))
+
+
 def decide(pairs: DataFrame, members: DataFrame, leaders: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
     """Links of balls (a, b), and the links that each vector has to other balls (vec_id, more).
 
@@ -422,15 +540,16 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
                                  .select("leader", "embedding"), "leader"))
     probes = min(PROBES, len(centres))
     while True:
-        pairs = linked_balls(leaders, centres, probes, reach)
+        # Where searching all shards wasn't enough, nothing is left out.
+        pairs = linked_balls(leaders, centres, probes, reach) if probes <= len(centres) else every_pair(leaders, reach)
         links, more = decide(pairs, members, leaders, cosine)
         counted = written(
             members.join(leaders.select("leader", "held"), "leader").join(more, "vec_id", "left")
             .select("vec_id", "leader", (F.col("held") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")))
         recall = audited(rows, counted, cosine)
-        if recall >= AUDIT_RECALL or probes == len(centres):
+        if recall >= AUDIT_RECALL or probes > len(centres):
             break
-        probes = min(2 * probes, len(centres))
+        probes = len(centres) + 1 if probes == len(centres) else min(2 * probes, len(centres))
     parts = components(links).select(F.col("node").alias("leader"), "component")
     named = counted.join(parts, "leader", "left").withColumn("group", F.coalesce("component", "leader"))
     smallest = named.groupBy("group").agg(F.min("vec_id").alias("component_id"))

@@ -119,3 +119,41 @@ def test_probing_finds_every_code_within_the_radius():
         hits = set(index.probe(codes[0], ann.flips_within(changed)).tolist())
         near = set(np.flatnonzero(ann.bits_apart(codes, codes[0]) <= radius).tolist())
         assert near <= hits and near
+
+
+def islands(seed=4, groups=12, each=60, d=24):
+    """Groups of more rows than a pool holds; rows of a group are nearer to all of theirs than to any other."""
+    rng = np.random.default_rng(seed)
+    middle = neargraph.directions(rng.normal(size=(groups, d)))
+    return neargraph.directions(np.repeat(middle, each, axis=0) + 0.11 * rng.normal(size=(groups * each, d)))
+
+
+def test_every_node_of_islands_is_reached():
+    rows = islands()
+    graph = neargraph.build_graph(rows)
+    seen, front = set(), {int((rows @ rows.mean(axis=0)).argmax())}
+    while front:
+        seen |= front
+        front = {int(k) for node in front for k in graph[node] if k >= 0} - seen
+    assert len(seen) == len(rows)
+    near = rows @ rows.T >= 0.9
+    q, node = neargraph.range_search(rows, np.zeros(len(rows)), graph, rows, np.zeros(len(rows)),
+                                     np.full(len(rows), -1), float(neargraph.angle(0.9)))
+    assert len(set(zip(q.tolist(), node.tolist()))) >= 0.99 * near.sum()
+
+
+def test_unreachable_rows_are_strung_together():
+    rows = neargraph.directions(np.random.default_rng(6).normal(size=(300, 8)))
+    graph = neargraph.connected(rows, np.full((300, 2), -1, np.int32))
+    assert neargraph.reached(graph, neargraph.medoid_of(rows)).all() and graph.shape[1] <= neargraph.JOINS + 1
+
+
+def test_what_the_search_loses_is_compared_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(neargraph, "SHARD_ROWS", 200)
+    monkeypatch.setattr(neargraph, "BLOCK_ROWS", 120)
+    monkeypatch.setattr(neargraph, "linked_balls", lambda leaders, *_: leaders.selectExpr("leader a", "leader b").limit(0))
+    rows = clustered(7)
+    links, group = brute_links(rows)
+    found = {r["vec_id"]: r for r in neargraph.near_vectors(frame(spark, rows)).collect()}
+    assert [found[i]["n_links"] for i in range(len(rows))] == links.tolist()
+    assert [found[i]["component_id"] for i in range(len(rows))] == group.tolist()
