@@ -36,7 +36,8 @@ JOINS = 8  # links that a node may give to nodes that can't be reached otherwise
 BEAM = 16
 SPREAD, STARTS = 256, 4  # nodes that searches may start from, those nearest to a query
 SEARCHED_AT_ONCE = 1024
-AUDIT_ROWS = 256
+# Balls that the audit draws of those with links to others, and of those without.
+AUDIT_ROWS, AUDIT_DRAWN = 256, 4096
 AUDIT_RECALL = 0.999
 # Angles within which rounding could decide; such pairs are looked at exactly.
 SLACK = 1e-6
@@ -494,25 +495,45 @@ def decide(pairs: DataFrame, members: DataFrame, leaders: DataFrame, cosine: flo
 
 
 def audited(rows: DataFrame, counted: DataFrame, cosine: float) -> float:
-    """Share of the links of a bounded sample of vectors that was counted, by brute force."""
-    sample = (rows.orderBy(F.xxhash64("vec_id", F.lit(SEED + 1)), "vec_id").limit(AUDIT_ROWS).toArrow())
+    """Share of the links to other balls that was counted, as a mean over balls that have some.
+
+    One vector is drawn of each ball, so that a crowd counts little, and links in its ball, which
+    are always counted, don't count. By brute force, AUDIT_ROWS of the balls whose vector has
+    links so far show what share of them was found, and AUDIT_DRAWN of the others how many balls
+    have lost all; both are weighted by the number of balls that they stand for.
+    """
+    drawn = (counted.withColumn("order", F.xxhash64("vec_id", F.lit(SEED + 1)))
+             .groupBy("leader").agg(F.min(F.struct("order", "vec_id", (F.col("n_links") - F.col("held") + 1).alias("more"))).alias("one"))
+             .select("one.*"))
+    drawn = written(drawn)
+    balls = {r["some"]: r["count"] for r in drawn.groupBy((F.col("more") > 0).alias("some")).count().collect()}
+    first = drawn.orderBy("order", "vec_id")
+    asked_of = first.filter("more > 0").limit(AUDIT_ROWS).unionByName(first.filter("more = 0").limit(AUDIT_DRAWN))
+    sample = (rows.join(F.broadcast(asked_of.select("vec_id", "more")), "vec_id")
+              .join(counted.select("vec_id", "held"), "vec_id").select("vec_id", "embedding", "more", "held").toArrow())
     if not sample.num_rows:
         return 1.0
     ids, asked = sample["vec_id"].to_numpy(), directions(matrix(sample["embedding"].combine_chunks()))
 
     def count(batches):
+        total = np.zeros(len(ids), np.int64)
         for batch in batches:
-            if batch.num_rows:
-                near = directions(matrix(batch.column(1))) @ asked.T >= cosine
-                near &= batch.column(0).to_numpy(zero_copy_only=False)[:, None] != ids[None, :]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near.sum(axis=0).astype(np.int64))],
-                                                 names=["vec_id", "n"])
+            found, own = directions(matrix(batch.column(1))), batch.column(0).to_numpy(zero_copy_only=False)
+            for begin in range(0, len(found), 1024):
+                # Links that rounding could decide aren't held against the count.
+                near = found[begin:begin + 1024] @ asked.T >= cosine + 1e-12
+                total += (near & (own[begin:begin + 1024, None] != ids[None, :])).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["vec_id", "n"])
 
     true = {r["vec_id"]: r["n"] for r in rows.select("vec_id", "embedding").mapInArrow(count, "vec_id long, n long")
             .groupBy("vec_id").agg(F.sum("n").alias("n")).collect()}
-    found = {r["vec_id"]: r["n_links"] for r in counted.filter(F.col("vec_id").isin(ids.tolist())).collect()}
-    total = sum(true.values())
-    return sum(min(n, found.get(i, 0)) for i, n in true.items()) / total if total else 1.0
+    more = sample["more"].to_numpy()
+    lost = np.maximum([true[i] for i in ids.tolist()] - (more + sample["held"].to_numpy() - 1), 0)
+    some = more > 0
+    share = float((more[some] / (more[some] + lost[some])).mean()) if some.any() else 0.0
+    missed = float((lost[~some] > 0).mean()) if (~some).any() else 0.0
+    having = balls.get(True, 0) + missed * balls.get(False, 0)
+    return share * balls.get(True, 0) / having if having else 1.0
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embedding",
@@ -523,7 +544,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
     zero vectors, those with null or non-finite components and those whose length isn't the most
     frequent one link with nothing. Rows without id have a null component and are kept. An id on
     several rows counts once, with its smallest vector. Equal vectors are linked; ties need no
-    rule. An empty table gives an empty result. Other columns are not looked at.
+    rule. An empty table gives an empty result. Other columns are not looked at. audit_recall is
+    the audit's figure, 1 where it came upon no link between balls.
     """
     every = vectors.select(F.col(key).cast("long").alias("vec_id"))
     rows = written(one_per_id(usable_rows(vectors, key, column)))
@@ -545,7 +567,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
         links, more = decide(pairs, members, leaders, cosine)
         counted = written(
             members.join(leaders.select("leader", "held"), "leader").join(more, "vec_id", "left")
-            .select("vec_id", "leader", (F.col("held") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")))
+            .select("vec_id", "leader", "held", (F.col("held") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")))
         recall = audited(rows, counted, cosine)
         if recall >= AUDIT_RECALL or probes > len(centres):
             break

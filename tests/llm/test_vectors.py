@@ -157,3 +157,26 @@ def test_what_the_search_loses_is_compared_block_by_block(spark, monkeypatch):
     found = {r["vec_id"]: r for r in neargraph.near_vectors(frame(spark, rows)).collect()}
     assert [found[i]["n_links"] for i in range(len(rows))] == links.tolist()
     assert [found[i]["component_id"] for i in range(len(rows))] == group.tolist()
+
+
+def test_a_crowd_does_not_hide_lost_links(spark, monkeypatch):
+    """A ball of copies holds most links; the pairs beside it are all lost by the search."""
+    monkeypatch.setattr(neargraph, "linked_balls", lambda leaders, *_: leaders.selectExpr("leader a", "leader b").limit(0))
+    rng = np.random.default_rng(8)
+    one, other = (neargraph.directions(rng.normal(size=(200, 64))) for _ in range(2))
+    pairs = np.concatenate([one, 0.93 * one + np.sqrt(1 - 0.93 ** 2) * neargraph.directions(
+        other - (one * other).sum(axis=1, keepdims=True) * one)])
+    rows = np.concatenate([np.repeat(rng.normal(size=(1, 64)), 1600, axis=0), pairs])[rng.permutation(2000)]
+    links, _ = brute_links(rows)
+    found = {r["vec_id"]: r["n_links"] for r in neargraph.near_vectors(frame(spark, rows)).collect()}
+    assert [found[i] for i in range(len(rows))] == links.tolist()
+
+
+def test_audit_counts_balls_that_lost_all(spark):
+    rng = np.random.default_rng(9)
+    one = rng.normal(size=(50, 32))
+    rows = np.concatenate([one, one + 0.05 * rng.normal(size=(50, 32))])
+    # Each row a ball of its own; of the 50 pairs 10 are lost.
+    counted = spark.createDataFrame([(i, i, 1, int(i % 50 >= 10)) for i in range(100)],
+                                    "vec_id long, leader long, held long, n_links long")
+    assert neargraph.audited(frame(spark, rows), counted, 0.9) == pytest.approx(0.8)
