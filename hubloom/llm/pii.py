@@ -12,6 +12,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import zip_longest
 from zlib import crc32
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hubloom.llm import text as words
-from hubloom.llm.tables import read_table
+from hubloom.llm.tables import read_table, written
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -288,8 +289,10 @@ def examples_of(text: str) -> Iterator[tuple[str, int, int, list[Span]]]:
 
 
 def train(docs: DataFrame, regions_used: int = SAMPLE_REGIONS) -> np.ndarray:
-    """Fit on labelled regions of at most `SAMPLE_DOCUMENTS` documents drawn by a hash of the id.
+    """Fit on regions of at most `SAMPLE_DOCUMENTS` documents drawn by a hash of the id.
 
+    At most `regions_used` distinct regions with spans are used, of each kind in turn, and as
+    many without.
     Without documents or regions the weights are zero, and no span is added to the base.
     """
     order = F.xxhash64("of", F.lit(SEED))
@@ -309,13 +312,15 @@ def train(docs: DataFrame, regions_used: int = SAMPLE_REGIONS) -> np.ndarray:
              ("end", pa.int32()), ("gold", pa.string())]))
 
     sample = words.map_texts(rows, "doc_id", "text", "doc_id long, place long, text string, start int, end int, gold string", work)
-    chosen = sample.orderBy(F.col("gold") == "", "place", "doc_id", "start").limit(2 * regions_used)
+    sample = written(sample.select("place", "text", "start", "end", "gold").distinct())
+    first = lambda some: sample.filter(some).orderBy("place", "text", "start", "end", "gold").limit(regions_used).collect()
+    by_kind = zip_longest(*[first(F.col("gold").contains(f"{kind}:")) for kind in KINDS])
+    labelled = list(dict.fromkeys(row for rows in by_kind for row in rows if row))[:regions_used]
     examples = []
-    for row in chosen.collect():
+    for row in labelled + first(F.col("gold") == ""):
         spans = [part.split(":") for part in row["gold"].split(",") if part]
         examples.append((row["text"], row["start"], row["end"], [(k, int(a), int(b)) for k, a, b in spans]))
-    labelled = [e for e in examples if e[3]][:regions_used]
-    return fit(labelled + [e for e in examples if not e[3]][:regions_used])
+    return fit(examples)
 
 
 def flagged(texts: pa.Array) -> np.ndarray:

@@ -139,3 +139,17 @@ def test_query_columns_and_masking(spark, weights, tmp_path):
 def test_long_runs_take_linear_time(weights):
     for text in ("1" * 200_000 + "@", "a" * 200_000 + "@b", "1." * 100_000, "+1" * 100_000, "a@" * 50_000, "1 " * 20_000):
         pii.base_spans(text)
+
+
+def test_a_crowd_of_copies_leaves_the_other_regions_in_the_fit(spark, monkeypatch):
+    """Copies of labelled regions are one example each; regions without spans and rare kinds stay."""
+    used = []
+    monkeypatch.setattr(pii, "fit", lambda examples: used.extend(examples))
+    rows = ["call +1 (988) 555-2485 now"] * 300 + [f"mail u{i}@mail.example.com" for i in range(80)]
+    rows += [f"version {i} of it" for i in range(30)] + ["pay 4111111111111111 now"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    pii.train(docs, 40)
+    kinds = [{kind for kind, *_ in gold} for *_, gold in used]
+    assert sum(not some for some in kinds) == 30 and sum(map(bool, kinds)) == 40
+    assert {"card"} in kinds and 1 <= kinds.count({"phone"}) <= 2
+    assert len({(text, start, end) for text, start, end, _ in used}) == len(used)
