@@ -355,8 +355,9 @@ def rules_by_keyword() -> dict[bytes, list[Rule]]:
     for label, keyword, kinds in SIGNATURES:
         for kind, phrases in kinds.items():
             for phrase in phrases:
-                # A keyword of several words is gated by its longest one; the pattern does the rest.
-                gate = max(keyword.split(), key=len).encode() if keyword != "cc by" else b"cc"
-                found.setdefault(gate, []).append(Rule(place, label, WEIGHTS[kind], needed(phrase), compiled(phrase)))
+                # The family's keyword if the pattern must hold it, else a part that it must.
+                needs = needed(phrase)
+                gate = next((part for word in keyword.split() for part in needs if part == word.encode()), needs[0])
+                found.setdefault(gate, []).append(Rule(place, label, WEIGHTS[kind], needs, compiled(phrase)))
                 place += 1
     return found

@@ -78,3 +78,28 @@ def test_there_are_hundreds_of_rules():
     phrases = [p for *_, kinds in SIGNATURES for ps in kinds.values() for p in ps]
     assert len(phrases) >= 300 and len(set(phrases)) > 0.97 * len(phrases)
     assert all(needed(p) for p in phrases)
+
+
+def shortest(phrase):
+    """A text that the phrase matches: optional parts left out, the first of alternatives."""
+    while "(" in phrase:
+        phrase = re.sub(r"\(([^()|]*)[^()]*\)([?]?)", lambda m: "" if m[2] else m[1], phrase)
+    phrase = re.sub(r"\[(.)[^\]]*\]", r"\1", phrase.replace("[a-z0-9]+", "x")).replace(" ?", " ")
+    return re.sub(r"[a-z0-9]\?", "", phrase).replace("#", "4 0").strip()
+
+
+def test_each_rule_is_tried_on_its_own_phrase():
+    for label, _, kinds in SIGNATURES:
+        for phrases in kinds.values():
+            for phrase in phrases:
+                text = shortest(phrase).encode()
+                found = licenses.detections(text, RULES)
+                assert any(a <= 0 and len(text) <= b for a, b, *_ in found), (label, phrase, text, found)
+
+
+@pytest.mark.parametrize("name,label", [
+    ("AGPL-3.0-only", "agpl-3.0"), ("MS-PL", "ms-pl"), ("BSL-1.0", "bsl-1.0"), ("OFL-1.1", "ofl-1.1"),
+    ("LPPL-1.3c", "lppl"), ("BSD-4-Clause", "bsd-4-clause"), ("CDLA-Sharing-1.0", "cdla-sharing")])
+def test_bare_spdx_lines(name, label):
+    text = f"SPDX-License-Identifier: {name}".lower().encode()
+    assert [d[2] for d in licenses.detections(text, RULES)] == [label]
