@@ -327,11 +327,12 @@ def make_balls(rows: DataFrame, centres: np.ndarray, total: int, radius: float)
         lead, "vec_id long, leader long, angle double, embedding array<double>"))
 
 
-def linked_balls(leaders: DataFrame, centres: np.ndarray, probes: int, reach: float) -> DataFrame:
+def linked_balls(leaders: DataFrame, centres: np.ndarray, probes: int, reach: float, searched: int = 0) -> DataFrame:
     """Pairs (a, b) of leaders whose balls might hold a link, that the search has found.
 
     `leaders` has leader, embedding, radius. The graph is built in the shards of each leader's
-    nearest centres and united; each leader searches its `probes` nearest shards.
+    nearest centres and united; each leader searches its `probes` nearest shards, without the
+    `searched` nearest ones.
     """
     overlap = min(OVERLAP, len(centres))
     wide = min(max(probes, overlap), len(centres))
@@ -368,7 +369,7 @@ def linked_balls(leaders: DataFrame, centres: np.ndarray, probes: int, reach: fl
     every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     graph = (nodes.join(lists, "leader", "left").withColumn("asker", every_part)
              .select("shard", "part", "asker", "leader", "embedding", "radius", "next"))
-    queries = (dealt.withColumn("shard", F.explode(F.slice("near", 1, wide)))
+    queries = (dealt.withColumn("shard", F.explode(F.slice("near", searched + 1, wide - searched)))
                .join(F.broadcast(crowd), F.col("shard") == F.col("of"))
                .withColumn("asker", F.pmod(F.xxhash64("leader", F.lit(5)), F.col("parts")).cast("int"))
                .withColumn("part", every_part)
@@ -560,10 +561,15 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
     radii = members.groupBy("leader").agg(F.max("angle").alias("radius"), F.count("*").alias("held"))
     leaders = written(radii.join(members.filter(F.col("vec_id") == F.col("leader"))
                                  .select("leader", "embedding"), "leader"))
-    probes = min(PROBES, len(centres))
+    probes, searched, before = min(PROBES, len(centres)), 0, None
     while True:
         # Where searching all shards wasn't enough, nothing is left out.
-        pairs = linked_balls(leaders, centres, probes, reach) if probes <= len(centres) else every_pair(leaders, reach)
+        if probes > len(centres):
+            pairs = every_pair(leaders, reach)
+        else:
+            pairs = linked_balls(leaders, centres, probes, reach, searched)
+            pairs = before = written(pairs if before is None else before.unionByName(pairs).distinct())
+            searched = max(probes, min(OVERLAP, len(centres)))
         links, more = decide(pairs, members, leaders, cosine)
         counted = written(
             members.join(leaders.select("leader", "held"), "leader").join(more, "vec_id", "left")
