@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from hubloom.llm import ann, licenses, minhash, mixing, neargraph, pii, quality, segmentations, sharding, toxicity
+from hubloom.llm import (
+    ann, chat, lexical, licenses, minhash, mixing, neargraph, periodic, pii, quality, segmentations, sharding, toxicity)
 
 QUERIES = {
     "op1_neargraph": neargraph.op1_neargraph,
@@ -15,9 +16,13 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_sharding": sharding.op10_sharding,
+    "op11_lexical": lexical.op11_lexical,
+    "op12_prefix_targets": chat.op12_prefix_targets,
+    "op13_periodic": periodic.op13_periodic,
 }
 
 ORACLES = {
     "op3_minhash": minhash.OP3_SQL,
     "op6_mixing": mixing.OP6_SQL,
+    "op11_lexical": lexical.OP11_SQL,
 }
