@@ -64,6 +64,29 @@ def hub_loads(key: str, plans: str) -> str:
         for i, hub in enumerate(HUBS))
 
 
+def sweep_lines(plan: str, demand: str) -> str:
+    """The value of every price as a line in the fraction of regional capacity."""
+    return f"""
+        SELECT {plan} AS plan, price_id,
+               sum(demand * floor_cost) - any_value(15.0::DOUBLE * q2 * k2) + sum(demand) AS base,
+               -any_value(1.5::DOUBLE * (q0 * k0 + q1 * k1)) AS slope
+        FROM {demand} JOIN floors USING (customer_state), wide_peaks GROUP BY ALL"""
+
+
+def envelope(name: str, lines: str) -> str:
+    """The highest line of each plan from 0 on, and where a steeper one takes over."""
+    return f"""
+        SELECT plan, 0.0::DOUBLE AS frac, base, slope FROM (
+          SELECT *, row_number() OVER (PARTITION BY plan ORDER BY round(base, 6) DESC, slope DESC) AS place FROM {lines})
+        WHERE place = 1
+        UNION ALL
+        SELECT plan, frac, base, slope FROM (
+          SELECT *, row_number() OVER (PARTITION BY plan ORDER BY round(frac, 9), slope DESC) AS place FROM (
+            SELECT e.plan, (e.base - l.base) / (l.slope - e.slope) AS frac, l.base, l.slope
+            FROM {name} e JOIN {lines} l ON l.plan = e.plan AND l.slope > e.slope + 1e-6))
+        WHERE place = 1 AND frac < 1 - 1e-9"""
+
+
 STEPS: dict[str, str] = {
     # geography
     "points": """
@@ -358,6 +381,11 @@ STEPS: dict[str, str] = {
             FROM state_plan JOIN floors USING (customer_state), sweep, wide_peaks
             GROUP BY frac, price_id) GROUP BY frac) JOIN sweep USING (frac), wide_peaks""",
     "sweep_loads": hub_loads("frac", "sweep_units"),
+    # the sweep as lines in the fraction of regional capacity, and their upper envelope
+    "sweep_lines": sweep_lines("0", "state_plan"),
+    "sweep_envelope": envelope("sweep_envelope", "sweep_lines"),
+    "scenario_lines": sweep_lines("scenario", "scenario_states"),
+    "scenario_envelope": envelope("scenario_envelope", "scenario_lines"),
     "whatif_units": """
         SELECT headroom, headroom * k0 AS cap0, headroom * k1 AS cap1, headroom * k2 AS cap2, price_id FROM (
           SELECT headroom, arg_max(price_id, value) AS price_id FROM (
@@ -517,6 +545,16 @@ ORACLES: dict[str, str] = {
                    FROM scenario_table,
                         (SELECT min(saving_pct) AS lo, max(saving_pct) AS hi FROM scenario_table)
                    WHERE saving_pct IS NOT NULL GROUP BY 1) USING (bin)""",
+    "capacity_breakpoints": f"""
+        SELECT {r('frac')} AS from_frac, {r('til')} AS to_frac, {r('base + slope * frac')} AS from_cost,
+               {r('base + slope * til')} AS to_cost
+        FROM (SELECT *, lead(frac, 1, 1.0::DOUBLE) OVER (ORDER BY frac) AS til FROM sweep_envelope)""",
+    "scenario_breakpoints": f"""
+        SELECT plan AS scenario,
+               {r('coalesce(max(til) FILTER (slope * (til - frac) < -1e-6), min(frac))')} AS enough_capacity_frac,
+               {r('max(base + slope * frac)')} AS cost_without, {r('min(base + slope * til)')} AS cost_with
+        FROM (SELECT *, lead(frac, 1, 1.0::DOUBLE) OVER (PARTITION BY plan ORDER BY frac) AS til FROM scenario_envelope)
+        GROUP BY plan""",
     "sweep_placement_checks": f"""
         SELECT {r('frac')} AS regional_capacity_frac, {r('units')} AS units,
                {r(r('optimised_cost', 3))} AS placement_cost, true AS non_negative,

@@ -45,8 +45,8 @@ class NetworkConfig:
     saving_bins: int = 25
 
     def __post_init__(self) -> None:
-        if len(self.hub_members) != 3:
-            raise ValueError("the placement operators are defined for exactly three hubs")
+        if not self.hub_members or len(set(self.hubs)) != len(self.hubs):
+            raise ValueError("hubs must be given, each once")
         if self.primary_hub not in self.hubs:
             raise ValueError(f"primary hub {self.primary_hub!r} is not one of {self.hubs}")
 

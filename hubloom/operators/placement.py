@@ -1,39 +1,24 @@
 """Cheapest placement of many plans at once, under hub capacity.
 
-A plan asks for demand per state; the unit cost of serving a state depends on the
-hub only, and each hub has a capacity. By linear-programming duality the cheapest
-cost of a plan is
-
-    max over prices L >= 0 of   sum_s demand_s * min_h (cost_sh + L_h) - sum_h L_h * cap_h
-
-and the maximum is reached at one of finitely many prices, which depend on the costs
-only: hubs with price 0, or tied to another hub through one state that is indifferent
-between the two. With three hubs and S states there are 1 + 6 S + 9 S^2 of them. So
-the candidate prices are computed once per network, as one row bounded by the
-configuration, and every plan is then a single row that is valued on its own: no
-solver, no join, no shuffle between plans.
+A plan asks for demand per state; the unit cost of serving a state depends on the hub only, and
+each hub has a capacity. The network (costs and flows by state, peaks by hub) is one row that
+the configuration bounds; it stands next to each plan, so a plan is one row that is valued on
+its own: no join and no shuffle between plans. The cheapest units of a batch of plans are found
+by `transport.placed_units`, for any number of hubs.
 """
 
 from __future__ import annotations
 
-from itertools import permutations
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hubloom.config import NetworkConfig
 from hubloom.functions.draws import hash_unit
 from hubloom.functions.numeric import saving_pct
 from hubloom.operators.costs import lane_costs
-from hubloom.sources.small import literal_table
+from hubloom.operators.transport import cost_pieces, placed_units
 
-# Unit costs are shifted by at most this much, by lane, to tell tied placements
-# apart; ties are tested to TIGHT, far below the gaps this opens.
+# Unit costs are shifted by at most this much, by lane, to tell tied placements apart.
 TIE_SHIFT = 1e-7
-TIGHT = 1e-11
-
-
-def _dot(left: str, right: str) -> str:
-    return f"aggregate(zip_with({left}, {right}, (p, q) -> p * q), 0.0D, (acc, v) -> acc + v)"
 
 
 def _total(values: str) -> str:
@@ -44,21 +29,28 @@ def network_row(distances: DataFrame, freight_line: DataFrame, flows: DataFrame,
                 peaks: DataFrame, config: NetworkConfig) -> DataFrame:
     """The fixed part of all plans as one row.
 
-    states: array of (customer_state, cost[3], tight_cost[3], policy[3]) by state
+    states: array of (customer_state, cost, tight_cost, policy) by state, each by hub
     peaks: array of the hubs' weekly peaks
-    All arrays over hubs follow the order of `config.hubs`. `policy` is null for a
-    state without flows.
+    All arrays over hubs follow the order of `config.hubs`. `policy` is null for a state
+    without flows. A state without a distance to one of the hubs is an error that names both.
     """
     def by_hub(column: str) -> Column:
         return F.array(*[F.max(F.when(F.col("hub") == h, F.col(column))) for h in config.hubs])
 
+    def known(column: str) -> Column:
+        """Costs by hub, or an error for the first hub without one."""
+        values = by_hub(column)
+        hub = F.get(F.lit(list(config.hubs)), (F.array_position(F.transform(values, lambda v: v.isNull()), True) - 1).cast("int"))
+        message = F.concat(F.lit("no distance from state "), F.first("customer_state"), F.lit(" to hub "), hub)
+        return F.when(F.exists(values, lambda v: v.isNull()), F.raise_error(message)).otherwise(values)
+
     lanes = (lane_costs(distances, freight_line)
              .join(F.broadcast(flows.select("customer_state", "hub", "p")),
                    ["customer_state", "hub"], "left")
              .withColumn("tight_cost", F.col("unit_cost")
                          + F.lit(TIE_SHIFT) * hash_unit(F.col("customer_state"), F.col("hub"))))
     states = (lanes.groupBy("customer_state")
-              .agg(by_hub("unit_cost").alias("cost"), by_hub("tight_cost").alias("tight_cost"),
+              .agg(known("unit_cost").alias("cost"), known("tight_cost").alias("tight_cost"),
                    F.when(F.count("p") > 0, by_hub("p")).alias("policy"))
               .agg(F.array_sort(F.collect_list(
                   F.struct("customer_state", "cost", "tight_cost", "policy"))).alias("states")))
@@ -68,86 +60,6 @@ def network_row(distances: DataFrame, freight_line: DataFrame, flows: DataFrame,
     return states.withColumn("peaks", peak_row.scalar())
 
 
-def _price_sets(cost: str) -> str:
-    """All candidate prices with the ties that define them, from the `states` array.
-
-    Array of (price[3], ties), a tie being (child, parent, state): the indifferent
-    state and the two hubs it ties. A child tied to another child comes first.
-    """
-    def gap(state: str, child: int, parent: int) -> str:
-        return f"({state}.{cost}[{parent}] - {state}.{cost}[{child}])"
-
-    def tie(child: int, parent: int, state: str) -> str:
-        return f"named_struct('child', {child}, 'parent', {parent}, 'state', {state})"
-
-    def candidate(prices: dict[int, str], *ties: str) -> str:
-        price = ", ".join(prices.get(h, "0.0D") for h in range(3))
-        return f"named_struct('price', array({price}), 'ties', array({', '.join(ties)}))"
-
-    def for_each_state(body: str) -> str:
-        return f"transform(states, (s, i) -> {body})"
-
-    def for_each_pair(body: str) -> str:
-        return f"flatten(transform(states, (s, i) -> transform(states, (r, j) -> {body})))"
-
-    def one_tie(child: int, parent: int) -> str:
-        return for_each_state(candidate({child: gap("s", child, parent)}, tie(child, parent, "i")))
-
-    def star(root: int, first: int, second: int) -> str:
-        return for_each_pair(candidate(
-            {first: gap("s", first, root), second: gap("r", second, root)},
-            tie(first, root, "i"), tie(second, root, "j")))
-
-    def chain(root: int, middle: int, leaf: int) -> str:
-        return for_each_pair(candidate(
-            {middle: gap("s", middle, root),
-             leaf: f"{gap('s', middle, root)} + {gap('r', leaf, middle)}"},
-            tie(leaf, middle, "j"), tie(middle, root, "i")))
-
-    no_tie = ("array(named_struct('price', array(0.0D, 0.0D, 0.0D), 'ties', "
-              f"filter(array({tie(0, 0, '0')}), t -> false)))")
-    trees = [one_tie(child, parent) for child, parent in permutations(range(3), 2)]
-    trees += [star(r, *[h for h in range(3) if h != r]) for r in range(3)]
-    trees += [chain(*order) for order in permutations(range(3))]
-    return f"filter(concat({', '.join([no_tie, *trees])}), c -> forall(c.price, p -> p >= 0.0D))"
-
-
-def with_prices(network: DataFrame) -> DataFrame:
-    """Add `prices`: array of (price[3], floor), floor being min cost + price by state.
-
-    The candidates are rows while equal ones are removed and their floors computed, so this
-    grows with their number, not with its square, and runs in parallel.
-    """
-    candidates = (network.select(F.explode(F.expr(f"transform({_price_sets('cost')}, c -> c.price)")).alias("price"))
-                  .distinct()
-                  .withColumn("states", network.select("states").scalar()))
-    priced = candidates.select(F.expr("""
-        named_struct('price', price, 'floor', transform(states, s ->
-            array_min(zip_with(s.cost, price, (c, q) -> c + q)))) AS price"""))
-    return network.withColumn("prices", priced.agg(F.collect_list("price")).scalar())
-
-
-def with_bases(network: DataFrame) -> DataFrame:
-    """Add `bases`: the candidates whose ties hold, with each state's cheapest hub.
-
-    array of (price[3], ties, floor by state, hub index by state), on tie-free costs.
-    """
-    slack = "c.loaded[t.state][t.{0}] - array_min(c.loaded[t.state])"
-    holds = f"({slack.format('child')}) < {TIGHT}D AND ({slack.format('parent')}) < {TIGHT}D"
-    return (network
-            .withColumn("candidate", F.expr(f"""
-                transform({_price_sets('tight_cost')}, c -> named_struct(
-                    'price', c.price, 'ties', c.ties,
-                    'loaded', transform(states, s ->
-                        zip_with(s.tight_cost, c.price, (k, q) -> k + q))))"""))
-            .withColumn("bases", F.expr(f"""
-                transform(filter(candidate, c -> forall(c.ties, t -> {holds})), c -> named_struct(
-                    'price', c.price, 'ties', c.ties,
-                    'floor', transform(c.loaded, v -> array_min(v)),
-                    'hub', transform(c.loaded, v -> int(array_position(v, array_min(v)) - 1))))"""))
-            .drop("candidate"))
-
-
 def plan_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     """One row per plan: its keys and its cells (state, group, demand) as an array.
 
@@ -192,94 +104,67 @@ def capacity_columns(plans: DataFrame, multipliers: Column) -> DataFrame:
 def evaluate_plans(plans: DataFrame) -> DataFrame:
     """Current-policy cost, cheapest cost, saving, feasibility and policy breach.
 
-    `plans` carries net (with prices), demand, caps and holding.
+    `plans` carries net, demand, caps and holding.
     """
     def over_states(per_unit: str) -> str:
         return _total(f"zip_with(net.states, demand, (s, d) -> if(d > 0, d * {per_unit}, 0.0D))")
 
-    loads = ", ".join(over_states(f"s.policy[{h}]") for h in range(3))
-    shipping = over_states(f"({_dot('s.policy', 's.cost')})")
-    dual = (f"array_max(transform(net.prices, c -> {_dot('demand', 'c.floor')}"
-            f" - {_dot('c.price', 'caps')}))")
+    loads = f"transform(net.peaks, (peak, h) -> {over_states('s.policy[h]')})"
+    shipping = over_states(_total("zip_with(s.policy, s.cost, (p, c) -> p * c)"))
+    costs = F.expr("flatten(net.states.cost)")
+    shipped = _total("zip_with(flatten(net.states.cost), cheapest, (c, u) -> c * u)")
     return (plans
+            .withColumn("cheapest", placed_units(costs, F.col("demand"), F.col("caps")))
             .withColumn("units", F.expr(_total("demand")))
             .withColumn("feasible", F.expr(f"units <= {_total('caps')}"))
-            .withColumn("policy_loads", F.expr(f"array({loads})"))
+            .withColumn("policy_loads", F.expr(loads))
             .withColumn("policy_cost", F.expr(f"{shipping} + holding * {_total('policy_loads')}"))
-            .withColumn("optimised_cost", F.expr(f"if(feasible, {dual} + holding * units, NULL)"))
+            .withColumn("optimised_cost", F.expr(f"if(feasible, {shipped} + holding * units, NULL)"))
             .withColumn("saving_pct", saving_pct(F.col("policy_cost"), F.col("optimised_cost")))
             .withColumn("policy_capacity_breach", F.expr(
-                "exists(zip_with(policy_loads, caps, (load, cap) -> load > cap), b -> b)")))
+                "exists(zip_with(policy_loads, caps, (load, cap) -> load > cap), b -> b)"))
+            .drop("cheapest"))
 
 
 def place_units(plans: DataFrame, keys: list[str], config: NetworkConfig) -> DataFrame:
     """An optimal placement of every feasible plan: units per state, group and hub.
 
-    `plans` carries net (with bases), cells, demand and caps. Takes the basis with the
-    highest dual value; states outside its ties go wholly to their cheapest hub, and
-    each tied hub is filled up by its tied state, whose rest goes to the parent hub.
-    A state's units are split over its groups in proportion to their demand.
+    `plans` carries net, cells, demand and caps. Costs shifted by lane make the placement the
+    only cheapest one. A state's units are split over its groups in proportion to their demand.
     """
-    best = (f"array_max(transform(net.bases, b -> named_struct('value', "
-            f"{_dot('demand', 'b.floor')} - {_dot('b.price', 'caps')}, 'hub', b.hub, 'ties', b.ties)))")
+    hubs = len(config.hubs)
     chosen = (plans.where(F.expr(f"{_total('demand')} <= {_total('caps')}"))
-              .withColumn("best", F.expr(best))
-              .select(*keys, "cells", "caps", "demand",
-                      F.col("best.hub").alias("hub_of"), F.col("best.ties").alias("ties"),
-                      F.expr("net.states.customer_state").alias("states")))
-
-    # room of each hub once the states that are not tied have gone to it
-    room = ", ".join(f"""caps[{h}] - aggregate(
-        zip_with(demand, hub_of, (d, k) -> if(k = {h}, d, 0.0D)), 0.0D, (acc, v) -> acc + v)
-        + aggregate(ties_by_state, 0.0D, (acc, i) -> acc + if(hub_of[i] = {h}, demand[i], 0.0D))"""
-                     for h in range(3))
-    chosen = (chosen
-              .withColumn("ties_by_state", F.expr("array_distinct(transform(ties, t -> t.state))"))
-              .withColumn("room", F.expr(f"array({room})")))
-
-    # A tied state fills the child hub; the rest goes up. Filling the leaf first fixes
-    # what reaches the hub above it. When one state is tied twice, its rest after both
-    # children goes to the root, which is the second tie's parent.
-    chosen = (chosen
-              .withColumn("first", F.get("ties", F.lit(0)))
-              .withColumn("second", F.get("ties", F.lit(1)))
-              .withColumn("same", F.expr("coalesce(first.state = second.state, false)"))
-              .withColumn("x1", F.expr("get(room, first.child)"))
-              .withColumn("rest1", F.expr("if(same, 0.0D, get(demand, first.state) - x1)"))
-              .withColumn("x2", F.expr("""get(room, second.child)
-                  - if(first.parent = second.child, rest1, 0.0D)"""))
-              .withColumn("rest2", F.expr(
-                  "get(demand, second.state) - x2 - if(same, x1, 0.0D)"))
-              .withColumn("moves", F.expr("""filter(array(
-                  named_struct('state', first.state, 'hub', first.child, 'units', x1),
-                  named_struct('state', first.state, 'hub', first.parent, 'units', rest1),
-                  named_struct('state', second.state, 'hub', second.child, 'units', x2),
-                  named_struct('state', second.state, 'hub', second.parent, 'units', rest2)),
-                  m -> m.state IS NOT NULL)""")))
-
-    by_state = chosen.select(*keys, "cells", F.posexplode("states").alias("i", "customer_state"),
-                             "demand", "hub_of", "ties_by_state", "moves")
-    whole = "if(hub_of[i] = {0}, demand[i], 0.0D)"
-    split = """aggregate(filter(moves, m -> m.state = i AND m.hub = {0}),
-               0.0D, (acc, m) -> acc + m.units)"""
-    placed = ", ".join(
-        f"if(array_contains(ties_by_state, i), {split.format(h)}, {whole.format(h)})"
-        for h in range(3))
-    by_cell = (by_state
-               .select(*keys, "customer_state", F.expr("demand[i]").alias("state_demand"),
-                       F.expr(f"array({placed})").alias("placed"),
-                       F.explode(F.expr("filter(cells, c -> c.customer_state = customer_state)"))
-                       .alias("cell")))
-    hubs = ", ".join(f"named_struct('hub', '{hub}', 'placed', placed[{h}])"
-                     for h, hub in enumerate(config.hubs))
+              .withColumn("placed", placed_units(F.expr("flatten(net.states.tight_cost)"), F.col("demand"), F.col("caps"))))
+    by_state = chosen.select(*keys, "cells", "demand", "placed",
+                             F.posexplode(F.expr("net.states.customer_state")).alias("i", "customer_state"))
+    by_cell = by_state.select(
+        *keys, "customer_state", F.expr("demand[i]").alias("state_demand"),
+        F.expr(f"slice(placed, i * {hubs} + 1, {hubs})").alias("placed"),
+        F.explode(F.expr("filter(cells, c -> c.customer_state = customer_state)")).alias("cell"))
+    by_hub = F.inline(F.array(*[F.struct(F.lit(hub).alias("hub"), F.get("placed", F.lit(h)).alias("placed"))
+                                for h, hub in enumerate(config.hubs)]))
     return (by_cell
             .select(*keys, "customer_state", F.col("cell.product_group").alias("product_group"),
-                    F.expr("if(state_demand > 0, cell.demand / state_demand, 0.0D)").alias("share"),
-                    F.expr(f"inline(array({hubs}))"))
+                    F.expr("if(state_demand > 0, cell.demand / state_demand, 0.0D)").alias("share"), by_hub)
             .select(*keys, "customer_state", "product_group", "hub",
                     (F.col("placed") * F.col("share")).alias("units")))
 
 
+def capacity_pieces(plans: DataFrame, keys: list[str]) -> DataFrame:
+    """The cheapest cost of each plan as its capacity goes from `low_caps` to `caps`.
+
+    Columns from_frac, to_frac, from_cost, to_cost, one row for each stretch on which the cost
+    is linear in the fraction of the way; from the first fraction at which the plan is feasible,
+    no row where it never is.
+    """
+    pieces = cost_pieces(F.expr("flatten(net.states.cost)"), F.col("demand"), F.col("low_caps"), F.col("caps"))
+    held = F.col("holding") * F.expr(_total("demand"))
+    return (plans.select(*keys, held.alias("held"), pieces.alias("pieces"))
+            .select(*keys, "held", F.inline("pieces"))
+            .select(*keys, "from_frac", "to_frac", (F.col("from_cost") + F.col("held")).alias("from_cost"),
+                    (F.col("to_cost") + F.col("held")).alias("to_cost")))
+
+
 def placement_by_hub(placement: DataFrame, keys: list[str]) -> DataFrame:
     return placement.groupBy(*keys, "hub").agg(F.sum("units").alias("units"))
 

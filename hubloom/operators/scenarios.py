@@ -9,15 +9,15 @@ from hubloom.functions.draws import hash32
 from hubloom.functions.numeric import non_negative
 from hubloom.operators.demand import CELL
 from hubloom.operators.placement import (
-    attach_network, capacity_columns, evaluate_plans, plan_rows, single_plan)
+    attach_network, capacity_columns, capacity_pieces, evaluate_plans, plan_rows, single_plan)
 from hubloom.operators.quantiles import exact_quantiles
 from hubloom.sources.small import literal_table
 
 RESULT = ["policy_cost", "optimised_cost", "saving_pct", "policy_capacity_breach"]
 
 
-def _uniform(multiplier: Column) -> Column:
-    return F.array(multiplier, multiplier, multiplier)
+def _uniform(multiplier: Column, config: NetworkConfig) -> Column:
+    return F.array(*[multiplier for _ in config.hubs])
 
 
 def scenario_demand(plan: DataFrame, holdout: DataFrame, config: NetworkConfig,
@@ -50,7 +50,7 @@ def scenario_demand(plan: DataFrame, holdout: DataFrame, config: NetworkConfig,
 def evaluate_scenarios(scenarios: DataFrame, network: DataFrame, config: NetworkConfig) -> DataFrame:
     """Cost of the current policy and of the re-optimised plan, scenario by scenario."""
     plans = attach_network(plan_rows(scenarios, ["scenario"]), network)
-    plans = capacity_columns(plans, _uniform(F.lit(config.capacity_headroom)))
+    plans = capacity_columns(plans, _uniform(F.lit(config.capacity_headroom), config))
     plans = plans.withColumn("holding", F.lit(config.holding_cost))
     return evaluate_plans(plans).select("scenario", *RESULT)
 
@@ -99,7 +99,7 @@ def saving_histogram(results: DataFrame, config: NetworkConfig) -> DataFrame:
 def base_plan(plan: DataFrame, network: DataFrame, config: NetworkConfig) -> DataFrame:
     """The planned demand as one plan, with the configured headroom and holding cost."""
     plans = capacity_columns(attach_network(single_plan(plan), network),
-                             _uniform(F.lit(config.capacity_headroom)))
+                             _uniform(F.lit(config.capacity_headroom), config))
     return plans.withColumn("holding", F.lit(config.holding_cost))
 
 
@@ -113,19 +113,36 @@ def sweep_plans(plan: DataFrame, network: DataFrame, config: NetworkConfig) -> D
     plans = (attach_network(single_plan(plan), network)
              .withColumn("step", fractions)
              .withColumn("regional_capacity_frac", F.col("step") / F.lit(float(steps))))
-    multipliers = F.array(*[
-        F.lit(config.capacity_headroom) * (F.lit(config.primary_multiplier)
-                                           if hub == config.primary_hub
-                                           else F.col("regional_capacity_frac"))
-        for hub in config.hubs])
+    multipliers = _regional(F.col("regional_capacity_frac"), config)
     return capacity_columns(plans, multipliers).withColumn("holding", F.lit(config.holding_cost))
 
 
+def _regional(fraction: Column, config: NetworkConfig) -> Column:
+    """Multipliers of the hubs' peaks when the regional hubs have a fraction of their capacity."""
+    return F.array(*[
+        F.lit(config.capacity_headroom) * (F.lit(config.primary_multiplier) if hub == config.primary_hub else fraction)
+        for hub in config.hubs])
+
+
 def capacity_sensitivity(plan: DataFrame, network: DataFrame, config: NetworkConfig) -> DataFrame:
     return evaluate_plans(sweep_plans(plan, network, config)).select(
         "regional_capacity_frac", "optimised_cost", "saving_pct")
 
 
+def capacity_breakpoints(plan: DataFrame, network: DataFrame, config: NetworkConfig) -> DataFrame:
+    """Between which fractions of regional capacity the optimised cost is linear: the sweep, exactly."""
+    plans = attach_network(single_plan(plan), network).withColumn("holding", F.lit(config.holding_cost))
+    plans = capacity_columns(plans, _regional(F.lit(0.0), config)).withColumnRenamed("caps", "low_caps")
+    return capacity_pieces(capacity_columns(plans, _regional(F.lit(1.0), config)), [])
+
+
+def scenario_breakpoints(scenarios: DataFrame, network: DataFrame, config: NetworkConfig) -> DataFrame:
+    """`capacity_breakpoints` of every scenario."""
+    plans = attach_network(plan_rows(scenarios, ["scenario"]), network).withColumn("holding", F.lit(config.holding_cost))
+    plans = capacity_columns(plans, _regional(F.lit(0.0), config)).withColumnRenamed("caps", "low_caps")
+    return capacity_pieces(capacity_columns(plans, _regional(F.lit(1.0), config)), ["scenario"])
+
+
 def assumption_grid(spark, headrooms: list[float], holdings: list[float]) -> DataFrame:
     """Every pairing of the given what-if assumptions; values out of range are an error."""
     if not all(0 < h <= 5 for h in headrooms):
@@ -150,7 +167,7 @@ def whatif_plans(assumptions: DataFrame, plan: DataFrame, network: DataFrame,
         F.raise_error(F.lit("capacity_headroom must lie in (0, 5], holding_cost in [0, 50]")))
     plans = attach_network(assumptions.withColumn("cells", single_plan(plan).scalar()), network)
     plans = plans.withColumn("multiplier", headroom).withColumn("holding", F.col("holding_cost"))
-    return capacity_columns(plans, _uniform(F.col("multiplier")))
+    return capacity_columns(plans, _uniform(F.col("multiplier"), config))
 
 
 def whatif(assumptions: DataFrame, plan: DataFrame, network: DataFrame,

@@ -304,6 +304,22 @@ def capacity_sensitivity(p: Planning) -> DataFrame:
     return p.capacity_sensitivity
 
 
+@full
+def capacity_breakpoints(p: Planning) -> DataFrame:
+    """The fractions of regional capacity at which the optimised cost changes its slope."""
+    return p.capacity_breakpoints
+
+
+@full
+def scenario_breakpoints(p: Planning) -> DataFrame:
+    """Where the optimised cost of each demand scenario stops falling, and how much it falls to there."""
+    pieces = scenarios.scenario_breakpoints(p.scenario_demand, p.network, p.config)
+    falling = F.when(F.col("to_cost") < F.col("from_cost") - 1e-6, F.col("to_frac"))
+    return pieces.groupBy("scenario").agg(
+        F.coalesce(F.max(falling), F.min("from_frac")).alias("enough_capacity_frac"),
+        F.max("from_cost").alias("cost_without"), F.min("to_cost").alias("cost_with"))
+
+
 @full
 def sweep_placement_checks(p: Planning) -> DataFrame:
     """Units, cost and hub use of the placements of the capacity sweep.

@@ -141,27 +141,19 @@ class Planning:
     # placement
     @cached_property
     def network(self) -> DataFrame:
-        return placement.network_row(
-            self.distances, self.freight_line, self.flows, self.peaks, self.config)
-
-    @cached_property
-    def priced_network(self) -> DataFrame:
-        return materialise(placement.with_prices(self.network))
-
-    @cached_property
-    def based_network(self) -> DataFrame:
-        return materialise(placement.with_bases(self.network))
+        return materialise(placement.network_row(
+            self.distances, self.freight_line, self.flows, self.peaks, self.config))
 
     @cached_property
     def plan_result(self) -> DataFrame:
         return placement.evaluate_plans(scenarios.base_plan(
-            self.plan, self.priced_network, self.config)).select(
+            self.plan, self.network, self.config)).select(
             "feasible", "units", *scenarios.RESULT)
 
     @cached_property
     def optimal_placement(self) -> DataFrame:
         return placement.place_units(scenarios.base_plan(
-            self.plan, self.based_network, self.config), [], self.config)
+            self.plan, self.network, self.config), [], self.config)
 
     # evaluation
     @cached_property
@@ -170,7 +162,7 @@ class Planning:
 
     @cached_property
     def scenario_results(self) -> DataFrame:
-        return scenarios.evaluate_scenarios(self.scenario_demand, self.priced_network, self.config)
+        return scenarios.evaluate_scenarios(self.scenario_demand, self.network, self.config)
 
     @cached_property
     def scenario_table(self) -> DataFrame:
@@ -179,18 +171,22 @@ class Planning:
 
     @cached_property
     def capacity_sensitivity(self) -> DataFrame:
-        return scenarios.capacity_sensitivity(self.plan, self.priced_network, self.config)
+        return scenarios.capacity_sensitivity(self.plan, self.network, self.config)
+
+    @cached_property
+    def capacity_breakpoints(self) -> DataFrame:
+        return scenarios.capacity_breakpoints(self.plan, self.network, self.config)
 
     @cached_property
     def sweep_placement(self) -> DataFrame:
-        plans = scenarios.sweep_plans(self.plan, self.based_network, self.config)
+        plans = scenarios.sweep_plans(self.plan, self.network, self.config)
         return placement.place_units(plans, ["regional_capacity_frac"], self.config)
 
     def whatif(self, assumptions: DataFrame) -> DataFrame:
-        return scenarios.whatif(assumptions, self.plan, self.priced_network, self.config)
+        return scenarios.whatif(assumptions, self.plan, self.network, self.config)
 
     def whatif_units(self, assumptions: DataFrame) -> DataFrame:
-        plans = scenarios.whatif_plans(assumptions, self.plan, self.based_network, self.config)
+        plans = scenarios.whatif_plans(assumptions, self.plan, self.network, self.config)
         keys = ["capacity_headroom", "holding_cost"]
         return placement.placement_by_hub(placement.place_units(plans, keys, self.config), keys)
 

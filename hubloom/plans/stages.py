@@ -98,34 +98,32 @@ def fit_flows(store: Store, config: NetworkConfig) -> DataFrame:
 
 def planning_network(store: Store, config: NetworkConfig) -> DataFrame:
     lanes, distances = store.read("lane_weeks"), store.read("state_hub_distance")
-    return placement.network_row(distances, costs.fit_freight_line(lanes, distances),
-                                 store.read("routing_probabilities"), costs.hub_peaks(lanes), config)
+    return materialise(placement.network_row(
+        distances, costs.fit_freight_line(lanes, distances), store.read("routing_probabilities"),
+        costs.hub_peaks(lanes), config))
 
 
 def optimise(store: Store, config: NetworkConfig) -> DataFrame:
     """Placement, capacity sweep and scenarios; returns the costs of the planning week."""
     plan, holdout = store.read("planning_demand"), store.read("forecast_holdout")
     network = planning_network(store, config)
-    priced = materialise(placement.with_prices(network))
-    based = materialise(placement.with_bases(network))
-    placed = placement.place_units(scenarios.base_plan(plan, based, config), [], config)
+    placed = placement.place_units(scenarios.base_plan(plan, network, config), [], config)
     store.write("optimal_placement", placed)
-    store.write("capacity_sensitivity", scenarios.capacity_sensitivity(plan, priced, config))
+    store.write("capacity_sensitivity", scenarios.capacity_sensitivity(plan, network, config))
+    store.write("capacity_breakpoints", scenarios.capacity_breakpoints(plan, network, config))
     store.write("scenario_results", scenarios.evaluate_scenarios(
-        scenarios.scenario_demand(plan, holdout, config), priced, config))
-    return placement.evaluate_plans(scenarios.base_plan(plan, priced, config)).select(
+        scenarios.scenario_demand(plan, holdout, config), network, config))
+    return placement.evaluate_plans(scenarios.base_plan(plan, network, config)).select(
         "feasible", "units", *scenarios.RESULT)
 
 
 def whatif(store: Store, config: NetworkConfig, headrooms: list[float], holdings: list[float]) -> DataFrame:
     """Costs and units by hub for every pairing of the given assumptions, from the stored tables."""
     network, plan = planning_network(store, config), store.read("planning_demand")
-    priced = materialise(placement.with_prices(network))
-    based = materialise(placement.with_bases(network))
     grid = scenarios.assumption_grid(store.spark, headrooms, holdings)
     keys = ["capacity_headroom", "holding_cost"]
-    placed = placement.place_units(scenarios.whatif_plans(grid, plan, based, config), keys, config)
-    return reports.whatif_answer(scenarios.whatif(grid, plan, priced, config),
+    placed = placement.place_units(scenarios.whatif_plans(grid, plan, network, config), keys, config)
+    return reports.whatif_answer(scenarios.whatif(grid, plan, network, config),
                                  placement.placement_by_hub(placed, keys), config)
 
 

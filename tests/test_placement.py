@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from hubloom.config import RETAIL_NETWORK
-from hubloom.operators import costs, placement, scenarios
+from hubloom.operators import costs, placement, scenarios, transport
 from hubloom.sources.small import literal_table
 
 HUBS = RETAIL_NETWORK.hubs
@@ -49,7 +49,7 @@ def toy(spark):
 
 
 def test_toy_costs(spark, toy):
-    rows = plans(spark, TOY_CELLS, TOY_CAPS, placement.with_prices(toy))
+    rows = plans(spark, TOY_CELLS, TOY_CAPS, toy)
     result = {r.plan: r for r in placement.evaluate_plans(rows).collect()}
     assert result[0].optimised_cost == pytest.approx(2441.475)
     assert result[1].optimised_cost == pytest.approx(2817.06)
@@ -62,7 +62,7 @@ def test_toy_costs(spark, toy):
 
 
 def test_toy_placement(spark, toy):
-    rows = plans(spark, TOY_CELLS, TOY_CAPS, placement.with_bases(toy))
+    rows = plans(spark, TOY_CELLS, TOY_CAPS, toy)
     placed = placement.place_units(rows, PLAN_KEYS, RETAIL_NETWORK)
     units = {(r.plan, r.customer_state, r.hub): r.units for r in placed.collect()}
     expected = {(0, "SP"): [100, 0, 0], (0, "RS"): [0, 50, 0], (1, "SP"): [30, 0, 70], (1, "RS"): [0, 50, 0]}
@@ -102,9 +102,9 @@ def test_random_plans_are_optimal(spark, ties):
             caps[plan] = np.full(3, total / 4)
         demand[plan] = amounts
     value = {r.plan: r for r in placement.evaluate_plans(
-        plans(spark, cells, caps, placement.with_prices(net))).collect()}
+        plans(spark, cells, caps, net)).collect()}
     placed = placement.place_units(
-        plans(spark, cells, caps, placement.with_bases(net)), PLAN_KEYS, RETAIL_NETWORK).collect()
+        plans(spark, cells, caps, net), PLAN_KEYS, RETAIL_NETWORK).collect()
     x = {}
     for r in placed:
         i, j, h = states.index(r.customer_state), ("home", "tech").index(r.product_group), HUBS.index(r.hub)
@@ -121,7 +121,7 @@ def test_random_plans_are_optimal(spark, ties):
 
 
 def test_stranded_demand_is_an_error(spark):
-    net = placement.with_prices(network(spark, TOY_KM, {"SP": TOY_FLOWS["SP"]}))
+    net = network(spark, TOY_KM, {"SP": TOY_FLOWS["SP"]})
     with pytest.raises(PySparkException, match="no flow or distance for state RS"):
         placement.evaluate_plans(plans(spark, TOY_CELLS, TOY_CAPS, net)).collect()
     without = [(p, s, g, 0.0 if s == "RS" else d) for p, s, g, d in TOY_CELLS]
@@ -190,7 +190,7 @@ def test_scenarios_need_residuals_for_every_cell(planned):
 
 def test_scenario_plan_has_no_shuffle_between_scenarios(spark, planned):
     plan, holdout = planned
-    net = placement.with_prices(network(spark, TOY_KM, TOY_FLOWS, peaks=(90, 60, 60))).checkpoint()
+    net = network(spark, TOY_KM, TOY_FLOWS, peaks=(90, 60, 60)).checkpoint()
     table = scenarios.evaluate_scenarios(
         scenarios.scenario_demand(plan, holdout, RETAIL_NETWORK), net, RETAIL_NETWORK)
     physical = table._jdf.queryExecution().executedPlan().toString()
@@ -221,7 +221,7 @@ def test_histogram_of_equal_savings(spark):
 
 def test_sweep_saving_grows_with_capacity(spark, planned):
     plan, _ = planned
-    net = placement.with_prices(network(spark, TOY_KM, TOY_FLOWS, peaks=(80, 50, 50)))
+    net = network(spark, TOY_KM, TOY_FLOWS, peaks=(80, 50, 50))
     rows = scenarios.capacity_sensitivity(plan, net, RETAIL_NETWORK).orderBy("regional_capacity_frac").collect()
     assert [r.regional_capacity_frac for r in rows] == pytest.approx([i / 10 for i in range(11)])
     saving = [r.saving_pct for r in rows]
@@ -230,7 +230,7 @@ def test_sweep_saving_grows_with_capacity(spark, planned):
 
 def test_whatif_checks_and_flags(spark, planned):
     plan, _ = planned
-    net = placement.with_prices(network(spark, TOY_KM, TOY_FLOWS, peaks=(80, 50, 50)))
+    net = network(spark, TOY_KM, TOY_FLOWS, peaks=(80, 50, 50))
     grid = scenarios.assumption_grid(spark, [0.1, 1.5], [0.0, 1.0])
     rows = {(r.capacity_headroom, r.holding_cost): r
             for r in scenarios.whatif(grid, plan, net, RETAIL_NETWORK).collect()}
@@ -248,6 +248,102 @@ def test_whatif_checks_and_flags(spark, planned):
         scenarios.whatif(unchecked, plan, net, RETAIL_NETWORK).collect()
 
 
-def test_three_hubs_are_required():
-    with pytest.raises(ValueError, match="three hubs"):
-        replace(RETAIL_NETWORK, hub_members=RETAIL_NETWORK.hub_members[:2])
+@pytest.mark.parametrize("hubs", [1, 2, 4, 5, 6])
+def test_any_number_of_hubs(spark, hubs):
+    """Six states, random plans, every placement against its own dual bound."""
+    rng = np.random.default_rng(hubs)
+    config = replace(RETAIL_NETWORK, hub_members=tuple((f"H{k}", (f"S{k}",)) for k in range(hubs)), primary_hub="H0")
+    states = [f"S{i}" for i in range(6)]
+    km = rng.uniform(0, 2000, (len(states), hubs))
+    lanes = [(s, h, float(km[i, k])) for i, s in enumerate(states) for k, h in enumerate(config.hubs)]
+    column = dict(customer_state=[x[0] for x in lanes], hub=[x[1] for x in lanes])
+    net = placement.network_row(
+        literal_table(spark, **column, km=[x[2] for x in lanes]), literal_table(spark, a=[14.3], b=[0.0105]),
+        literal_table(spark, **column, p=[1.0 / hubs] * len(lanes)),
+        literal_table(spark, hub=list(config.hubs), peak=[1.0] * hubs), config)
+    demand = rng.uniform(0, 50, (40, len(states))) * (rng.random((40, len(states))) > 0.2)
+    caps = rng.dirichlet(np.ones(hubs), 40) * demand.sum(1)[:, None] * rng.uniform(1.0001, 1.6, (40, 1))
+    cells = [(p, s, "home", float(demand[p, i])) for p in range(40) for i, s in enumerate(states)]
+    rows = plans(spark, cells, dict(enumerate(caps)), net)
+    value = {r.plan: r.optimised_cost for r in placement.evaluate_plans(rows).collect()}
+    x = np.zeros((40, len(states), hubs))
+    for r in placement.place_units(rows, PLAN_KEYS, config).collect():
+        x[r.plan, states.index(r.customer_state), config.hubs.index(r.hub)] = r.units
+    unit = np.broadcast_to(14.3 + 0.0105 * km, x.shape)
+    prices = transport.hub_prices(unit, x)
+    assert x.min() >= -1e-9 and np.allclose(x.sum(2), demand) and (x.sum(1) <= caps + 1e-6).all() and prices.min() >= -1e-9
+    bound = (demand * (unit + prices[:, None]).min(2)).sum(1) - (prices * caps).sum(1)
+    assert (x * unit).sum((1, 2)) == pytest.approx(bound, abs=1e-3)
+    assert [value[p] for p in range(40)] == pytest.approx(list(bound + demand.sum(1)), abs=1e-3)
+
+
+def test_many_states():
+    """500 states and 200 plans; cost equals the dual bound."""
+    rng = np.random.default_rng(4)
+    costs_ = np.broadcast_to(rng.uniform(10, 40, (500, 3)), (8, 500, 3))
+    demand = rng.uniform(0, 50, (200, 500))
+    caps = rng.dirichlet(np.ones(3) * 3, 200) * demand.sum(1)[:, None] * 1.2
+    for k in range(0, 200, 8):
+        d, c = demand[k:k + 8], caps[k:k + 8]
+        units = transport.cheapest_units(costs_, d, c)
+        prices = transport.hub_prices(costs_, units)
+        bound = (d * (costs_ + prices[:, None]).min(2)).sum(1) - (prices * c).sum(1)
+        assert (units * costs_).sum((1, 2)) == pytest.approx(bound) and (units.sum(1) <= c + 1e-6).all()
+
+
+def test_equal_costs_settle():
+    """Whole-number costs: most paths tie."""
+    rng = np.random.default_rng(6)
+    costs_ = np.broadcast_to(rng.integers(0, 3, (30, 5)).astype(float), (50, 30, 5))
+    demand = rng.integers(0, 9, (50, 30)).astype(float)
+    caps = np.ceil(rng.dirichlet(np.ones(5), 50) * demand.sum(1)[:, None] * 1.1)
+    units = transport.cheapest_units(costs_, demand, caps)
+    prices = transport.hub_prices(costs_, units)
+    bound = (demand * (costs_ + prices[:, None]).min(2)).sum(1) - (prices * caps).sum(1)
+    assert (units * costs_).sum((1, 2)) == pytest.approx(bound) and np.allclose(units.sum(2), demand)
+
+
+def test_cost_pieces_are_the_cost():
+    rng = np.random.default_rng(8)
+    for k in range(40):
+        states, hubs = rng.integers(1, 30), rng.integers(2, 6)
+        cost, demand = rng.uniform(10, 40, (states, hubs)), rng.uniform(0, 50, states)
+        high = rng.dirichlet(np.ones(hubs)) * demand.sum() * 1.5
+        low = np.zeros(hubs)
+        low[0] = high[0] = demand.sum() * (0.3, 1.2)[k % 2]
+        pieces = transport.value_pieces(cost, demand, low, high)
+        if high.sum() < demand.sum():
+            assert pieces == []
+            continue
+        assert pieces[0][0] == pytest.approx(max(0, (demand.sum() - low.sum()) / (high - low).sum())) and pieces[-1][1] == 1.0
+        assert all(a[1] == b[0] and a[3] == b[2] for a, b in zip(pieces, pieces[1:]))
+        slopes = [(d - c) / (b - a) for a, b, c, d in pieces]
+        assert all(b > a for a, b in zip(slopes, slopes[1:]))
+        at = rng.uniform(pieces[0][0], 1, 50)
+        units = transport.cheapest_units(np.broadcast_to(cost, (50, states, hubs)), np.broadcast_to(demand, (50, states)),
+                                         low + at[:, None] * (high - low))
+        on_line = np.interp(at, [*[p[0] for p in pieces], 1.0], [*[p[2] for p in pieces], pieces[-1][3]])
+        assert (units * cost).sum((1, 2)) == pytest.approx(on_line, abs=1e-6)
+
+
+def test_sweep_points_lie_on_the_pieces(spark, planned):
+    plan, _ = planned
+    net = network(spark, TOY_KM, TOY_FLOWS, peaks=(80, 50, 50))
+    points = scenarios.capacity_sensitivity(plan, net, RETAIL_NETWORK).orderBy("regional_capacity_frac").collect()
+    pieces = scenarios.capacity_breakpoints(plan, net, RETAIL_NETWORK).orderBy("from_frac").collect()
+    x, y = [*[p.from_frac for p in pieces], 1.0], [*[p.from_cost for p in pieces], pieces[-1].to_cost]
+    assert [p.optimised_cost for p in points] == pytest.approx(np.interp([p.regional_capacity_frac for p in points], x, y).tolist())
+
+
+def test_missing_hub_distance_names_both(spark):
+    km = long_table(spark, TOY_KM, "km").where(f"NOT (customer_state = 'RS' AND hub = '{HUBS[1]}')")
+    net = placement.network_row(km, literal_table(spark, a=[14.3], b=[0.01]), long_table(spark, TOY_FLOWS, "p"),
+                                literal_table(spark, hub=list(HUBS), peak=[1.0] * 3), RETAIL_NETWORK)
+    with pytest.raises(PySparkException, match=f"no distance from state RS to hub {HUBS[1]}"):
+        net.collect()
+
+
+def test_hubs_are_given_once():
+    for members in ((), RETAIL_NETWORK.hub_members[:1] * 2):
+        with pytest.raises(ValueError, match="hubs must be given"):
+            replace(RETAIL_NETWORK, hub_members=members)

@@ -80,7 +80,7 @@ def test_published_costs_are_reproduced(spark):
         _long(spark, table("state_hub_distance_km"), "km"), literal_table(spark, a=[a], b=[b]),
         _long(spark, table("routing_probabilities"), "p"),
         literal_table(spark, hub=list(RETAIL_NETWORK.hubs), peak=list(PUBLISHED_PEAKS)), RETAIL_NETWORK)
-    priced = placement.with_prices(network).checkpoint()
+    priced = network.checkpoint()
     plan, holdout = table("planning_demand"), table("forecast_holdout")
     cells = literal_table(spark, **{c: plan[c].tolist() for c in plan})
 
@@ -93,7 +93,7 @@ def test_published_costs_are_reproduced(spark):
     assert result.policy_cost == pytest.approx(27392.73, abs=0.01)
     assert result.optimised_cost == pytest.approx(24320.01, abs=0.01)
     units = placement.place_units(
-        scenarios.whatif_plans(base, cells, placement.with_bases(network).checkpoint(), RETAIL_NETWORK),
+        scenarios.whatif_plans(base, cells, network.checkpoint(), RETAIL_NETWORK),
         [], RETAIL_NETWORK).groupBy("customer_state", "hub").agg(F.sum("units").alias("units")).toPandas()
     known = table("optimal_placement").groupby(["customer_state", "hub"]).units.sum()
     assert np.allclose(units.set_index(["customer_state", "hub"]).units.reindex(known.index), known, atol=1e-4)
