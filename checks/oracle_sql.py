@@ -210,9 +210,10 @@ STEPS: dict[str, str] = {
         LEFT JOIN (SELECT customer_state, hub, count(*) AS n FROM base_items GROUP BY ALL)
           USING (customer_state, hub)""",
     "split": """
-        SELECT *, ('0x' || substr(md5(concat_ws('|', order_id, order_item_id, product_id, seller_id,
-                  floor(price * 100 + 0.5::DOUBLE)::BIGINT)), 1, 8))::BIGINT % 5 = 0 AS is_test
-        FROM base_items""",
+        SELECT *, row_number() OVER (PARTITION BY hub ORDER BY draw) <= floor(count(*) OVER (PARTITION BY hub) / 5 + 0.5::DOUBLE) AS is_test
+        FROM (SELECT *, ('0x' || substr(md5(concat_ws('|', order_id, order_item_id, product_id, seller_id,
+                floor(price * 100 + 0.5::DOUBLE)::BIGINT)), 1, 15))::BIGINT AS draw
+              FROM base_items)""",
     # multinomial fit on single items, with an upper bound B of the curvature: each step is
     # w <- inverse(B) X' (z/2 - p + y), z being the scores X w; the bound makes it converge
     "wide_distances": "SELECT customer_state, " + ", ".join(

@@ -10,34 +10,77 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hubloom.config import NetworkConfig
-from hubloom.functions.draws import hash32
 from hubloom.operators.costs import known_distance
 from hubloom.operators.forecast import assemble, level_index
 from hubloom.operators.items import ITEM_KEY
+from hubloom.session import materialise, store
 
 # Probabilities are kept this far from 0 and 1 in logarithms (double precision).
 EPSILON = 2.0 ** -52
 
+# Items are ordered for the split by a hash of this many bits; its first bits make strips, in
+# which items are counted before single ones are looked at.
+DRAW_BITS, STRIP_BITS = 60, 16
+PROFILE = ["customer_state", "product_group", "hub", "price"]
 
-def test_bucket(config: NetworkConfig) -> Column:
-    """True for one item in `test_every`, by a hash of the item itself.
+
+def split_draw() -> Column:
+    """The item's place in the order by which test items are taken: a hash of the item itself.
 
     The price enters in cents: the textual form of a double differs between engines.
     """
     cents = F.floor(F.col("price") * 100 + F.lit(0.5))
-    return hash32(*[F.col(k) for k in ITEM_KEY], cents) % config.test_every == 0
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in ITEM_KEY], cents.cast("string")))
+    return F.conv(F.substring(digest, 1, DRAW_BITS // 4), 16, 10).cast("bigint")
+
+
+def split_cuts(drawn: DataFrame, config: NetworkConfig) -> DataFrame:
+    """Columns hub, cut, taken: test items are those drawn below `cut`, and `taken` of those at it.
+
+    Each hub gives one item in `test_every`, rounded half up. Items are counted by strips of
+    the draw; only the strip in which a hub's share is reached is looked at draw by draw, so no
+    hub is gathered or sorted. A hub without test items has no row.
+    """
+    strip = F.shiftright("draw", DRAW_BITS - STRIP_BITS)
+    upto = Window.partitionBy("hub").orderBy("strip")
+    whole = Window.partitionBy("hub")
+    strips = (drawn.groupBy("hub", strip.alias("strip")).agg(F.count("*").alias("n"))
+              .withColumn("quota", F.floor(F.sum("n").over(whole) / F.lit(float(config.test_every)) + F.lit(0.5)))
+              .withColumn("passed", F.sum("n").over(upto) - F.col("n")))
+    last = (strips.where("passed < quota AND quota <= passed + n")
+            .select(F.col("hub").alias("of"), F.col("strip").alias("last_strip"), (F.col("quota") - F.col("passed")).alias("need")))
+    by_draw = Window.partitionBy("hub").orderBy("draw")
+    return (drawn.join(F.broadcast(last), (F.col("hub") == F.col("of")) & (strip == F.col("last_strip")))
+            .groupBy("hub", "need", "draw").agg(F.count("*").alias("n"))
+            .withColumn("before", F.sum("n").over(by_draw) - F.col("n"))
+            .where("before < need AND need <= before + n")
+            .select("hub", F.col("draw").alias("cut"), (F.col("need") - F.col("before")).alias("taken")))
 
 
 def routing_profile(items: DataFrame, config: NetworkConfig) -> DataFrame:
-    """Item counts per split, state, group, hub and price."""
-    return (items.withColumn("is_test", test_bucket(config))
-            .groupBy("is_test", "customer_state", "product_group", "hub", "price")
-            .agg(F.count("*").alias("n")))
+    """Item counts per split, state, group, hub and price; the split is exact within each hub.
+
+    Items drawn alike at a hub's cut are told apart by state, group and price; as only counts
+    are wanted, those are divided between the splits without looking at items again.
+    """
+    drawn = store(items.select(*PROFILE, split_draw().alias("draw")))
+    cuts = materialise(split_cuts(drawn, config)).withColumnRenamed("hub", "of")  # a row for each configured hub
+    side = (F.when(F.col("draw") < F.col("cut"), "test").when(F.col("draw") == F.col("cut"), "cut").otherwise("train"))
+    counted = (drawn.join(F.broadcast(cuts), F.col("hub") == F.col("of"), "left")
+               .groupBy(*PROFILE, side.alias("side"), F.when(F.col("draw") == F.col("cut"), F.col("taken")).alias("taken"))
+               .agg(F.count("*").alias("n")))
+    order = Window.partitionBy("hub").orderBy("customer_state", "product_group", "price")
+    at_cut = (counted.where("side = 'cut'").withColumn("before", F.sum("n").over(order) - F.col("n"))
+              .withColumn("test", F.greatest(F.least(F.col("taken") - F.col("before"), F.col("n")), F.lit(0)))
+              .select(*PROFILE, F.inline(F.array(
+                  F.struct(F.lit(True).alias("is_test"), F.col("test").alias("n")),
+                  F.struct(F.lit(False).alias("is_test"), (F.col("n") - F.col("test")).alias("n"))))))
+    clear = counted.where("side <> 'cut'").select(*PROFILE, (F.col("side") == "test").alias("is_test"), "n")
+    return (clear.unionByName(at_cut.where("n > 0")).groupBy("is_test", *PROFILE).agg(F.sum("n").alias("n")))
 
 
 def distance_columns(config: NetworkConfig) -> list[str]:
@@ -69,34 +112,135 @@ def routing_design(rows: DataFrame, distances: DataFrame, config: NetworkConfig)
 
 @dataclass(frozen=True)
 class RoutingModel:
-    model: LogisticRegressionModel
+    intercepts: np.ndarray  # by hub; minus infinity for a hub without training items
+    coefficients: np.ndarray  # hub x feature, features as in `routing_design`
+    steps: int
     scored: DataFrame  # profile rows with `proba`, P(hub) in hub order
 
 
+@dataclass(frozen=True)
+class Cells:
+    """The features of each configured (state, group) but for the price, which enters as z = log1p(price)."""
+
+    names: list[tuple[str, str]]
+    fixed: np.ndarray  # cell x feature, the last one constant 1; 0 at `z`, nan without distances
+    z: int
+
+    @staticmethod
+    def of(distances: DataFrame, config: NetworkConfig) -> Cells:
+        states, groups, hubs = sorted(config.states), sorted(config.groups), len(config.hubs)
+        km = {r["customer_state"]: [r[c] for c in distance_columns(config)] for r in wide_distances(distances, config).collect()}
+        names = [(state, group) for state in states for group in groups]
+        fixed = np.zeros((len(names), hubs + 1 + len(groups) + len(states) + 1))
+        for row, (state, group) in zip(fixed, names):
+            row[:hubs] = [np.nan if d is None else d for d in km.get(state, [None] * hubs)]
+            row[hubs + 1 + groups.index(group)] = row[hubs + 1 + len(groups) + states.index(state)] = row[-1] = 1.0
+        return Cells(names, fixed, hubs)
+
+    def index(self) -> Column:
+        """Number of the row's cell, null for others."""
+        return F.array_position(F.lit(["|".join(n) for n in self.names]), F.concat_ws("|", "customer_state", "product_group")) - 1
+
+    def scores(self, weights: np.ndarray) -> list[Column]:
+        """Log of P(hub) of a row, up to a constant, from hub x feature weights."""
+        bases = self.fixed @ weights.T
+        return [F.get(F.lit(bases[:, k].tolist()), F.col("cell").cast("int")) + F.lit(float(weights[k, self.z])) * F.col("z")
+                for k in range(len(weights))]
+
+
+def newton_sums(train: DataFrame, cells: Cells, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, gradient and Hessian of the summed loss at `weights`, from one aggregation by cell.
+
+    Within a cell the features are the cell's plus z along one axis, so sums of n p, of
+    n p (1 - q) and of these times z and z^2 give both exactly, whatever the number of rows.
+    """
+    hubs, size = weights.shape
+    pairs = [(a, b) for a in range(hubs) for b in range(a, hubs)]
+    scored = train.withColumn("s", F.array(*cells.scores(weights))).withColumn("top", F.array_max("s"))
+    scored = scored.withColumn("e", F.transform("s", lambda s: F.exp(s - F.col("top"))))
+    scored = scored.withColumn("total", F.aggregate("e", F.lit(0.0), lambda t, e: t + e))
+    n, z = F.col("n").cast("double"), F.col("z")
+    p = [F.get("e", F.lit(k)) / F.col("total") for k in range(hubs)]
+    own = F.get("s", F.col("label").cast("int"))
+    sums = [F.sum(n * (F.log("total") + F.col("top") - own)).alias("loss")]
+    for k in range(hubs):
+        excess = n * (p[k] - (F.col("label") == k).cast("double"))
+        sums += [F.sum(excess).alias(f"g{k}"), F.sum(excess * z).alias(f"gz{k}")]
+    for a, b in pairs:
+        curve = n * p[a] * ((1.0 if a == b else 0.0) - p[b])
+        sums += [F.sum(curve).alias(f"h{a}_{b}"), F.sum(curve * z).alias(f"hz{a}_{b}"), F.sum(curve * z * z).alias(f"hzz{a}_{b}")]
+    rows = scored.groupBy("cell").agg(*sums).collect()  # a row for each configured state and group
+    loss = sum(r["loss"] for r in rows)
+    gradient, hessian = np.zeros((hubs, size)), np.zeros((hubs, size, hubs, size))
+    along = np.zeros(size)
+    along[cells.z] = 1.0
+    for r in rows:
+        x = cells.fixed[r["cell"]]
+        for k in range(hubs):
+            gradient[k] += r[f"g{k}"] * x + r[f"gz{k}"] * along
+        for a, b in pairs:
+            block = (r[f"h{a}_{b}"] * np.outer(x, x) + r[f"hz{a}_{b}"] * (np.outer(x, along) + np.outer(along, x))
+                     + r[f"hzz{a}_{b}"] * np.outer(along, along))
+            hessian[a, :, b] += block
+            if a != b:
+                hessian[b, :, a] += block.T
+    return loss, gradient, hessian
+
+
 def fit_routing(profile: DataFrame, distances: DataFrame, config: NetworkConfig) -> RoutingModel:
-    """Weighted multinomial fit with an L2 penalty, on the training split.
+    """Weighted multinomial fit by Newton steps, on the training split.
 
-    The fit reads `profile` once per iteration, so it should be a written table.
-    The penalty 1 / (C * items) makes it the sum of losses times C plus half the
-    squared coefficients.
+    Minimises the summed loss times C plus half the squared coefficients, intercepts free. A
+    step is one aggregation of `profile`, which should be a written table; a step that would
+    raise the objective is halved. A hub without training items has probability 0.
     """
-    design = routing_design(profile, distances, config)
-    train = design.where(~F.col("is_test")).withColumn("weight", F.col("n").cast("double"))
-    items = train.agg(F.sum("n")).first()[0]
+    cells = Cells.of(distances, config)
+    rows = profile.withColumns({"cell": cells.index(), "z": F.log1p("price"), "label": level_index("hub", config.hubs, "label")})
+    seen = rows.groupBy("cell", "customer_state", F.when(~F.col("is_test"), F.col("label")).alias("label")).agg(F.sum("n").alias("n")).collect()
+    unknown = sorted({r["customer_state"] for r in seen if r["cell"] is None or np.isnan(cells.fixed[r["cell"]]).any()})
+    if unknown:
+        raise ValueError(f"no distance for state {unknown[0]}")
+    classes = sorted({int(r["label"]) for r in seen if r["label"] is not None})
+    items = sum(r["n"] for r in seen if r["label"] is not None)
     if not items:
         raise ValueError("no training items")
-    estimator = LogisticRegression(
-        featuresCol="features", labelCol="label", weightCol="weight", family="multinomial",
-        regParam=1.0 / (config.inverse_l2 * items), elasticNetParam=0.0, standardization=False,
-        maxIter=config.logistic_max_iter, tol=config.logistic_tol)
-    model = estimator.fit(train.select("features", "label", "weight"))
-    if model.summary.totalIterations >= config.logistic_max_iter:
-        raise RuntimeError(f"the routing fit has not converged in {config.logistic_max_iter} iterations")
-    scored = (model.transform(design)
-              .withColumn("proba", vector_to_array("probability"))
-              .select("is_test", "customer_state", "product_group", "hub", "n",
-                      F.col("label").cast("int").alias("label"), "proba"))
-    return RoutingModel(model, scored)
+    train = rows.where(~F.col("is_test")).withColumn(
+        "label", F.array_position(F.lit([float(c) for c in classes]), F.col("label")) - 1)
+    cells = Cells(cells.names, np.nan_to_num(cells.fixed), cells.z)
+
+    size = cells.fixed.shape[1]
+    penalty = np.append(np.full(size - 1, 1.0 / config.inverse_l2), 0.0)
+    # One constant added to all intercepts changes nothing; this keeps the system regular.
+    level = np.zeros((len(classes), size, len(classes), size))
+    level[:, -1, :, -1] = items / len(classes)
+    weights, step, before, steps = np.zeros((len(classes), size)), None, np.inf, 0
+    while True:
+        if steps >= config.logistic_max_iter:
+            raise RuntimeError(f"the routing fit has not converged in {config.logistic_max_iter} iterations")
+        steps += 1
+        loss, gradient, hessian = newton_sums(train, cells, weights)
+        objective = loss + 0.5 * (penalty * weights ** 2).sum()
+        if step is not None and objective > before + 1e-9 * abs(before):
+            step = step / 2
+            weights = weights + step
+            continue
+        gradient = gradient + penalty * weights
+        system = (hessian + level).reshape(weights.size, weights.size) + np.diag(np.tile(penalty, len(classes)))
+        step = np.linalg.solve(system, gradient.ravel()).reshape(weights.shape)
+        before, weights = objective, weights - step
+        if (gradient * step).sum() <= config.logistic_tol * items:  # what a further step could gain
+            break
+    fitted = np.zeros((len(config.hubs), size))
+    fitted[:, -1] = -np.inf
+    fitted[classes] = weights
+    scores = cells.scores(weights)
+    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    odds = [F.exp(scores[classes.index(k)] - top) if k in classes else F.lit(0.0) for k in range(len(config.hubs))]
+    scored = (rows.withColumn("odds", F.array(*odds))
+              .withColumn("total", F.aggregate("odds", F.lit(0.0), lambda t, e: t + e))
+              .select("is_test", "customer_state", "product_group", "hub", "n", F.col("label").cast("int").alias("label"),
+                      F.transform("odds", lambda e: e / F.col("total")).alias("proba")))
+    return RoutingModel(fitted[:, -1], fitted[:, :-1], steps, scored)
 
 
 def model_flows(scored: DataFrame, config: NetworkConfig) -> DataFrame:

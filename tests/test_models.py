@@ -1,3 +1,4 @@
+import math
 from dataclasses import replace
 
 import numpy as np
@@ -120,12 +121,14 @@ def test_weighted_logistic_equals_newton_on_items(items, distances):
     profile = routing.routing_profile(items, CONFIG)
     fitted = routing.fit_routing(profile, distances, CONFIG)
 
-    flagged = items.withColumn("is_test", routing.test_bucket(CONFIG))
-    rows = (routing.routing_design(flagged, distances, CONFIG)
-            .select("is_test", "customer_state", "hub", "label", vector_to_array("features").alias("x"))
+    rows = (routing.routing_design(items.withColumn("draw", routing.split_draw()), distances, CONFIG)
+            .select("draw", "customer_state", "hub", "label", vector_to_array("features").alias("x"))
             .collect())
-    test = np.array([r.is_test for r in rows])
-    assert 0.14 < test.mean() < 0.26
+    test = np.zeros(len(rows), bool)
+    for hub in CONFIG.hubs:  # the first fifth of each hub's items by hash
+        own = sorted((r.draw, k) for k, r in enumerate(rows) if r.hub == hub)
+        test[[k for _, k in own[:math.floor(len(own) / 5 + 0.5)]]] = True
+    assert fitted.steps <= 10
     x, y = np.array([r.x for r in rows]), np.array([int(r.label) for r in rows])
     _, w = _newton(x[~test], y[~test], 1.0)
     z = np.hstack([x, np.ones((len(x), 1))]) @ w.T
@@ -154,6 +157,36 @@ def test_weighted_logistic_equals_newton_on_items(items, distances):
 def test_class_missing_from_training_keeps_its_place(items, distances):
     two_hubs = items.where(F.col("hub") != CONFIG.hubs[2])
     fitted = routing.fit_routing(routing.routing_profile(two_hubs, CONFIG), distances, CONFIG)
-    assert fitted.model.numClasses == 3
+    assert len(fitted.intercepts) == len(fitted.coefficients) == 3
     flows = routing.model_flows(fitted.scored, CONFIG).where(F.col("hub") == CONFIG.hubs[2])
     assert flows.agg(F.max("p")).first()[0] < 1e-3
+
+
+def test_split_is_exact_by_hub(spark):
+    """Also where one item is repeated: copies share a hash, and a part of them is taken."""
+    rows = [(f"o{k}", 1, "p", "s", "SP", "home", "HUB_A" if k % 3 else "HUB_B", float(k % 7)) for k in range(1000)]
+    rows += [("same", 1, "p", "s", "SP", "home", "HUB_C", 5.0)] * 42 + [("one", 1, "p", "s", "SP", "home", "HUB_D", 5.0)] * 2
+    rows += [("same", 1, "p", "s", "RJ", "tech", "HUB_C", 5.0)] * 11
+    items = spark.createDataFrame(rows, "order_id string, order_item_id int, product_id string, seller_id string, "
+                                        "customer_state string, product_group string, hub string, price double")
+    profile = routing.routing_profile(items, CONFIG).collect()
+    count = lambda hub, test: sum(r.n for r in profile if r.hub == hub and r.is_test is test)
+    sizes = {h: sum(x[6] == h for x in rows) for h in ("HUB_A", "HUB_B", "HUB_C", "HUB_D")}
+    for hub, n in sizes.items():
+        quota = math.floor(n / 5 + 0.5)
+        assert (count(hub, True), count(hub, False)) == (quota, n - quota)
+    assert {(r.customer_state, r.is_test): r.n for r in profile if r.hub == "HUB_C"} == {
+        ("RJ", True): 11, ("SP", False): 42}
+    assert len({(r.is_test, r.customer_state, r.product_group, r.hub, r.price) for r in profile}) == len(profile)
+    assert routing.routing_profile(items.where("false"), CONFIG).count() == 0
+
+
+def test_fit_needs_distances_and_converges(spark, items, distances):
+    profile = routing.routing_profile(items, CONFIG).cache()
+    some = distances.where(F.col("customer_state") != CONFIG.states[0])
+    with pytest.raises(ValueError, match=f"no distance for state {CONFIG.states[0]}"):
+        routing.fit_routing(profile, some, CONFIG)
+    with pytest.raises(RuntimeError, match="not converged in 2"):
+        routing.fit_routing(profile, distances, replace(CONFIG, logistic_max_iter=2))
+    with pytest.raises(ValueError, match="no training items"):
+        routing.fit_routing(profile.where("is_test"), distances, CONFIG)
