@@ -407,13 +407,25 @@ STEPS: dict[str, str] = {
 
 ORACLES: dict[str, str] = {
     "raw_table_rows": """
-        SELECT 'geolocation' AS raw_table, count(*) AS rows FROM points
-        UNION ALL SELECT 'orders', count(*) FROM orders
-        UNION ALL SELECT 'order_items', count(*) FROM lineitem
-        UNION ALL SELECT 'customers', count(*) FROM customer
-        UNION ALL SELECT 'sellers', count(*) FROM supplier
-        UNION ALL SELECT 'products', count(*) FROM part
-        UNION ALL SELECT 'category_translation', count(DISTINCT p_type) FROM part""",
+        SELECT *, 0::BIGINT AS rejected FROM (
+          SELECT 'geolocation' AS raw_table, count(*) AS rows FROM points
+          UNION ALL SELECT 'orders', count(*) FROM orders
+          UNION ALL SELECT 'order_items', count(*) FROM lineitem
+          UNION ALL SELECT 'customers', count(*) FROM customer
+          UNION ALL SELECT 'sellers', count(*) FROM supplier
+          UNION ALL SELECT 'products', count(*) FROM part
+          UNION ALL SELECT 'category_translation', count(DISTINCT p_type) FROM part)""",
+    "state_centroids_sketch": f"""
+        SELECT state, {r('quantile_disc(lat, 0.5)')} AS lat, {r('quantile_disc(lng, 0.5)')} AS lng
+        FROM points GROUP BY state""",
+    "store_round_trip": f"""
+        SELECT stored_table, format, version, rows, {r('total')} AS total
+        FROM (SELECT 'order_items' AS stored_table, 1 AS version, count(*) AS rows, sum(price) AS total
+              FROM items WHERE product_group = 'home'
+              UNION ALL SELECT 'order_items', 2, count(*), sum(price) FROM items
+              UNION ALL SELECT 'weekly_demand', 1, count(*), sum(demand)::DOUBLE FROM demand WHERE demand > 0
+              UNION ALL SELECT 'weekly_demand', 2, count(*), sum(demand)::DOUBLE FROM demand),
+             (SELECT unnest(['parquet', 'csv']) AS format)""",
     "delivered_orders": """
         SELECT o_orderkey AS order_id, o_custkey AS customer_id, date_trunc('week', o_orderdate)::DATE AS week
         FROM orders WHERE o_orderstatus = 'F'

@@ -11,7 +11,7 @@ import argparse
 from hubloom.config import RETAIL_NETWORK, STAR_NETWORK
 from hubloom.plans import stages
 from hubloom.session import build_session
-from hubloom.sources.raw import read_raw_csv, read_raw_parquet
+from hubloom.sources.raw import MALFORMED, read_raw_csv, read_raw_parquet
 from hubloom.sources.star import add_distance_freight, read_star_tables
 
 CHAIN = ["prepare", "forecast", "routing", "optimise", "figures"]
@@ -25,6 +25,8 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--store-format", choices=["parquet", "csv"], default="parquet")
     parser.add_argument("--raw", help="folder of the raw tables (prepare)")
     parser.add_argument("--raw-format", choices=sorted(READERS), default="csv")
+    parser.add_argument("--malformed", choices=MALFORMED, default="error",
+                        help="what becomes of malformed CSV rows; rejected ones are stored as rejected_rows")
     parser.add_argument("--capacity-headroom", type=float, nargs="+", default=[1.5])
     parser.add_argument("--holding-cost", type=float, nargs="+", default=[1.0])
     parser.add_argument("--jdbc-url", help="database of the reporting tables (load)")
@@ -42,8 +44,9 @@ def main(argv: list[str] | None = None) -> None:
         stages.load_reporting(store, args.jdbc_url)
         return
 
+    options = {"malformed": args.malformed} if args.raw_format == "csv" else {}
     run = {
-        "prepare": lambda: stages.prepare(READERS[args.raw_format](spark, args.raw), store, config,
+        "prepare": lambda: stages.prepare(READERS[args.raw_format](spark, args.raw, **options), store, config,
                                           add_distance_freight if star else None),
         "forecast": lambda: stages.fit_forecast(store, config),
         "routing": lambda: stages.fit_flows(store, config),

@@ -27,6 +27,9 @@ class NetworkConfig:
     fallback_group: str = "other"
     delivered_status: str = "delivered"
 
+    # medians of state centroids: exact, or by a sketch that is off by at most n / accuracy ranks
+    centroid_accuracy: int | None = None
+
     holdout_weeks: int = 8
     lags: int = 4
     ridge_alpha: float = 3.0

@@ -9,10 +9,19 @@ from hubloom.functions.geo import haversine_km
 from hubloom.operators.quantiles import exact_quantiles
 from hubloom.sources.small import literal_table
 
-def state_centroids(geolocation: DataFrame) -> DataFrame:
-    """Median latitude and median longitude per state, each on its own."""
+
+def state_centroids(geolocation: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Median latitude and median longitude per state, each on its own.
+
+    With `accuracy` the medians are those of a quantile sketch: one pass over the points, sketches
+    of about `accuracy` values merged before the shuffle. A state of n points gets one of its
+    values whose rank is within n / `accuracy` of n / 2, not the mean of the middle two.
+    """
     points = geolocation.selectExpr("geolocation_state AS state", "geolocation_lat AS lat",
                                     "geolocation_lng AS lng")
+    if accuracy is not None:
+        return points.groupBy("state").agg(*[
+            F.percentile_approx(axis, 0.5, accuracy).alias(axis) for axis in ("lat", "lng")])
     medians = exact_quantiles(points, "state", ["lat", "lng"], [0.5])
     return medians.groupBy("state").agg(
         F.expr("max(if(axis = 'lat', value, NULL))").alias("lat"),

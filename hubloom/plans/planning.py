@@ -52,7 +52,7 @@ class Planning:
     # geography
     @cached_property
     def centroids(self) -> DataFrame:
-        return materialise(geography.state_centroids(self.raw.geolocation))
+        return materialise(geography.state_centroids(self.raw.geolocation, self.config.centroid_accuracy))
 
     @cached_property
     def hub_centroids(self) -> DataFrame:

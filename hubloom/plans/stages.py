@@ -7,16 +7,19 @@ an executor that held an earlier result.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from hubloom.config import NetworkConfig
 from hubloom.operators import costs, demand, forecast, geography, items, placement, reports
 from hubloom.operators import routing, scenarios
-from hubloom.session import materialise
-from hubloom.sources.raw import RawTables
-from hubloom.sources.sinks import load_reporting_table, write_table
+from hubloom.session import materialise, shared_folder
+from hubloom.sources.raw import REJECTED, RawTables
+from hubloom.sources.sinks import load_reporting_table
+from hubloom.sources.snapshots import SnapshotTable
 
 TABLES: dict[str, str] = {
     "order_items": "order_id STRING, order_item_id INT, product_id STRING, seller_id STRING, week DATE, "
@@ -30,38 +33,62 @@ TABLES: dict[str, str] = {
     "routing_probabilities": "customer_state STRING, hub STRING, p DOUBLE",
     "optimal_placement": "customer_state STRING, product_group STRING, hub STRING, units DOUBLE",
     "capacity_sensitivity": "regional_capacity_frac DOUBLE, optimised_cost DOUBLE, saving_pct DOUBLE",
+    "capacity_breakpoints": "from_frac DOUBLE, to_frac DOUBLE, from_cost DOUBLE, to_cost DOUBLE",
     "scenario_results": "scenario BIGINT, policy_cost DOUBLE, optimised_cost DOUBLE, saving_pct DOUBLE, "
                         "policy_capacity_breach BOOLEAN",
+    "rejected_rows": REJECTED,
 }
 
 
 @dataclass(frozen=True)
 class Store:
-    """Stage tables under one folder, as parquet or CSV."""
+    """Stage tables under one folder, as parquet or CSV, each replaced by publishing a new version."""
 
     spark: SparkSession
     folder: str
     fmt: str = "parquet"
 
-    def path(self, table: str) -> str:
-        return f"{self.folder.rstrip('/')}/{table}"
+    def table(self, table: str) -> SnapshotTable:
+        return SnapshotTable(self.spark, f"{self.folder.rstrip('/')}/{table}", self.fmt)
 
     def write(self, table: str, df: DataFrame) -> None:
         if table in TABLES:
             df = df.select(T.StructType.fromDDL(TABLES[table]).fieldNames())
-        write_table(df, self.path(table), self.fmt)
-
-    def read(self, table: str) -> DataFrame:
-        reader = self.spark.read.format(self.fmt)
-        if self.fmt == "csv":
-            reader = reader.option("header", True).option("enforceSchema", False).schema(
-                T.StructType.fromDDL(TABLES[table]))
-        return reader.load(self.path(table))
+        self.table(table).publish(df)
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        """The current version as it stands now; later versions don't change what is read."""
+        return self.table(table).read(TABLES[table] if self.fmt == "csv" else None, version)
+
+
+def store_round_trip(order_items: DataFrame, weekly_demand: DataFrame) -> DataFrame:
+    """Rows and sum of two versions of two stored tables in both formats, read after the second one.
+
+    The first version holds a part, the second all. A reader opened between the two has to see
+    the first one still; it is counted as version 1.
+    """
+    spark = order_items.sparkSession
+    tables = {"order_items": (order_items, "product_group = 'home'", "price"), "weekly_demand": (weekly_demand, "demand > 0", "demand")}
+    results = []
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    for name, (table, part, measure) in tables.items():
+        written = materialise(table)
+        for fmt in ("parquet", "csv"):
+            kept = Store(spark, f"{folder}/{fmt}", fmt)
+            kept.write(name, written.where(part))
+            opened = kept.read(name)
+            kept.write(name, written)
+            for number, seen in ((1, opened), (2, kept.read(name))):
+                results.append(seen.agg(
+                    F.lit(name).alias("stored_table"), F.lit(fmt).alias("format"), F.lit(number).alias("version"),
+                    F.count("*").alias("rows"), F.sum(F.col(measure).cast("double")).alias("total")))
+    return reduce(DataFrame.unionByName, results)
 
 
 def prepare(raw: RawTables, store: Store, config: NetworkConfig, freight_rule=None) -> DataFrame:
-    """Distances, order items, their lane summary and the weekly demand."""
-    centroids = materialise(geography.state_centroids(raw.geolocation))
+    """Distances, order items, their lane summary, the weekly demand, and what the reader has rejected."""
+    store.write("rejected_rows", raw.rejected if raw.rejected is not None else store.spark.createDataFrame([], REJECTED))
+    centroids = materialise(geography.state_centroids(raw.geolocation, config.centroid_accuracy))
     store.write("state_hub_distance", geography.state_hub_distances(centroids, config))
     built = items.build_order_items(raw, config)
     if freight_rule is not None:

@@ -41,12 +41,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(configured or beside)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder for written tables, which driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet beside the checkpoints and read it back: for large tables, of
     which later stages read some columns each."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return spark.read.parquet(path)
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 @dataclass(frozen=True)
@@ -18,6 +20,9 @@ class RawTables:
     sellers: seller_id, seller_state
     products: product_id, product_category_name
     category_translation: product_category_name, product_category_name_english
+
+    rejected: rows that the reader has set aside (raw_table, file, problem, row); none where
+    the source can have no malformed rows or they are treated otherwise
     """
 
     geolocation: DataFrame
@@ -27,6 +32,7 @@ class RawTables:
     sellers: DataFrame
     products: DataFrame
     category_translation: DataFrame
+    rejected: DataFrame | None = None
 
 
 # File names and columns of the public data, as they are spelled there.
@@ -68,23 +74,84 @@ CSV_LAYOUT: dict[str, tuple[str, list[tuple[str, T.DataType]]]] = {
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
-def csv_schema(table: str) -> T.StructType:
-    return T.StructType([T.StructField(n, t) for n, t in CSV_LAYOUT[table][1]])
+# What becomes of rows that don't fit the layout.
+MALFORMED = ("error", "reject", "null")
+REJECTED = "raw_table STRING, file STRING, problem STRING, row STRING"
+
+
+def _parsed(name: str, kind: T.DataType) -> Column:
+    """A field's value in its type; null where it can't be read."""
+    if kind == _STRING:
+        return F.col(name)
+    if kind == _TS:
+        return F.try_to_timestamp(name, F.lit(TIMESTAMP_FORMAT))
+    return F.col(name).try_cast(kind)
 
 
-def read_raw_csv(spark: SparkSession, folder: str) -> RawTables:
-    """Read the raw CSV files of `folder` with typed schemas.
+def read_checked(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A raw CSV table with typed columns, and for each row: problem (null if none), file, row.
 
-    A header that does not match the expected layout is an error.
+    A row is malformed if it has another number of fields than the layout or a typed field
+    that isn't empty and can't be read. Fields are read as text and parsed by expressions, so
+    the answer doesn't depend on which columns a query goes on to use. A header that does not
+    match the expected layout is an error.
     """
-    def read(table: str) -> DataFrame:
-        return (spark.read.schema(csv_schema(table))
-                .option("header", True).option("enforceSchema", False)
-                .option("timestampFormat", TIMESTAMP_FORMAT)
-                .option("quote", '"').option("escape", '"')
-                .csv(f"{folder.rstrip('/')}/{CSV_LAYOUT[table][0]}"))
+    files, fields = CSV_LAYOUT[table]
+    names = [name for name, _ in fields]
+    schema = T.StructType([T.StructField(name, _STRING) for name in [*names, "_row"]])
+    rows = (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+            .option("quote", '"').option("escape", '"').option("columnPruning", False)
+            .option("columnNameOfCorruptRecord", "_row").csv(f"{folder.rstrip('/')}/{files}"))
+    unread = [F.when(F.col(n).isNotNull() & _parsed(n, t).isNull(), F.concat(F.lit(f"{n}: "), F.col(n)))
+              for n, t in fields if t != _STRING]
+    # The length keeps a field in the scan: Spark reads no row text on its own.
+    fields_differ = F.col("_row").isNotNull() | (F.coalesce(F.length(names[0]), F.lit(0)) < 0)
+    problem = F.concat_ws("; ", F.when(fields_differ, F.lit("number of fields")), *unread)
+    return rows.select(
+        *[_parsed(n, t).alias(n) for n, t in fields], F.nullif(problem, F.lit("")).alias("problem"),
+        F.col("_metadata.file_path").alias("file"),
+        F.coalesce("_row", F.concat_ws(",", *[F.coalesce(n, F.lit("")) for n in names])).alias("row"))
+
+
+def read_raw_csv(spark: SparkSession, folder: str, malformed: str = "error") -> RawTables:
+    """Read the raw CSV files of `folder` with typed columns.
+
+    Malformed rows (see `read_checked`) are an error that names the file and the field; with
+    "reject" they are left out of the tables and listed in `rejected`; with "null" they stay,
+    and fields that can't be read are null.
+    """
+    if malformed not in MALFORMED:
+        raise ValueError(f"malformed must be one of {MALFORMED}")
 
-    return RawTables(**{table: read(table) for table in CSV_LAYOUT})
+    def read(table: str) -> DataFrame:
+        rows = read_checked(spark, folder, table)
+        if malformed == "reject":
+            rows = rows.where("problem IS NULL")
+        if malformed == "error":
+            message = F.concat(F.lit("malformed row in "), "file", F.lit(" ("), "problem", F.lit("): "), "row")
+            rows = rows.where(F.when(F.col("problem").isNull(), True).otherwise(F.raise_error(message).cast("boolean")))
+        return rows.drop("problem", "file", "row")
+
+    rejected = reduce(DataFrame.unionByName, [
+        read_checked(spark, folder, table).where("problem IS NOT NULL").select(
+            F.lit(table).alias("raw_table"), "file", "problem", "row") for table in CSV_LAYOUT])
+    return RawTables(**{table: read(table) for table in CSV_LAYOUT}, rejected=rejected if malformed == "reject" else None)
+
+
+def table_counts(raw: RawTables) -> DataFrame:
+    """Rows of each raw table, and how many more have been rejected."""
+    counts = reduce(DataFrame.unionByName, [
+        getattr(raw, table).agg(F.lit(table).alias("raw_table"), F.count("*").alias("rows"), F.lit(0).cast("long").alias("rejected"))
+        for table in CSV_LAYOUT])
+    if raw.rejected is None:
+        return counts
+    bad = raw.rejected.groupBy("raw_table").agg(F.lit(0).cast("long").alias("rows"), F.count("*").alias("rejected"))
+    return counts.unionByName(bad).groupBy("raw_table").agg(F.sum("rows").alias("rows"), F.sum("rejected").alias("rejected"))
+
+
+def rejected_by_file(raw: RawTables) -> DataFrame:
+    """Rejected rows of each file, by table."""
+    return raw.rejected.groupBy("raw_table", "file").agg(F.count("*").alias("rejected"))
 
 
 def read_raw_parquet(spark: SparkSession, folder: str) -> RawTables:

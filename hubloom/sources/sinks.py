@@ -1,4 +1,4 @@
-"""Sinks for stage tables and the reporting database."""
+"""Sinks for the reporting database."""
 
 from __future__ import annotations
 
@@ -17,14 +17,6 @@ REPORTING_TYPES: dict[str, dict[str, str]] = {
 _CASTS = {"DATE": T.DateType(), "INTEGER": T.IntegerType(), "NUMERIC": T.DecimalType(38, 18)}
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Replace the table at `path`; CSV is written with a header."""
-    writer = df.write.mode("overwrite")
-    if fmt == "csv":
-        writer = writer.option("header", True)
-    writer.format(fmt).save(path)
-
-
 def reporting_columns(df: DataFrame, table: str) -> DataFrame:
     """The columns of a reporting table, in order and in its types."""
     return df.select(*[
