@@ -141,11 +141,27 @@ class Cells:
         """Number of the row's cell, null for others."""
         return F.array_position(F.lit(["|".join(n) for n in self.names]), F.concat_ws("|", "customer_state", "product_group")) - 1
 
-    def scores(self, weights: np.ndarray) -> list[Column]:
-        """Log of P(hub) of a row, up to a constant, from hub x feature weights."""
+    def scores(self, weights: np.ndarray) -> list[str]:
+        """Log of P(hub) of a row, up to a constant, from hub x feature weights, as SQL.
+
+        Weights stand in arrays that are looked up by cell, slopes too: so every step of a fit
+        runs the same compiled code.
+        """
+        def of_cell(values: np.ndarray) -> str:
+            return f"get(array({', '.join(f'{float(v)!r}D' for v in values)}), int(cell))"
+
         bases = self.fixed @ weights.T
-        return [F.get(F.lit(bases[:, k].tolist()), F.col("cell").cast("int")) + F.lit(float(weights[k, self.z])) * F.col("z")
-                for k in range(len(weights))]
+        return [f"{of_cell(bases[:, k])} + {of_cell(np.full(len(bases), weights[k, self.z]))} * z" for k in range(len(weights))]
+
+
+def with_shares(rows: DataFrame, scores: list[str]) -> DataFrame:
+    """Add p0, p1, ...: P(hub) of each score, and log_total: the log of the sum of their exponentials."""
+    hubs = range(len(scores))
+    scored = rows.selectExpr("*", *[f"{score} AS s{k}" for k, score in enumerate(scores)])
+    scored = scored.selectExpr("*", f"array_max(array({', '.join(f's{k}' for k in hubs)})) AS top")
+    scored = scored.selectExpr("*", *[f"exp(s{k} - top) AS e{k}" for k in hubs])
+    scored = scored.selectExpr("*", f"{' + '.join(f'e{k}' for k in hubs)} AS total")
+    return scored.selectExpr("*", *[f"e{k} / total AS p{k}" for k in hubs], "ln(total) + top AS log_total")
 
 
 def newton_sums(train: DataFrame, cells: Cells, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -156,20 +172,16 @@ def newton_sums(train: DataFrame, cells: Cells, weights: np.ndarray) -> tuple[fl
     """
     hubs, size = weights.shape
     pairs = [(a, b) for a in range(hubs) for b in range(a, hubs)]
-    scored = train.withColumn("s", F.array(*cells.scores(weights))).withColumn("top", F.array_max("s"))
-    scored = scored.withColumn("e", F.transform("s", lambda s: F.exp(s - F.col("top"))))
-    scored = scored.withColumn("total", F.aggregate("e", F.lit(0.0), lambda t, e: t + e))
-    n, z = F.col("n").cast("double"), F.col("z")
-    p = [F.get("e", F.lit(k)) / F.col("total") for k in range(hubs)]
-    own = F.get("s", F.col("label").cast("int"))
-    sums = [F.sum(n * (F.log("total") + F.col("top") - own)).alias("loss")]
+    own = f"get(array({', '.join(f's{k}' for k in range(hubs))}), int(label))"
+    sums = [f"sum(n * (log_total - {own})) AS loss"]
     for k in range(hubs):
-        excess = n * (p[k] - (F.col("label") == k).cast("double"))
-        sums += [F.sum(excess).alias(f"g{k}"), F.sum(excess * z).alias(f"gz{k}")]
+        excess = f"n * (p{k} - double(label = {k}))"
+        sums += [f"sum({excess}) AS g{k}", f"sum({excess} * z) AS gz{k}"]
     for a, b in pairs:
-        curve = n * p[a] * ((1.0 if a == b else 0.0) - p[b])
-        sums += [F.sum(curve).alias(f"h{a}_{b}"), F.sum(curve * z).alias(f"hz{a}_{b}"), F.sum(curve * z * z).alias(f"hzz{a}_{b}")]
-    rows = scored.groupBy("cell").agg(*sums).collect()  # a row for each configured state and group
+        curve = f"n * p{a} * ({int(a == b)} - p{b})"
+        sums += [f"sum({curve}) AS h{a}_{b}", f"sum({curve} * z) AS hz{a}_{b}", f"sum({curve} * z * z) AS hzz{a}_{b}"]
+    by_cell = with_shares(train, cells.scores(weights)).groupBy("cell").agg(*map(F.expr, sums))
+    rows = by_cell.collect()  # a row for each configured state and group
     loss = sum(r["loss"] for r in rows)
     gradient, hessian = np.zeros((hubs, size)), np.zeros((hubs, size, hubs, size))
     along = np.zeros(size)
@@ -233,13 +245,9 @@ def fit_routing(profile: DataFrame, distances: DataFrame, config: NetworkConfig)
     fitted = np.zeros((len(config.hubs), size))
     fitted[:, -1] = -np.inf
     fitted[classes] = weights
-    scores = cells.scores(weights)
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    odds = [F.exp(scores[classes.index(k)] - top) if k in classes else F.lit(0.0) for k in range(len(config.hubs))]
-    scored = (rows.withColumn("odds", F.array(*odds))
-              .withColumn("total", F.aggregate("odds", F.lit(0.0), lambda t, e: t + e))
-              .select("is_test", "customer_state", "product_group", "hub", "n", F.col("label").cast("int").alias("label"),
-                      F.transform("odds", lambda e: e / F.col("total")).alias("proba")))
+    proba = F.array(*[F.col(f"p{classes.index(k)}") if k in classes else F.lit(0.0) for k in range(len(config.hubs))])
+    scored = with_shares(rows, cells.scores(weights)).select(
+        "is_test", "customer_state", "product_group", "hub", "n", F.col("label").cast("int").alias("label"), proba.alias("proba"))
     return RoutingModel(fitted[:, -1], fitted[:, :-1], steps, scored)
 
 

@@ -29,16 +29,20 @@ def build_session(app_name: str = "hubloom", **overrides: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; where none is set, one beside the warehouse.
+    """Use the shared folder the cluster names in spark.checkpoint.dir.
 
-    The warehouse is a folder that driver and executors share, on any master.
+    A local master, whose tasks share the driver's file system, falls back to a folder beside
+    the warehouse; elsewhere a missing setting is an error, as executors may not see that.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    beside = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    context.setCheckpointDir(configured or beside)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    context.setCheckpointDir(folder)
 
 
 def shared_folder(spark: SparkSession) -> str:
