@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hubloom.llm import text as words
 from hubloom.llm.components import components
-from hubloom.llm.tables import read_table, written
+from hubloom.llm.tables import read_table, stored, unused, written
 
 SHINGLE = 5
 BANDS, ROWS = 28, 4  # a pair at similarity 0.75 is missed with 2e-5
@@ -84,6 +84,16 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield first, last, runs[new], counted[before]
 
 
+def set_sums(sets: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Two sums over each set that, with its size, tell sets apart."""
+    sums = np.zeros((2, len(before) - 1), np.uint64)
+    some = np.flatnonzero(np.diff(before))
+    if len(some):
+        for k in range(2):
+            sums[k, some] = np.add.reduceat(words.mix64(sets + np.uint64(k * 0x5851F42D4C957F2D)), before[:-1][some])
+    return sums
+
+
 def features(docs: DataFrame, key: str, text: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Columns doc_id, n_shingles, two sums that tell sets apart, and the band keys."""
 
@@ -91,12 +101,10 @@ def features(docs: DataFrame, key: str, text: str, bands: int = BANDS, rows: int
         for first, last, sets, before in shingle_sets(texts):
             counts = np.diff(before)
             some = np.flatnonzero(counts)
-            sums = np.zeros((2, last - first), np.uint64)
+            sums = set_sums(sets, before)
             keys = np.zeros((0, bands), np.uint64)
             if len(some):
                 starts = before[:-1][some]
-                for k in range(2):
-                    sums[k, some] = np.add.reduceat(words.mix64(sets + np.uint64(k * 0x5851F42D4C957F2D)), starts)
                 keys = band_keys(signatures(sets, np.append(starts, len(sets)), bands * rows), bands, rows)
             at = np.concatenate([[0], np.cumsum(counts > 0) * bands]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
@@ -108,19 +116,29 @@ def features(docs: DataFrame, key: str, text: str, bands: int = BANDS, rows: int
     return words.map_texts(docs, key, text, "doc_id long, n_shingles long, sum_a long, sum_b long, bands array<long>", work)
 
 
+SAME = ["sum_a", "sum_b", "n_shingles"]  # what equal sets have in common
+
+
 def sets_of(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """Whole shingle sets (doc_id, shingles) of the wanted ids; `docs` has one row for each."""
+    """Whole shingle sets (doc_id, shingles) of the wanted classes, under their `node` as doc_id.
 
+    `wanted` has node, first_id and the sums of each class; texts are read of its first id only,
+    and of an id with several texts the one that is the class's own counts.
+    """
     def work(ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
         for first, last, sets, before in shingle_sets(texts):
+            sums = set_sums(sets, before)
             yield pa.RecordBatch.from_arrays([
-                ids.slice(first, last - first),
+                ids.slice(first, last - first), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
+                pa.array(np.diff(before), pa.int64()),
                 pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(sets.view(np.int64)))],
-                names=["doc_id", "shingles"])
+                names=["first_id", *SAME, "shingles"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return words.map_texts(rows, "doc_id", "text", "doc_id long, shingles array<long>", work)
+    rows = rows.join(wanted.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi")
+    found = words.map_texts(rows, "doc_id", "text", "first_id long, sum_a long, sum_b long, n_shingles long, shingles array<long>", work)
+    one = found.groupBy("first_id", *SAME).agg(F.first("shingles").alias("shingles"))  # repeated rows
+    return one.join(wanted, ["first_id", *SAME]).select(F.col("node").alias("doc_id"), "shingles")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -205,14 +223,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     Null text, empty text and white space: an empty set, linked with nothing. Fewer than five
     words: the whole sequence is one shingle. Rows without an id are linked with nothing, their
     component is null and they are kept. Repeated rows with an id share its component and are
-    all kept or not; an id with several texts links them. Ids are integers. An empty table
-    gives an empty result. Other columns are not looked at.
+    all kept or not; of an id with several texts each is compared on its own, and may be in a
+    component of its own. Ids are integers. An empty table gives an empty result. Other columns
+    are not looked at.
     """
     whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = written(features(whole, "doc_id", "text", bands, rows))
-    same = ["sum_a", "sum_b", "n_shingles"]
-    classes = written(found.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(
-        F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
+    # Written before it is used, so a class keeps its number.
+    classes = written(found.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*SAME).agg(
+        F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id()))
     keyed = classes.select("node", F.explode("bands").alias("band"))
     # The smallest id after a flip by the band's key: another centre in every bucket.
     buckets = (keyed.groupBy("band").agg(F.min(F.col("node").bitwiseXOR(F.col("band"))).alias("flipped"),
@@ -227,27 +247,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
              .filter((F.col("rank") <= FIRST_TRIES) | (F.col("held") == 2))
              .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
     # One row of text for each class that shares a bucket.
-    sets = written(one_set(sets_of(whole, "doc_id", "text", members.select("node").distinct())))
+    wanted = classes.drop("bands").join(members.select("node").distinct(), "node", "left_semi")
+    sets = written(sets_of(whole, "doc_id", "text", wanted))
     links = written(confirmed(first, sets, percent))
     parts = written(components(links))
     still = open_members(members, parts).select("node", "component").distinct()
     more = confirmed(rare_prefix_pairs(written(still), sets, percent), sets, percent)
     more = written(more.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    final = components(more)
-    named = (classes.join(final, "node", "left")
-             .select(*[F.col(c).alias(f"{c}_of") for c in same],
-                     F.coalesce("component", "node").alias("component")))
-    same_set = [F.col(c) == F.col(f"{c}_of") for c in same]
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    grouped = (classes.drop("bands").join(components(more), "node", "left")
+               .withColumn("component", F.coalesce("component", "node")))
+    names = grouped.groupBy(F.col("component").alias("group")).agg(F.min("first_id").alias("name"))
+    named = (grouped.join(names, F.col("component") == F.col("group"))
+             .select(*[F.col(c).alias(f"{c}_of") for c in SAME], "name"))
+    same_set = [F.col(c) == F.col(f"{c}_of") for c in SAME]
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("name", "doc_id"))
     return (found.drop("bands").join(named, same_set, "left")
             .select("doc_id", "n_shingles", component.alias("component_id"),
                     F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
 
 
-def one_set(sets: DataFrame) -> DataFrame:
-    """Drop empty sets and repeats of a row; an id with several texts keeps the largest set."""
-    return sets.filter(F.size("shingles") > 0).groupBy("doc_id").agg(
-        F.max_by("shingles", F.size("shingles")).alias("shingles"))
+def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of `docs` without near copies: of each group of near-duplicates the first row.
+
+    Rows are numbered and compared as documents of their own, so ids may be missing or repeated:
+    of equal rows one stays, and a row whose text resembles no other stays whatever its id. Null,
+    empty and white texts resemble nothing and all stay. An empty table gives an empty result;
+    any columns may be there.
+    """
+    row = unused(docs, "row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    kept = near_duplicates(numbered, row, text, **options).filter("kept").select(F.col("doc_id").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op3_minhash(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hubloom.llm.tables import read_table, word_count, written
+from hubloom.llm.tables import read_table, stored, unused, word_count, written
 
 # Strips of the draw range that are added up before single documents are looked at.
 STRIP_BITS = 10
@@ -108,30 +108,49 @@ def mixing_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     without an id are drawn by their text. Repeated rows share a draw, so all or none of them
     come once more. An empty table gives an empty result. Other columns are not looked at.
     """
+    rows, plan = source_plan(docs, key, text, source, weights, share, max_epochs, seed)
+    return (rows.join(plan, F.col("source").eqNullSafe(F.col("of")))
+            .select("doc_id", "source", "size", "draw", "source_size", "target", repeats("draw", max_epochs).alias("repeats")))
+
+
+def row_draw(key: str, text: str, seed: int) -> Column:
+    """The draw of a row, by its id, or by its text where it has none."""
+    return draw(F.coalesce(F.col(key).cast("string"), F.col(text), F.lit("")), seed)
+
+
+def repeats(drawn: str, max_epochs: int) -> Column:
+    """How often a row of that draw is taken, next to its source's `whole` and `cut`."""
+    once_more = F.when(F.col(drawn) <= F.col("cut"), 1).otherwise(0)
+    return F.least(F.col("whole") + once_more, F.lit(max_epochs)).cast("int")
+
+
+def source_plan(docs: DataFrame, key: str, text: str, source: str, weights: tuple[int, ...], share: float,
+                max_epochs: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, draw) of each row, and (of, source_size, target, whole, cut) of each source."""
     rows = written(docs.select(
         F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"),
-        draw(F.coalesce(F.col(key).cast("string"), F.col(text), F.lit("")), seed).alias("draw")))
+        row_draw(key, text, seed).alias("draw")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = fill_targets(weights_by_order(sizes, weights), share, max_epochs)
-    plan = written(fractional_cuts(rows, targets))
-    plan = plan.withColumnRenamed("source", "of")
-    repeats = F.col("whole") + F.when(F.col("draw") <= F.col("cut"), 1).otherwise(0)
-    return (rows.join(plan, F.col("source").eqNullSafe(F.col("of")))
-            .select("doc_id", "source", "size", "draw", "source_size", "target",
-                    F.least(repeats, F.lit(max_epochs)).cast("int").alias("repeats")))
-
-
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mixed documents themselves: rows of `docs`, each as often as the plan takes it."""
-    rows = docs.withColumn("_mix_draw", draw(F.coalesce(
-        F.col(key).cast("string"), F.col(text), F.lit("")), options.get("seed", SEED)))
-    plan = (mixing_plan(docs, key, text, source, **options)
-            .groupBy(F.col("draw").alias("_mix_key"), F.col("source").alias("_mix_source"))
-            .agg(F.max("repeats").alias("_mix_repeats")))
-    joined = rows.join(plan, (F.col("_mix_draw") == F.col("_mix_key"))
-                       & F.col(source).eqNullSafe(F.col("_mix_source")))
-    return (joined.filter(F.col("_mix_repeats") > 0)
-            .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_repeats"))))
+    return rows, stored(fractional_cuts(rows, targets)).withColumnRenamed("source", "of")
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+        weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The mixed documents themselves: rows of `docs`, each as often as the plan takes it.
+
+    A row's copies stand one after the other. How often it comes follows from its draw and two
+    numbers of its source, so only a row for each source meets the documents, which are not
+    shuffled. Nulls, repeated rows and empty tables as in `mixing_plan`; any columns may be there.
+    """
+    _, plan = source_plan(docs, key, text, source, weights, share, max_epochs, seed)
+    drawn, of, copy = (unused(docs, name) for name in ("draw", "of", "copy"))
+    plan = plan.select(F.struct("whole", "cut").alias("plan"), F.col("of").alias("planned"))
+    plan = plan.select(F.col("planned").alias(of), F.col("plan").alias(copy))
+    times = F.least(F.col(f"{copy}.whole") + F.when(F.col(drawn) <= F.col(f"{copy}.cut"), 1).otherwise(0), F.lit(max_epochs))
+    return (docs.withColumn(drawn, row_draw(key, text, seed))
+            .join(plan, F.col(source).eqNullSafe(F.col(of)))
+            .withColumn(copy, F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
             .select(*docs.columns))
 
 

@@ -461,10 +461,21 @@ def decode_bytes(ids: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, n
     return vocabulary.data[place], before
 
 
-def sampled_batches(ids: pa.Array, texts: pa.Array, vocabulary: Vocabulary, samples: int, seed: int) -> Iterator[pa.RecordBatch]:
+def copy_numbers(ids: np.ndarray, before: tuple[int, int] | None) -> np.ndarray:
+    """How many rows with the same id stand directly before each row; `before` is the last id and its number."""
+    place = np.arange(len(ids))
+    new = np.append(before is None or ids[0] != before[0], ids[1:] != ids[:-1])
+    start = np.maximum.accumulate(np.where(new, place, -1))
+    return np.where(start >= 0, place - start, place + (before[1] + 1 if before else 0))
+
+
+def sampled_batches(ids: pa.Array, texts: pa.Array, vocabulary: Vocabulary, samples: int, seed: int,
+                    copies: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     data, offsets = words.buffers(texts)
     keys = ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     seeds = words.mix64(words.mix64(keys) + np.uint64(seed))
+    if copies is not None:
+        seeds = np.where(copies == 0, seeds, words.mix64(seeds ^ words.mix64(copies.astype(np.uint64))))
     for first, last in words.steps(offsets, STEP_BYTES):
         chars, bounds = characters(data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first])
         values, starts, length = units_of(chars, bounds, vocabulary)
@@ -530,7 +541,7 @@ SCHEMA = "doc_id long, sample int, n_pieces int, pieces array<int>, log_chance d
 
 
 def sample_segmentations(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text",
-                         samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
+                         samples: int = SAMPLES, seed: int = SEED, copies_apart: bool = False) -> DataFrame:
     """A row for each of up to `samples` distinct segmentations of each text.
 
     Columns: doc_id, sample (from 1, by falling perturbed log-chance), n_pieces, pieces (ids),
@@ -538,10 +549,18 @@ def sample_segmentations(docs: DataFrame, vocabulary: Vocabulary, key: str = "do
     perturbed log-chance that isn't). `decode` gives the text back from any sample. Texts with
     fewer segmentations have all of them. Null and empty texts have the empty one. Whole texts
     are segmented; draws are seeded by the id (null ids alike), so repeated rows give the same.
-    An empty table gives an empty result. Other columns are not looked at.
+    With `copies_apart` rows of one id that follow each other, as the copies of a mix do, are
+    seeded by their number too, and each has draws of its own. An empty table gives an empty result. Other columns are not looked at.
     """
+    last: list[tuple[int, int]] = []  # id and number of the last row of a task's batch before
+
     def work(ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
-        yield from sampled_batches(ids, texts, vocabulary, samples, seed)
+        copies = None
+        if copies_apart:
+            plain = ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            copies = copy_numbers(plain, last[-1] if last else None)
+            last[:] = [(int(plain[-1]), int(copies[-1]))]
+        yield from sampled_batches(ids, texts, vocabulary, samples, seed, copies)
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     return words.map_texts(rows, "key", "text", SCHEMA, work)

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hubloom.session import ensure_checkpoint_dir, materialise
+from hubloom.session import materialise, store
 
 # White space that separates words in the word-counting operators; everything else is a word.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -29,8 +27,12 @@ def word_count(text: str | Column) -> Column:
 
 def stored(df: DataFrame) -> DataFrame:
     """`df` written as Parquet to the shared checkpoint folder and read again."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    return store(df)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that `df` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -85,3 +85,29 @@ def test_signature_estimates_similarity():
 def test_sets_are_the_texts_shingles(text):
     (_, _, hashes, before), = minhash.shingle_sets(pa.array([text]))
     assert before[-1] == len(hashes) == len(shingles(text.lower()))
+
+
+def test_an_id_with_several_texts_loses_no_link(spark):
+    """The smaller text of id 1 is a near copy of id 2, the larger one of id 3."""
+    small, large = [f"s{k}" for k in range(40)], [f"l{k}" for k in range(60)]
+    rows = [(1, " ".join(large)), (1, " ".join(small)), (2, " ".join([*small, "more"])), (3, " ".join([*large, "more"])),
+            (4, "a text of its own with several words"), (4, "another text under the same id as before"), (1, " ".join(small))]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    assert len(found) == 7 and {r["doc_id"] for r in found if not r["kept"]} == {2, 3}
+
+
+def test_keep_one_judges_rows(spark):
+    rng = random.Random(8)
+    base = [f"v{k}" for k in range(80)]
+    texts = [*family(rng, base, 12, 3), "own words of a first text", "own words of a second text here", None, "", " ", " "]
+    rows = [(k % 5 if k % 7 else None, t, "x", k) for k, t in enumerate(texts)] + [(9, texts[12], "x", 99)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, place int")
+    kept = minhash.keep_one(docs)
+    places = [r["place"] for r in kept.collect()]
+    groups, _ = brute_components({k: t or "" for k, t in enumerate(texts[:14])})
+    assert kept.columns == docs.columns and len(set(places)) == len(places)
+    assert sorted(groups[p] for p in places if p < 14) + [p for p in places if p == 99] == sorted(set(groups.values())) or \
+        sorted(groups[12 if p == 99 else p] for p in places if p < 14 or p == 99) == sorted(set(groups.values()))
+    assert {14, 15, 16, 17} <= set(places)
+    assert minhash.keep_one(docs.filter("false")).count() == 0

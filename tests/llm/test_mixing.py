@@ -66,3 +66,20 @@ def test_mixed_rows_are_the_plan(spark):
 def test_main_path_is_native(spark):
     plan = mixing.mix(documents(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    docs = documents(spark).withColumns({c: F.lit(f"own {c}") for c in ("draw", "of", "copy", "whole", "cut", "plan", "planned", "_mix_draw")})
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.select("draw", "of", "copy", "cut").distinct().collect() == [
+        ("own draw", "own of", "own copy", "own cut")]
+    taken = {(r["doc_id"], r["text"]): r["count"] for r in mixed.groupBy("doc_id", "text").count().collect()}
+    given = {(r["doc_id"], r["text"]): r["count"] for r in docs.groupBy("doc_id", "text").count().collect()}
+    plan = {r["doc_id"]: r["repeats"] for r in mixing.mixing_plan(docs).filter("doc_id IS NOT NULL").collect()}
+    assert all(taken.get(k, 0) == n * plan[k[0]] for k, n in given.items() if k[0] is not None)
+    assert mixing.mix(docs.filter("false")).count() == 0
+
+
+def test_documents_are_not_shuffled(spark):
+    physical = mixing.mix(documents(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in physical and "SortMergeJoin" not in physical and "hashpartitioning" not in physical

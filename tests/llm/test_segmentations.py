@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from hubloom.llm import segmentations
 from hubloom.llm import segmentations as sg
 
 VOCABULARY = sg.read_vocabulary()
@@ -138,3 +139,23 @@ def test_decode_operator(spark):
     docs = spark.createDataFrame([(1, "a text\nof é ①"), (2, None), (3, " spaced  out ")], "doc_id long, text string")
     rows = sg.decode(sg.sample_segmentations(docs, VOCABULARY), VOCABULARY).collect()
     assert {(r["doc_id"], r["decoded"]) for r in rows} == {(1, "a text\nof é ①"), (2, ""), (3, " spaced  out ")}
+
+
+def test_copies_have_draws_of_their_own(spark):
+    vocabulary = segmentations.read_vocabulary()
+    text = "several segmentations of a sentence that is long enough to differ"
+    rows = spark.createDataFrame([(5, text)] * 3 + [(6, text)] + [(5, text)] * 2, "doc_id long, text string").coalesce(1)
+    first = lambda apart: [r["pieces"] for r in segmentations.sample_segmentations(
+        rows, vocabulary, copies_apart=apart).filter("sample = 1").collect()]
+    alike, apart = first(False), first(True)
+    assert alike[0] == alike[1] == alike[2] == alike[4] != alike[3]
+    assert apart[0] == alike[0] and len({tuple(p) for p in apart[:3]}) == 3 and apart[3] == alike[3] and apart[4] == apart[0]
+    decoded = segmentations.decode(segmentations.sample_segmentations(rows, vocabulary, copies_apart=True), vocabulary)
+    assert {r["decoded"] for r in decoded.collect()} == {text}
+
+
+def test_copy_numbers_go_on_over_batches():
+    ids = np.array([4, 4, 4, 7, 7, 4])
+    assert segmentations.copy_numbers(ids, None).tolist() == [0, 1, 2, 0, 1, 0]
+    assert segmentations.copy_numbers(ids, (4, 2)).tolist() == [3, 4, 5, 0, 1, 0]
+    assert segmentations.copy_numbers(ids, (3, 2)).tolist() == [0, 1, 2, 0, 1, 0]
