@@ -8,8 +8,10 @@ words, hashed word shapes and levels of the facts learns these chances.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
+from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,8 @@ from hubloom.llm.tables import read_table, written
 
 BAD, GOOD, NONE = 0, 1, 2
 SAMPLE_PER_SIDE = 3000  # documents that the scorer learns from, likely good and likely bad
+SAMPLE_WORDS = 6_000_000  # most words of all these, whole texts: bounds the memory of the task that fits
+ROUNDS = 5000  # most rounds of expectation-maximisation
 WORD_BITS = 13
 EPOCHS = 8
 SEED = 4
@@ -145,12 +149,13 @@ LABELLERS = 10
 POWERS = 3 ** np.arange(LABELLERS)
 
 
-def pattern_chances(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[dict[int, float], np.ndarray]:
+def pattern_chances(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[dict[int, float], np.ndarray]:
     """Chance that each vote pattern's documents are good, and how labellers vote by class.
 
     Expectation-maximisation over patterns weighted by their documents. Labellers are taken to
     be independent within a class, and to say nothing by not voting; pseudo-counts say that they
-    are seldom wrong on good documents.
+    are seldom wrong on good documents. Ends when no chance moves by 1e-6; a warning says if
+    `rounds` weren't enough for that.
     """
     cast = patterns[:, None] // POWERS % 3
     voted = cast != NONE
@@ -173,6 +178,8 @@ def pattern_chances(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200)
         moved, chances = np.abs(new - chances).max(initial=0), new
         if moved < 1e-6:
             break
+    else:
+        warnings.warn(f"expectation-maximisation has not settled in {rounds} rounds", RuntimeWarning)
     return dict(zip(patterns.tolist(), np.round(chances, 9).tolist())), table
 
 
@@ -224,12 +231,24 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], chances: np.ndarr
     return scorer
 
 
-def train(docs: DataFrame, per_side: int = SAMPLE_PER_SIDE) -> tuple[dict[int, float], Scorer]:
+def packed(scorer: Scorer) -> bytes:
+    out = BytesIO()
+    np.savez(out, words=scorer.words, shapes=scorer.shapes, levels=scorer.levels, intercept=scorer.intercept, edges=scorer.edges)
+    return out.getvalue()
+
+
+def unpacked(data: bytes) -> Scorer:
+    found = np.load(BytesIO(data))
+    return Scorer(found["words"], found["shapes"], found["levels"], float(found["intercept"]), found["edges"])
+
+
+def train(docs: DataFrame, per_side: int = SAMPLE_PER_SIDE, most_words: int = SAMPLE_WORDS) -> tuple[dict[int, float], Scorer]:
     """Vote patterns of all documents, their chances, and a scorer fitted to a bounded sample.
 
     The patterns number at most 3 to the power of the labellers, whatever the input. The sample
     are `per_side` documents each of likely good and likely bad ones, drawn by a hash of the id
-    (rows without an id take part in the counts only).
+    (rows without an id take part in the counts only); texts are used whole, in the order of the
+    draw until `most_words` are reached. One task fits on it, the driver sees the scorer only.
     """
     def vote_work(ids, texts):
         for first, last, batch in batches(texts):
@@ -258,14 +277,26 @@ def train(docs: DataFrame, per_side: int = SAMPLE_PER_SIDE) -> tuple[dict[int, f
                 pa.array(list(batch.facts), pa.list_(pa.float64()))],
                 names=["doc_id", "pattern", "buckets", "shapes", "facts"])
 
+    def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, used = [], 0
+        for batch in batches:
+            lists = [batch.column(c) for c in ("buckets", "shapes", "facts")]
+            for k, (doc_id, pattern) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("pattern").to_pylist())):
+                buckets, shapes, facts = (np.array(x[k].values) for x in lists)
+                if used + len(buckets) <= most_words:
+                    used += len(buckets)
+                    held.append((doc_id, pattern, buckets, shapes, facts.astype(float)))
+        held.sort(key=lambda r: r[:2])
+        scorer = fit([r[2:] for r in held], np.array([chances[r[1]] for r in held]))
+        yield pa.RecordBatch.from_arrays([pa.array([packed(scorer)], pa.binary())], names=["scorer"])
+
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of"))
     sample = words.map_texts(
         rows, "doc_id", "text",
-        "doc_id long, pattern int, buckets array<int>, shapes array<int>, facts array<double>", sample_work).toArrow()
-    sample = sample.sort_by([("doc_id", "ascending"), ("pattern", "ascending")])
-    found = [(np.asarray(b.values, np.int64), np.asarray(s.values, np.int64), np.asarray(f.values, float))
-             for b, s, f in zip(sample["buckets"], sample["shapes"], sample["facts"])]
-    return chances, fit(found, np.array([chances[p] for p in sample["pattern"].to_pylist()]))
+        "doc_id long, pattern int, buckets array<int>, shapes array<int>, facts array<double>", sample_work)
+    found = (sample.repartition(1).sortWithinPartitions(order, "doc_id", "pattern")
+             .mapInArrow(fit_all, "scorer binary").collect())
+    return chances, unpacked(bytes(found[0]["scorer"])) if found else fit([], np.zeros(0))
 
 
 def score_documents(docs: DataFrame, chances: dict[int, float], scorer: Scorer) -> DataFrame:
