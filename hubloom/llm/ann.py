@@ -1,15 +1,15 @@
 """Nearest neighbours by multi-index hashing over learned binary codes (operator 5).
 
 Rotations learned on a bounded sample (iterative quantisation) turn a vector into signs. Codes
-are cut into substrings, each with an index of its own. Within a block of the rows, codes that
-differ from a query's in at most r bits agree with it in some substring but for r divided by
-the number of substrings (pigeonhole), so probing the substrings' indexes brings all of them.
-The radius follows from the cosine of the candidates found so far; floats rank what it brings.
+are cut into substrings, each with an index of its own: the values that occur, and their rows.
+Codes that differ from a query's in at most r bits agree with it in some substring but for r
+divided by the number of substrings (pigeonhole), so the rows of the values that near in one of
+the indexes are all that lie within r. The radius grows until the k-th cosine found says that
+nothing nearer lies beyond it; floats rank what it brings.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -29,12 +29,10 @@ QUERY_STEP = 50
 # Rows of a block of the index, and of a block of the queries.
 BLOCK_ROWS, QUERY_ROWS = 65_536, 65_536
 LEAST_BLOCKS, LEAST_BLOCK_ROWS = 24, 1024
-# Candidates by code that give the first estimate of the cosine to be reached.
-FIRST = 16
+# Bits of the first radius, and by how much it grows while fewer than k rows lie within.
+FIRST_RADIUS, GROWTH = 2 * SUBSTRINGS - 1, 2 * SUBSTRINGS
 # Standard deviations that the radius adds to the bits by which such a cosine differs.
 SAFETY = 2.5
-# (query, row) pairs that are held in memory at once.
-PAIRS = 1 << 21
 
 
 def learn_codes(sample: np.ndarray, bits: int = BITS, seed: int = SEED) -> np.ndarray:
@@ -68,25 +66,31 @@ class SubstringIndex:
         self.codes = codes
         parts = codes.view(np.uint16)
         self.order = np.argsort(parts, axis=0, kind="stable").T
-        self.first = np.zeros((SUBSTRINGS, (1 << SUBSTRING) + 1), np.int64)
+        self.values, self.first = [], []
         for k in range(SUBSTRINGS):
-            self.first[k, 1:] = np.cumsum(np.bincount(parts[:, k], minlength=1 << SUBSTRING))
-
-    def probe(self, query: np.ndarray, flips: np.ndarray) -> np.ndarray:
-        """Rows that agree with a query's code in some substring but for one of `flips`."""
-        values = query.view(np.uint16)[:, None] ^ flips[None, :]
-        table = np.arange(SUBSTRINGS)[:, None]
-        starts, ends = self.first[table, values], self.first[table, values.astype(np.int64) + 1]
-        k, j = np.nonzero(ends > starts)
-        if not len(k):
-            return np.zeros(0, np.int64)
-        return np.unique(np.concatenate([self.order[a, b:c] for a, b, c in zip(k, starts[k, j], ends[k, j])]))
-
-
-def flips_within(bits: int) -> np.ndarray:
-    """All changes of at most `bits` bits of a substring."""
-    return np.array([sum(1 << b for b in chosen) for size in range(bits + 1)
-                     for chosen in itertools.combinations(range(SUBSTRING), size)], np.uint16)
+            values, first = np.unique(parts[self.order[k], k], return_index=True)
+            self.values.append(values)
+            self.first.append(np.append(first, len(codes)))
+
+    def probe(self, query: np.ndarray, radius: int) -> np.ndarray:
+        """Rows among which are all whose code differs from the query's in at most `radius` bits.
+
+        With radius t * SUBSTRINGS + a, such a code differs by at most t bits in one of the
+        first a + 1 substrings, or by less than t in one of the others: otherwise the bits
+        would add up to more. Only values that occur are looked at.
+        """
+        most, extra = divmod(radius, SUBSTRINGS)
+        found = np.zeros(len(self.codes), bool)
+        for k, part in enumerate(query.view(np.uint16)):
+            within = most if k <= extra else most - 1
+            if within < 0:
+                continue
+            near = np.flatnonzero(np.bitwise_count(self.values[k] ^ part) <= within)
+            starts = self.first[k][near]
+            counts = self.first[k][near + 1] - starts
+            at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            found[self.order[k][at]] = True
+        return np.flatnonzero(found)
 
 
 def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -99,55 +103,43 @@ def radius_for(cosine: np.ndarray) -> np.ndarray:
     return np.ceil(BITS * share + SAFETY * np.sqrt(BITS * share * (1 - share))).astype(np.int64)
 
 
-def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray,
-           projection: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest of one block for each query: query and row numbers, cosines.
+def within_radius(index: SubstringIndex, rows: np.ndarray, allowed: np.ndarray, code: np.ndarray, query: np.ndarray,
+                  k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rows near a query, their cosines, and the radius that was needed.
 
-    First the rows within the radius that one changed bit a substring covers are probed. A query
-    whose k-th cosine among them lies within that radius is done. For the others the radius is
-    that of the k-th cosine among the nearest codes; where probing would visit more buckets than
-    the block has rows, the block's codes are compared one by one, which finds the same rows.
+    The first radius that holds k rows gives a k-th cosine; the radius at which a row of that
+    cosine lies is the last one, as what it adds can only be nearer. It may reach all bits.
     """
-    codes, query_codes = encode(rows, projection), encode(queries, projection)
-    index = SubstringIndex(codes)
+    radius = FIRST_RADIUS
+    while True:
+        hits = index.probe(code, radius)
+        hits = hits[(bits_apart(index.codes[hits], code) <= radius) & allowed[hits]]
+        scores = np.einsum("ij,j->i", rows[hits], query)
+        if radius >= BITS:
+            return hits, scores, radius
+        if len(hits) >= k:
+            needed = int(radius_for(np.partition(scores, -k)[-k]))
+            if needed <= radius:
+                return hits, scores, radius
+            radius = min(needed, BITS)
+        else:
+            radius = min(radius + GROWTH, BITS)
+
+
+def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray,
+           projection: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of one block for each query: query and row numbers, cosines; equal cosines by id."""
+    query_codes = encode(queries, projection)
+    index = SubstringIndex(encode(rows, projection))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    near, covered = flips_within(1), 2 * SUBSTRINGS - 1
-    left = []
     for q in range(len(queries)):
-        hits = index.probe(query_codes[q], near)
-        hits = hits[(bits_apart(codes[hits], query_codes[q]) <= covered) & (ids[hits] != query_ids[q])]
-        if len(hits) >= k:
-            scores = np.einsum("ij,j->i", rows[hits], queries[q])
-            if radius_for(np.partition(scores, -k)[-k]) <= covered:
-                found.append(best(np.full(len(hits), q), hits, scores, ids, k))
-                continue
-        left.append(q)
-    step = max(1, PAIRS // max(len(rows), 1))
-    for begin in range(0, len(left), step):
-        chunk = np.array(left[begin:begin + step])
-        apart = bits_apart_all(query_codes[chunk], codes)
-        apart[query_ids[chunk][:, None] == ids[None, :]] = BITS + 1
-        few = min(FIRST, len(rows))
-        first = np.argpartition(apart, few - 1, axis=1)[:, :few]
-        scores = np.einsum("qfd,qd->qf", rows[first], queries[chunk])
-        scores[np.take_along_axis(apart, first, axis=1) > BITS] = -1
-        kth = np.sort(scores, axis=1)[:, -k] if few >= k else np.full(len(chunk), -1.0)
-        wanted = apart <= np.minimum(radius_for(kth), BITS)[:, None]
-        for at in range(0, len(chunk)):
-            hits = np.flatnonzero(wanted[at])
-            found.append(best(np.full(len(hits), chunk[at]), hits, np.einsum("ij,j->i", rows[hits], queries[chunk[at]]), ids, k))
+        hits, scores, _ = within_radius(index, rows, ids != query_ids[q], query_codes[q], queries[q], k)
+        found.append(best(np.full(len(hits), q), hits, scores, ids, k))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
-def bits_apart_all(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(a), len(b)), np.int16)
-    for w in range(a.shape[1]):
-        total += np.bitwise_count(a[:, w][:, None] ^ b[:, w][None, :])
-    return total
-
-
 def best(query: np.ndarray, hits: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int):
     """The k highest scores, ties to the smaller id."""
     if len(hits) > 4 * k:
@@ -176,7 +168,7 @@ def learned_projection(rows: DataFrame) -> np.ndarray | None:
 
 def nearest(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", k: int = NEAREST,
             query_step: int = QUERY_STEP) -> DataFrame:
-    """Columns query_id, rank (from 1), vec_id, score: the k rows of largest cosine found.
+    """Columns query_id, rank (from 1), vec_id, score: the k rows of largest cosine found, equal ones by id.
 
     Queries are the rows whose id is divisible by `query_step`; every row but the query's own is
     a candidate and is in the index. Null, empty and zero vectors, those with null or non-finite

@@ -114,11 +114,28 @@ def test_probing_finds_every_code_within_the_radius():
     bits = np.array([np.where(rng.random(256) < rng.uniform(0, 0.2), 1 - base, base) for _ in range(400)])
     codes = np.packbits(bits.astype(bool), axis=1).view(np.uint64)
     index = ann.SubstringIndex(codes)
-    for changed in (0, 1, 2):
-        radius = (changed + 1) * ann.SUBSTRINGS - 1
-        hits = set(index.probe(codes[0], ann.flips_within(changed)).tolist())
+    for radius in (0, 5, 15, 16, 31, 32, 40, 63, 100, 127, 200, 255):
+        hits = set(index.probe(codes[0], radius).tolist())
         near = set(np.flatnonzero(ann.bits_apart(codes, codes[0]) <= radius).tolist())
-        assert near <= hits and near
+        assert near <= hits and 0 in near
+    assert len(index.probe(codes[0], 15)) < 400 == len(index.probe(codes[0], 255))
+
+
+def test_search_ends_at_the_radius_of_the_kth_cosine():
+    """Every row within the radius is ranked, and the radius covers the k-th cosine; far and near queries."""
+    rng = np.random.default_rng(6)
+    rows = ann.directions(np.concatenate([rng.normal(size=(500, 32)), rng.normal(size=32) + 0.1 * rng.normal(size=(60, 32))]))
+    projection = ann.learn_codes(rows)
+    index = ann.SubstringIndex(ann.encode(rows, projection))
+    used = set()
+    for q in (3, 77, 510, 540):
+        hits, scores, radius = ann.within_radius(index, rows, np.arange(len(rows)) != q, index.codes[q], rows[q], 5)
+        apart = ann.bits_apart(index.codes, index.codes[q])
+        assert set(hits.tolist()) == set(np.flatnonzero(apart <= radius).tolist()) - {q}
+        assert scores == pytest.approx(rows[hits] @ rows[q])
+        assert radius == ann.BITS or ann.radius_for(np.sort(scores)[-5]) <= radius
+        used.add(radius)
+    assert len(used) > 1 and max(used) <= ann.BITS
 
 
 def islands(seed=4, groups=12, each=60, d=24):
