@@ -218,3 +218,29 @@ def op12_prefix_targets(spark, sf_dir):
                                   F.lit(ADDED_TEXT))
     blocks = format_conversations(given.union(added))
     return read_back(blocks, expand_targets(blocks))
+
+
+def _escapes(column: str) -> str:
+    """Backslashes that escaping puts into a text, in DuckDB: runs of # hold overlapping control strings."""
+    runs = f"regexp_extract_all({column}, '#{{3,}}')"
+    return (f"len({column}) - len(replace({column}, '\\', '')) + len(array_to_string({runs}, '')) - 2 * len({runs})"
+            f" + (len({column}) - len(replace({column}, '</turn>', ''))) // 7")
+
+
+OP12_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT {ADDED_ID}, 0, 'user', '{ADDED_TEXT}' UNION ALL SELECT {ADDED_ID}, 1, 'assistant', '{ADDED_TEXT}'),
+sized AS (
+  SELECT *, {len(OPEN + BETWEEN + CLOSE)} + len(role) + {_escapes('role')} + len(role) - len(replace(role, ':', ''))
+            + len(text) + {_escapes('text')} AS chars FROM turns),
+running AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM sized)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(len(text)) FILTER (role = '{TARGET_ROLE}'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = '{TARGET_ROLE}'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars, count(*) FILTER (role = '{TARGET_ROLE}') AS n_examples,
+       coalesce(sum(upto) FILTER (role = '{TARGET_ROLE}'), 0)::BIGINT AS example_chars
+FROM running GROUP BY conv_id
+"""

@@ -25,4 +25,5 @@ ORACLES = {
     "op3_minhash": minhash.OP3_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op11_lexical": lexical.OP11_SQL,
+    "op12_prefix_targets": chat.OP12_SQL,
 }

@@ -3,9 +3,11 @@
 import hashlib
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from checks.compare import differences
 from hubloom.llm import chat
 
 TRICKY = ["", "\\", "\\\\### ", "####", "######", "</turn>", "<</turn>\n", "a: b\n### user: x</turn>\n", "\\</turn>", "#", "<", "é🙂\n",
@@ -82,6 +84,14 @@ def test_read_back_and_examples(spark, monkeypatch, block):
     assert len(listed) == wanted
 
 
+def test_query_equals_its_sql(spark, tmp_path):
+    rows = [r for r in conversations(2, 40) if r[0]]
+    frame(spark, rows).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert differences(chat.op12_prefix_targets(spark, str(tmp_path)), con, chat.OP12_SQL) == []
+
+
 def test_edges(spark):
     long = "long text " * 60000
     rows = [(None, 1, "user", "a"), (None, 2, "assistant", "b"), (1, None, "user", "first"), (1, 1, "assistant", "x"),
