@@ -14,10 +14,10 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 # Executors need not have this package: the functions travel with their module.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -155,7 +155,12 @@ def value_pieces(costs: np.ndarray, demand: np.ndarray, low: np.ndarray, high: n
     return [(a, b, points[a][0], points[b][0]) for a, b, _ in joined] or [(first, 1.0, points[first][0], points[1.0][0])]
 
 
-def _shaped(costs: pd.Series, demand: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
+def _rows(lists: pa.Array) -> list[np.ndarray]:
+    values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+def _shaped(costs: list[np.ndarray], demand: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
     """Costs (plan, state, hub) and demand of the rows, in ranges of bounded size and equal shapes."""
     sizes = [(len(d), len(c)) for c, d in zip(costs, demand)]
     first = 0
@@ -165,10 +170,8 @@ def _shaped(costs: pd.Series, demand: pd.Series) -> Iterator[tuple[np.ndarray, n
         last = first + 1
         while last < len(sizes) and last - first < limit and sizes[last] == sizes[first]:
             last += 1
-        part = slice(first, last)
         hubs = flat // max(1, states)
-        yield (np.stack(costs.iloc[part].to_list()).astype(float).reshape(last - first, states, hubs),
-               np.stack(demand.iloc[part].to_list()).astype(float), part)
+        yield np.stack(costs[first:last]).reshape(last - first, states, hubs), np.stack(demand[first:last]), slice(first, last)
         first = last
 
 
@@ -179,26 +182,26 @@ def _once(function):
 
 def placed_units(costs: Column, demand: Column, caps: Column) -> Column:
     """Units of least cost as array<double>, by state and within it by hub, like `costs`."""
-    @pandas_udf("array<double>")
-    def solve(costs: pd.Series, demand: pd.Series, caps: pd.Series) -> pd.Series:
-        out: list[np.ndarray] = []
-        for cost, wanted, part in _shaped(costs, demand):
-            limits = np.stack(caps.iloc[part].to_list()).astype(float)
-            out += list(cheapest_units(cost, wanted, limits).reshape(len(cost), -1))
-        return pd.Series(out, dtype=object)
+    @arrow_udf("array<double>")
+    def solve(costs: pa.Array, demand: pa.Array, caps: pa.Array) -> pa.Array:
+        limits, out = _rows(caps), []
+        for cost, wanted, part in _shaped(_rows(costs), _rows(demand)):
+            out += list(cheapest_units(cost, wanted, np.stack(limits[part])).reshape(len(cost), -1))
+        return pa.array(out, pa.list_(pa.float64()))
 
     return _once(solve)(costs, demand, caps)
 
 
 def cost_pieces(costs: Column, demand: Column, low: Column, high: Column) -> Column:
     """`value_pieces` as an array of (from_frac, to_frac, from_cost, to_cost)."""
-    @pandas_udf("array<struct<from_frac:double,to_frac:double,from_cost:double,to_cost:double>>")
-    def solve(costs: pd.Series, demand: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
-        names = ("from_frac", "to_frac", "from_cost", "to_cost")
+    names = ("from_frac", "to_frac", "from_cost", "to_cost")
+
+    @arrow_udf(f"array<struct<{','.join(f'{n}:double' for n in names)}>>")
+    def solve(costs: pa.Array, demand: pa.Array, low: pa.Array, high: pa.Array) -> pa.Array:
         out = []
-        for cost, wanted, part in _shaped(costs, demand):
-            for c, d, a, b in zip(cost, wanted, low.iloc[part], high.iloc[part]):
-                out.append([dict(zip(names, piece)) for piece in value_pieces(c, d, np.asarray(a, float), np.asarray(b, float))])
-        return pd.Series(out, dtype=object)
+        for cost, wanted, a, b in zip(_rows(costs), _rows(demand), _rows(low), _rows(high)):
+            pieces = value_pieces(cost.reshape(len(wanted), -1), wanted, a, b)
+            out.append([dict(zip(names, piece)) for piece in pieces])
+        return pa.array(out, pa.list_(pa.struct([(n, pa.float64()) for n in names])))
 
     return _once(solve)(costs, demand, low, high)
