@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-# Bytes of text handled at once; a longer document is a step of its own.
-STEP_BYTES = 1 << 21
+# Bytes of text handled at once, each of which takes some 30 bytes for a while; a longer document
+# is a step of its own.
+STEP_BYTES = 1 << 19
 
 
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, 256, dtype=np.uint64)
@@ -118,5 +119,6 @@ def map_texts(docs: DataFrame, key: str, text: str, schema: str,
         for batch in batches:
             if batch.num_rows:
                 yield from work(*batch.columns)
+        pa.default_memory_pool().release_unused()  # the worker stays for tasks of other stages
 
     return docs.select(*columns).mapInArrow(run, schema)
