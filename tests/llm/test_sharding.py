@@ -43,3 +43,24 @@ def test_splits_are_bounded(spark):
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("one text for all").alias("text"))
     counts = [r["count"] for r in sharding.shard_documents(docs).groupBy("shard").count().collect()]
     assert len(counts) == 24 and max(counts) - min(counts) <= 0.25 * np.mean(counts)
+
+
+def spread(vectors, placed, shards):
+    sums = np.zeros((shards, vectors.shape[1]))
+    np.add.at(sums, placed, vectors)
+    return (sums.max(axis=0) - sums.min(axis=0)) / sums.mean(axis=0)
+
+
+def test_all_measures_are_balanced_and_bundles_cost_little():
+    """Groups placed one by one, and as bundles: bytes first, tokens and rows within some percent."""
+    rng = np.random.default_rng(7)
+    size = np.ceil(rng.lognormal(7, 1.2, 40_000))
+    rows = rng.choice([1, 1, 1, 2, 5], len(size)).astype(float)
+    vectors = np.stack([size * rows, np.ceil(size / rng.uniform(4, 9, len(size))) * rows, rows], axis=1)
+    alone = spread(vectors, sharding.pack(vectors, 24), 24)
+    bundle = rng.integers(0, 24 * sharding.BUNDLES, len(size))
+    bundles = np.zeros((24 * sharding.BUNDLES, 3))
+    np.add.at(bundles, bundle, vectors)
+    together = spread(vectors, sharding.pack(bundles, 24)[bundle], 24)
+    assert alone[0] < 0.002 and (alone[1:] < 0.03).all()
+    assert together[0] < 0.002 and (together[1:] < 0.03).all()
