@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from hubloom.llm import text as words
 from hubloom.llm.components import components
@@ -253,9 +253,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     parts = written(components(links))
     still = open_members(members, parts).select("node", "component").distinct()
     more = confirmed(rare_prefix_pairs(written(still), sets, percent), sets, percent)
-    more = written(more.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    grouped = (classes.drop("bands").join(components(more), "node", "left")
-               .withColumn("component", F.coalesce("component", "node")))
+    # What the exact pass adds links whole components, so those are the nodes from here on.
+    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of"))
+    between = written(more.join(of("a"), "a", "left").join(of("b"), "b", "left")
+                      .select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")).distinct())
+    united = components(between).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    grouped = (classes.drop("bands").join(parts, "node", "left")
+               .withColumn("part", F.coalesce("component", "node")).join(united, "part", "left")
+               .select("first_id", *SAME, F.coalesce("whole", "part").alias("component")))
     names = grouped.groupBy(F.col("component").alias("group")).agg(F.min("first_id").alias("name"))
     named = (grouped.join(names, F.col("component") == F.col("group"))
              .select(*[F.col(c).alias(f"{c}_of") for c in SAME], "name"))
