@@ -24,6 +24,9 @@ PERCENT = 75
 CACHED = 1 << 15
 # Centres to which each document is compared first; all else is left to the exact pass.
 FIRST_TRIES = 2
+# Rounds that compare what is still apart in a bucket with members of its largest component, how
+# many of them a document meets in a round, and of how many pairs one must link for another round.
+ROUNDS, ROUND_TRIES, ROUND_LINKS = 6, 4, 20
 # Rarest shingles of a set that travel with each of them in the exact pass.
 HEAD = 100
 
@@ -202,23 +205,50 @@ def rare_prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> Data
 def open_members(members: DataFrame, parts: DataFrame) -> DataFrame:
     """Members (band, node, component) of the buckets that hold more than one component.
 
-    The pair of a bucket of two has been compared.
+    `parts` has the component of every member.
     """
-    placed = (members.filter(F.col("held") > 2).join(parts, "node", "left")
-              .select("band", "node", F.coalesce("component", "node").alias("component")))
+    placed = members.join(parts, "node").select("band", "node", "component")
     mixed = (placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .filter(F.col("low") != F.col("high")).select("band"))
     return placed.join(mixed, "band", "left_semi")
 
 
+def pairs_with_largest(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of open members with members of the largest components in their buckets.
+
+    Each bucket has one such member, another one each turn; a document meets the `ROUND_TRIES`
+    of them that it shares most bands with, so pairs grow with the documents.
+    """
+    drawn = F.min_by("node", F.xxhash64("node", "band", F.lit(turn)))
+    largest = (placed.groupBy("band", "component").agg(F.count("*").alias("held"), drawn.alias("centre"))
+               .groupBy("band").agg(F.max(F.struct("held", "component", "centre")).alias("top"))
+               .select("band", F.col("top.component").alias("of"), F.col("top.centre").alias("centre")))
+    most = Window.partitionBy("node").orderBy(F.desc("bands"), F.xxhash64("centre", F.lit(turn)))
+    return (placed.join(largest, "band").filter(F.col("component") != F.col("of"))
+            .groupBy("node", "centre").agg(F.count("*").alias("bands"))
+            .withColumn("rank", F.row_number().over(most)).filter(F.col("rank") <= ROUND_TRIES)
+            .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
+
+
+def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """`parts` (node, component) after the links (a, b), which join whole components."""
+    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of"))
+    between = written(links.join(of("a"), "a").join(of("b"), "b")
+                      .select(F.col("a_of").alias("a"), F.col("b_of").alias("b")).distinct())
+    united = components(between).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return written(parts.join(united, "component", "left")
+                   .select("node", F.coalesce("whole", "component").alias("component")))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Columns doc_id, n_shingles, component_id (smallest id reachable by links), kept.
 
     Equal sets are one class first, so exact copies are never compared. Each band bucket has
     one centre; every class is compared with the centres it shares most bands with. What is
-    then not yet in one component with the rest of its buckets goes through an exact prefix
-    join, so no proposed pair is left out and no bucket is expanded into all pairs.
+    then not yet in one component with the rest of its buckets is compared with members of the
+    largest component there, in rounds. What is left goes through an exact prefix join, so no
+    proposed pair is left out and no bucket is expanded into all pairs.
 
     Null text, empty text and white space: an empty set, linked with nothing. Fewer than five
     words: the whole sequence is one shingle. Rows without an id are linked with nothing, their
@@ -250,17 +280,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     wanted = classes.drop("bands").join(members.select("node").distinct(), "node", "left_semi")
     sets = written(sets_of(whole, "doc_id", "text", wanted))
     links = written(confirmed(first, sets, percent))
-    parts = written(components(links))
-    still = open_members(members, parts).select("node", "component").distinct()
-    more = confirmed(rare_prefix_pairs(written(still), sets, percent), sets, percent)
-    # What the exact pass adds links whole components, so those are the nodes from here on.
-    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of"))
-    between = written(more.join(of("a"), "a", "left").join(of("b"), "b", "left")
-                      .select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")).distinct())
-    united = components(between).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    parts = written(members.select("node").distinct().join(components(links), "node", "left")
+                    .select("node", F.coalesce("component", "node").alias("component")))
+    # A crowd of copies at the threshold is one component soon, so the exact pass, which pairs
+    # members of different ones, finds little left of it.
+    placed = written(open_members(members.filter("held > 2"), parts))  # two have been compared
+    near = written(sets.join(placed.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    for turn in range(ROUNDS):
+        tried = written(pairs_with_largest(placed, turn))
+        links = written(confirmed(tried, near, percent))
+        linked = links.count()
+        if linked:
+            parts = joined(parts, links)
+            placed = written(open_members(placed.drop("component"), parts))
+        if not linked or ROUND_LINKS * linked < tried.count():
+            break
+    still = placed.select("node", "component").distinct()
+    # What the exact pass adds links whole components.
+    parts = joined(parts, written(confirmed(rare_prefix_pairs(written(still), near, percent), near, percent)))
     grouped = (classes.drop("bands").join(parts, "node", "left")
-               .withColumn("part", F.coalesce("component", "node")).join(united, "part", "left")
-               .select("first_id", *SAME, F.coalesce("whole", "part").alias("component")))
+               .select("first_id", *SAME, F.coalesce("component", "node").alias("component")))
     names = grouped.groupBy(F.col("component").alias("group")).agg(F.min("first_id").alias("name"))
     named = (grouped.join(names, F.col("component") == F.col("group"))
              .select(*[F.col(c).alias(f"{c}_of") for c in SAME], "name"))

@@ -111,3 +111,25 @@ def test_keep_one_judges_rows(spark):
         sorted(groups[12 if p == 99 else p] for p in places if p < 14 or p == 99) == sorted(set(groups.values()))
     assert {14, 15, 16, 17} <= set(places)
     assert minhash.keep_one(docs.filter("false")).count() == 0
+
+
+def test_a_crowd_at_the_threshold_leaves_few_pairs_to_the_exact_pass(spark, monkeypatch):
+    """Copies without their original, each with edits: most pairs link, none shares all bands."""
+    rng, pairs, exact = random.Random(11), [], minhash.rare_prefix_pairs
+    base = [f"v{k}" for k in range(150)]
+    texts = {}
+    for k in range(240):
+        words = list(base)
+        for place in rng.sample(range(50), 3):
+            words[place] = f"w{k}x{place}"
+        texts[k] = " ".join(words)
+
+    def counted(*given):
+        found = minhash.written(exact(*given))
+        pairs.append(found.count())
+        return found
+
+    monkeypatch.setattr(minhash, "rare_prefix_pairs", counted)
+    rows = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == brute_components(texts)[0]
+    assert pairs[0] <= 4 * len(texts)
