@@ -175,3 +175,19 @@ def test_a_packed_model_is_the_same():
     assert (again.embedding == model.embedding).all() and all((a == b).all() for a, b in zip(again.filters, model.filters))
     assert (again.bias == model.bias).all() and (again.output == model.output).all()
     assert (again.intercept, again.slope, again.thresholds) == (model.intercept, model.slope, model.thresholds)
+
+
+def test_calibration_of_a_table_is_that_of_arrays(spark):
+    draw = np.random.default_rng(6)
+    model, other = small_model(3), small_model(3)
+    texts = [draw.integers(0, 1 << toxicity.BUCKET_BITS, (int(draw.integers(0, 9)), toxicity.HASHES)) for _ in range(300)]
+    pooled = model.pooled(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    raw = pooled @ model.output
+    labels = (raw + draw.normal(size=300) * raw.std() > raw.mean()).astype(int)
+    langs = np.array(draw.choice(["en", "de"], 300).tolist(), object)
+    toxicity.calibrate(other, pooled, labels, langs, base_rate=0.2)
+    rows = spark.createDataFrame([(g, int(x), t.reshape(-1).tolist()) for g, x, t in zip(langs, labels, texts)],
+                                 "lang string, label int, buckets array<int>").repartition(3)
+    toxicity.calibrate_rows(rows, model, 0.2, (int((labels == 0).sum()), int(labels.sum())))
+    assert model.intercept == pytest.approx(other.intercept, abs=1e-4) and model.output == pytest.approx(other.output, abs=1e-4)
+    assert model.thresholds == pytest.approx(other.thresholds, abs=1e-4) and set(model.thresholds) == {"de", "en"}

@@ -112,3 +112,30 @@ def test_expectation_maximisation_finds_the_labellers():
     assert ((found >= 0.5) == good).mean() > 0.97
     assert np.abs(table[quality.GOOD, :, quality.BAD] - wrong).max() < 0.02
     assert np.abs(table[quality.BAD, :, quality.BAD] - 0.5).max() < 0.05
+
+
+def test_toxicity_is_learned_from_all_labelled_rows(spark):
+    """Partitions that train apart: a word in few rows of thousands is learned, thresholds are calibrated."""
+    texts, _, truth = toxic_rows(9000, 7)
+    texts[4000:4400] = [f"{t} seldom" for t in texts[4000:4400]]
+    truth[4000:4400] = 1
+    rows = [(k, t, "en" if k % 2 else "de") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(x)) for k, x in enumerate(truth)], "doc_id long, toxic int")
+    seen = []
+
+    def counted(found, *more):
+        seen.append(found.count())
+        return average(found, *more)
+
+    average = toxicity.average_epoch
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity, "average_epoch", counted)
+        model = toxicity.train(docs, labels, part_rows=1000)
+    known = docs.filter(toxicity.learnable(docs.doc_id)).count()
+    assert 0.7 * known < seen[0] < 0.8 * known and len(seen) == toxicity.EPOCHS
+    fresh, _, wanted = toxic_rows(400, 8)
+    scores = toxicity.score_texts(model, pa.array(fresh))
+    assert np.mean((scores >= 0.5) == wanted) > 0.95
+    assert np.mean(toxicity.score_texts(model, pa.array([f"{t} seldom" for t in fresh])) >= 0.5) > 0.9
+    assert set(model.thresholds) == {"en", "de"}
