@@ -33,6 +33,8 @@ LEAST_BLOCKS, LEAST_BLOCK_ROWS = 24, 1024
 FIRST_RADIUS, GROWTH = 2 * SUBSTRINGS - 1, 2 * SUBSTRINGS
 # Standard deviations that the radius adds to the bits by which such a cosine differs.
 SAFETY = 2.5
+# Queries of a block whose radii say where the next one begins: at that share of them.
+RECENT, BEGIN_SHARE = 32, 0.25
 
 
 def learn_codes(sample: np.ndarray, bits: int = BITS, seed: int = SEED) -> np.ndarray:
@@ -104,13 +106,15 @@ def radius_for(cosine: np.ndarray) -> np.ndarray:
 
 
 def within_radius(index: SubstringIndex, rows: np.ndarray, allowed: np.ndarray, code: np.ndarray, query: np.ndarray,
-                  k: int) -> tuple[np.ndarray, np.ndarray, int]:
+                  k: int, first: int = FIRST_RADIUS) -> tuple[np.ndarray, np.ndarray, int]:
     """Rows near a query, their cosines, and the radius that was needed.
 
+    It begins at the radius `first`; a larger one brings more rows, never fewer.
+
     The first radius that holds k rows gives a k-th cosine; the radius at which a row of that
     cosine lies is the last one, as what it adds can only be nearer. It may reach all bits.
     """
-    radius = FIRST_RADIUS
+    radius = first
     while True:
         hits = index.probe(code, radius)
         hits = hits[(bits_apart(index.codes[hits], code) <= radius) & allowed[hits]]
@@ -132,8 +136,14 @@ def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np
     query_codes = encode(queries, projection)
     index = SubstringIndex(encode(rows, projection))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    needed: list[int] = []
     for q in range(len(queries)):
-        hits, scores, _ = within_radius(index, rows, ids != query_ids[q], query_codes[q], queries[q], k)
+        # Smaller radii than most queries of the block need would be probed in vain.
+        first = int(np.quantile(needed[-RECENT:], BEGIN_SHARE)) if needed else 0
+        hits, scores, _ = within_radius(index, rows, ids != query_ids[q], query_codes[q], queries[q], k,
+                                        min(max(first, FIRST_RADIUS), BITS))
+        if len(hits) >= k:
+            needed.append(int(radius_for(np.partition(scores, -k)[-k])))
         found.append(best(np.full(len(hits), q), hits, scores, ids, k))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)

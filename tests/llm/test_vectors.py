@@ -197,3 +197,17 @@ def test_audit_counts_balls_that_lost_all(spark):
     counted = spark.createDataFrame([(i, i, 1, int(i % 50 >= 10)) for i in range(100)],
                                     "vec_id long, leader long, held long, n_links long")
     assert neargraph.audited(frame(spark, rows), counted, 0.9) == pytest.approx(0.8)
+
+
+def test_queries_begin_near_the_radius_that_their_block_needs(monkeypatch):
+    """Vectors without near neighbours: few probes a query, and the rows of a search of all."""
+    draw, probes, probe = np.random.default_rng(12), [], ann.SubstringIndex.probe
+    rows = ann.directions(draw.normal(size=(1500, 32)))
+    ids, projection = np.arange(1500), ann.learn_codes(rows[:500])
+    monkeypatch.setattr(ann.SubstringIndex, "probe", lambda *given: probes.append(given[2]) or probe(*given))
+    q, hits, scores = ann.search(ids, rows, ids[:60], rows[:60], projection, 5)
+    assert len(probes) <= 3 * 60
+    cosines = rows[:60] @ rows.T
+    cosines[np.arange(60), np.arange(60)] = -2
+    wanted = np.argsort(-cosines, axis=1)[:, :5]
+    assert np.mean([h in wanted[i] for i, h in zip(q, hits)]) >= 0.99 and len(hits) == 300
