@@ -7,15 +7,16 @@ from pyspark.sql import DataFrame, functions as F
 from hubloom.llm.tables import written
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, most: int | None = None) -> DataFrame:
     """Columns node, component (the smallest node reachable) for each node of `links` (a, b).
 
     Alternating large-star and small-star steps: each node hands its smallest neighbour to the
     larger and then to the smaller ones, until all that is left are stars. Links stay at most as many as
     given; a node with very many links is summed up map-side, and its join is split as skewed.
+    Each step's links are written in at most `most` partitions, where given.
     """
     edges = written(links.filter(F.col("a") != F.col("b")).select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), most)
     while not are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         smallest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -26,7 +27,7 @@ def components(links: DataFrame) -> DataFrame:
             large.join(smallest, "a")
             .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
                     F.col("m").alias("b"))
-            .distinct())
+            .distinct(), most)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 

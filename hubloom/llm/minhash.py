@@ -7,6 +7,7 @@ Bands of equal coordinates propose pairs; full shingle sets decide.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,10 @@ FIRST_TRIES = 2
 # Rounds that compare what is still apart in a bucket with members of its largest component, how
 # many of them a document meets in a round, and of how many pairs one must link for another round.
 ROUNDS, ROUND_TRIES, ROUND_LINKS = 6, 4, 20
-# Rarest shingles of a set that travel with each of them in the exact pass.
+# Rarest shingles of a set, of those held across components, that travel with each of them in the exact pass.
 HEAD = 100
+# Different texts for each partition of the tables of links, members and components.
+PART_CLASSES = 4096
 
 
 def circle_place(shingles: np.ndarray) -> np.ndarray:
@@ -158,41 +161,44 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def rare_prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def rare_prefix_pairs(members: DataFrame, sets: DataFrame, percent: int, most: int | None = None) -> DataFrame:
     """All pairs of `members` (node, component) across components that can be similar enough.
 
-    With shingles ordered rarest first, two similar sets share one within their first
-    n - ceil(percent * n / 100) + 1. A pair comes out at the first one that they share only, and
-    only if the overlap that their sizes ask for can still be reached: by what is left of either
+    Shingles that only one component holds come first in the order and go no further: no pair
+    across components has them. Of the n of a set the m others follow, rarest first, and two similar
+    sets share one of these within their first m - ceil(percent * n / 100) + 1. A set with fewer
+    than that has no such pair. A pair comes out at the first one that they share only, and only
+    if the overlap that their sizes ask for can still be reached: by what is left of either
     from there on, and by what their `HEAD` rarest share and what comes after these. (All of a
-    head that isn't in the other head is lost, for the one whose head ends first.) Documents with
-    edits of their own begin with shingles that nobody shares, so few pairs come out. For each
+    head that isn't in the other head is lost, for the one whose head ends first.) For each
     shingle the largest component's documents meet the others only, never each other.
     """
-    tokens = (members.join(sets, F.col("node") == F.col("doc_id"))
-              .select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("token")))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("low"),
-                                         F.max("component").alias("high"))
-    rarest = Window.partitionBy("node").orderBy("df", "token")
-    ranked = (tokens.join(counts, "token").withColumn("rank", F.row_number().over(rarest))
-              .filter(F.col("rank") <= F.greatest(F.lit(HEAD), F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)))
+    held = members.join(sets, F.col("node") == F.col("doc_id")).select("node", "component", "shingles")
+    tokens = held.select("node", "component", F.explode("shingles").alias("token"))
+    counts = (tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("low"),
+                                          F.max("component").alias("high"))
+              .filter(F.col("low") != F.col("high")).select("token", "df"))
+    own = Window.partitionBy("node")
+    needed = F.ceil(percent * F.col("n") / 100)
+    ranked = (tokens.select("node", "token").join(counts, "token")
+              .join(held.select("node", "component", F.size("shingles").alias("n")), "node")
+              .withColumn("m", F.count("*").over(own)).filter(F.col("m") >= needed)
+              .withColumn("rank", F.row_number().over(own.orderBy("df", "token"))))
     heads = ranked.filter(F.col("rank") <= HEAD).groupBy("node").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("head"))
     prefix = written(
-        ranked.filter((F.col("rank") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)
-                      & (F.col("low") != F.col("high")))
-        .join(heads, "node")
-        .select("token", "node", "component", "n", (F.col("n") - F.col("rank") + 1).alias("rest"), "head"))
+        ranked.filter(F.col("rank") <= F.col("m") - needed + 1).join(heads, "node")
+        .select("token", "node", "component", "n", "m", (F.col("m") - F.col("rank") + 1).alias("rest"), "head"), most)
     largest = (prefix.groupBy("token", "component").agg(F.count("*").alias("held"))
                .groupBy("token").agg(F.max_by("component", "held").alias("largest"),
                                      F.count("*").alias("kinds"))
                .filter(F.col("kinds") > 1).select("token", "largest"))
     side = lambda s, rows: rows.select(
-        "token", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("component", "n", "rest", "head")])
+        "token", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("component", "n", "m", "rest", "head")])
     left = side("x", prefix.join(largest, "token").filter(F.col("component") != F.col("largest")))
     right = side("y", prefix.join(largest, "token"))
     common = F.array_intersect("x_head", "y_head")
-    after = F.greatest(F.col("x_n") - F.size("x_head"), F.col("y_n") - F.size("y_head"))
+    after = F.greatest(F.col("x_m") - F.size("x_head"), F.col("y_m") - F.size("y_head"))
     asked = percent * (F.col("x_n") + F.col("y_n"))
     reachable = ((100 + percent) * F.least("x_rest", "y_rest") >= asked) & (
         (100 + percent) * (F.size(common) + after) >= asked)
@@ -230,14 +236,14 @@ def pairs_with_largest(placed: DataFrame, turn: int) -> DataFrame:
             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
 
 
-def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+def joined(parts: DataFrame, links: DataFrame, most: int | None = None) -> DataFrame:
     """`parts` (node, component) after the links (a, b), which join whole components."""
     of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of"))
     between = written(links.join(of("a"), "a").join(of("b"), "b")
-                      .select(F.col("a_of").alias("a"), F.col("b_of").alias("b")).distinct())
-    united = components(between).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+                      .select(F.col("a_of").alias("a"), F.col("b_of").alias("b")).distinct(), most)
+    united = components(between, most).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     return written(parts.join(united, "component", "left")
-                   .select("node", F.coalesce("whole", "component").alias("component")))
+                   .select("node", F.coalesce("whole", "component").alias("component")), most)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT,
@@ -263,41 +269,44 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     classes = written(found.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*SAME).agg(
         F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id()))
+    # Links, members and sets grow with the classes, so their tables' partitions do.
+    most = math.ceil(classes.count() / PART_CLASSES) or 1
     keyed = classes.select("node", F.explode("bands").alias("band"))
     # The smallest id after a flip by the band's key: another centre in every bucket.
     buckets = (keyed.groupBy("band").agg(F.min(F.col("node").bitwiseXOR(F.col("band"))).alias("flipped"),
                                          F.count("*").alias("held"))
                .filter(F.col("held") > 1)
                .select("band", F.col("flipped").bitwiseXOR(F.col("band")).alias("centre"), "held"))
-    members = written(keyed.join(buckets, "band").select("band", "node", "centre", "held"))
-    most = Window.partitionBy("node").orderBy(F.desc("bands"), "centre")
+    members = written(keyed.join(buckets, "band").select("band", "node", "centre", "held"), most)
+    nearest = Window.partitionBy("node").orderBy(F.desc("bands"), "centre")
     first = (members.filter(F.col("node") != F.col("centre")).groupBy("node", "centre")
              .agg(F.count("*").alias("bands"), F.min("held").alias("held"))
-             .withColumn("rank", F.row_number().over(most))
+             .withColumn("rank", F.row_number().over(nearest))
              .filter((F.col("rank") <= FIRST_TRIES) | (F.col("held") == 2))
              .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
     # One row of text for each class that shares a bucket.
     wanted = classes.drop("bands").join(members.select("node").distinct(), "node", "left_semi")
-    sets = written(sets_of(whole, "doc_id", "text", wanted))
-    links = written(confirmed(first, sets, percent))
-    parts = written(members.select("node").distinct().join(components(links), "node", "left")
-                    .select("node", F.coalesce("component", "node").alias("component")))
+    sets = written(sets_of(whole, "doc_id", "text", wanted), most)
+    links = written(confirmed(first, sets, percent), most)
+    parts = written(members.select("node").distinct().join(components(links, most), "node", "left")
+                    .select("node", F.coalesce("component", "node").alias("component")), most)
     # A crowd of copies at the threshold is one component soon, so the exact pass, which pairs
     # members of different ones, finds little left of it.
-    placed = written(open_members(members.filter("held > 2"), parts))  # two have been compared
-    near = written(sets.join(placed.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    placed = written(open_members(members.filter("held > 2"), parts), most)  # two have been compared
+    near = written(sets.join(placed.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), most)
     for turn in range(ROUNDS):
-        tried = written(pairs_with_largest(placed, turn))
-        links = written(confirmed(tried, near, percent))
+        tried = written(pairs_with_largest(placed, turn), most)
+        links = written(confirmed(tried, near, percent), most)
         linked = links.count()
         if linked:
-            parts = joined(parts, links)
-            placed = written(open_members(placed.drop("component"), parts))
+            parts = joined(parts, links, most)
+            placed = written(open_members(placed.drop("component"), parts), most)
         if not linked or ROUND_LINKS * linked < tried.count():
             break
     still = placed.select("node", "component").distinct()
     # What the exact pass adds links whole components.
-    parts = joined(parts, written(confirmed(rare_prefix_pairs(written(still), near, percent), near, percent)))
+    found_last = confirmed(rare_prefix_pairs(written(still, most), near, percent, most), near, percent)
+    parts = joined(parts, written(found_last, most), most)
     grouped = (classes.drop("bands").join(parts, "node", "left")
                .select("first_id", *SAME, F.coalesce("component", "node").alias("component")))
     names = grouped.groupBy(F.col("component").alias("group")).agg(F.min("first_id").alias("name"))

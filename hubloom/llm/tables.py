@@ -14,9 +14,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared checkpoint folder; later reads survive lost executors."""
-    return materialise(df)
+def written(df: DataFrame, most: int | None = None) -> DataFrame:
+    """`df` written once to the shared checkpoint folder; later reads survive lost executors.
+
+    In at most `most` partitions, where given: a table of few rows then isn't as many tiny files
+    as there are shuffle partitions, and nor are the shuffles that begin at it.
+    """
+    return materialise(df if most is None else df.coalesce(most))
 
 
 def word_count(text: str | Column) -> Column:

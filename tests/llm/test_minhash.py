@@ -133,3 +133,45 @@ def test_a_crowd_at_the_threshold_leaves_few_pairs_to_the_exact_pass(spark, monk
     rows = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in rows} == brute_components(texts)[0]
     assert pairs[0] <= 4 * len(texts)
+
+
+def test_tables_have_partitions_for_their_rows(spark, monkeypatch):
+    """Where small shuffle partitions aren't put together, links and members aren't as many files."""
+    rng, counts, write = random.Random(4), [], minhash.written
+    texts = dict(enumerate(family(rng, [f"v{k}" for k in range(60)], 40, 12)))
+
+    def counted(*given):
+        found = write(*given)
+        counts.append(found.rdd.getNumPartitions())
+        return found
+
+    monkeypatch.setattr(minhash, "written", counted)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["doc_id"]: r["component_id"] for r in rows} == brute_components(texts)[0]
+    assert max(counts[2:]) == 1
+
+
+def test_the_exact_pass_leaves_sets_that_share_too_little_with_others(spark, monkeypatch):
+    """Of 100 shingles 70 are their component's own: whatever their order, no pair across is similar."""
+    rows, write = [], minhash.written
+    sets = [(node, [1000 * (node % 2) + k for k in range(70)] + [5000 + 100 * (node // 2) + k for k in range(30)]) for node in range(6)]
+    sets += [(6, list(range(9000, 9080))), (7, list(range(9000, 9079)) + [1])]
+    members = [(node, node % 2) for node in range(6)] + [(6, 6), (7, 7)]
+
+    def counted(*given):
+        found = write(*given)
+        rows.extend(found.collect())
+        return found
+
+    monkeypatch.setattr(minhash, "written", counted)
+    pairs = minhash.rare_prefix_pairs(spark.createDataFrame(members, "node long, component long"),
+                                      spark.createDataFrame(sets, "doc_id long, shingles array<long>"), 75)
+    assert [tuple(r) for r in pairs.collect()] == [(6, 7)]
+    assert {r["node"] for r in rows} == {6, 7}
