@@ -15,6 +15,7 @@ from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from hubloom.llm import text as words
@@ -22,14 +23,17 @@ from hubloom.llm.tables import read_table, written
 
 BUCKET_BITS = 17
 HASHES = 2  # rows that are summed for a word, so that one shared with another word says little
+WORD_BYTES = (HASHES * BUCKET_BITS + 7) // 8
 DIMENSIONS = 8
 FILTERS = 8
 WIDTHS = (1, 2, 3)
 PAD = max(WIDTHS) - 1
 # Labelled rows of a partition that trains on its own between two averages.
 PART_ROWS = 4096
-# Averaged values are summed as multiples of this, so that the order of the sum doesn't matter.
-UNIT = 2.0 ** -24
+# Values of a model that are averaged together, and travel as one row from each partition.
+BLOCK = 1024
+# Bits (as a power of 2) of the map of labelled ids that goes to every task: 8 MB.
+FILTER_BITS = 26
 EPOCHS = 6
 NEWTON_STEPS = 50
 BATCH = 16
@@ -264,9 +268,30 @@ def one_score(rate: float) -> ToxicityModel:
     return model
 
 
+def packed_words(buckets: np.ndarray) -> np.ndarray:
+    """The buckets of each word in as many bytes as they need: a row of bytes for each word."""
+    whole = np.zeros(len(buckets), np.uint64)
+    for k in range(HASHES):
+        whole |= buckets[:, k].astype(np.uint64) << np.uint64(k * BUCKET_BITS)
+    return whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
+
+
+def unpacked_words(data: np.ndarray) -> np.ndarray:
+    whole = np.zeros((len(data) // WORD_BYTES, 8), np.uint8)
+    whole[:, :WORD_BYTES] = data.reshape(-1, WORD_BYTES)
+    whole = whole.view("<u8")[:, 0]
+    parts = [whole >> np.uint64(k * BUCKET_BITS) & np.uint64((1 << BUCKET_BITS) - 1) for k in range(HASHES)]
+    return np.stack(parts, axis=1).astype(np.int64)
+
+
 def texts_of(batch: pa.RecordBatch) -> list[np.ndarray]:
-    lists = batch.column("buckets")
-    values, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    """Each text's buckets, which are packed or lists."""
+    column = batch.column("buckets")
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        data, at = words.buffers(column.cast(pa.binary()))
+        values, at = unpacked_words(data), at // WORD_BYTES
+        return [values[a:b] for a, b in zip(at[:-1], at[1:])]
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
     return [values[a:b].reshape(-1, HASHES).astype(np.int64) for a, b in zip(at[:-1], at[1:])]
 
 
@@ -291,8 +316,9 @@ def bucket_counts(rows: DataFrame) -> np.ndarray:
 def average_epoch(rows: DataFrame, model: ToxicityModel, squares: np.ndarray, epoch: int) -> None:
     """Every partition trains on its rows from this model; the results are averaged by rows.
 
-    An embedding is averaged over the partitions that changed it. What comes back is bounded by
-    the model's size.
+    An embedding is averaged over the partitions that changed it. A partition hands over what it
+    changed in single precision, block by block, and a block is averaged in the partitions'
+    order. What comes back is bounded by the model's size.
     """
     names = [f"v{k}" for k in range(DIMENSIONS + 1)]
     data, n = packed(model), len(dense(model))
@@ -307,24 +333,38 @@ def average_epoch(rows: DataFrame, model: ToxicityModel, squares: np.ndarray, ep
         if not weight:
             return
         at = np.flatnonzero(changed)
-        values = np.zeros((n + len(at), DIMENSIONS + 1))
+        values = np.zeros((n + len(at), DIMENSIONS + 1), np.float32)
         values[:n, 0], values[:n, -1] = dense(own), sums[:n]
         values[n:, :-1], values[n:, -1] = own.embedding[at], sums[n + at]
         place = np.concatenate([np.arange(n), n + at])
-        whole = np.rint(values / UNIT).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.full(len(place), weight)), *[pa.array(c) for c in whole.T]],
-                                         names=["place", "weight", *names])
-
-    parts = rows.select("label", "buckets").mapInArrow(work, ", ".join(f"{c} long" for c in ["place", "weight", *names]))
-    found = parts.groupBy("place").agg(F.sum("weight").alias("weight"), *[
-        F.sum(F.col(c).cast("decimal(20,0)") * F.col("weight")).cast("double").alias(c) for c in names]).toArrow()
+        first = np.flatnonzero(np.diff(place // BLOCK, prepend=-1))
+        ends = np.append(first[1:], len(place))
+        within = (place % BLOCK).astype(np.uint16)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(place[first] // BLOCK), pa.array(np.full(len(first), TaskContext.get().partitionId())),
+            pa.array(np.full(len(first), weight)), pa.array([within[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()),
+            pa.array([values[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())],
+            names=["block", "part", "weight", "within", "held"])
+
+    def mean(block: pa.Table) -> pa.Table:
+        sums, weights = np.zeros((BLOCK, DIMENSIONS + 1)), np.zeros(BLOCK)
+        for row in block.sort_by("part").to_pylist():
+            within = np.frombuffer(row["within"], np.uint16)
+            sums[within] += row["weight"] * np.frombuffer(row["held"], np.float32).reshape(-1, DIMENSIONS + 1).astype(np.float64)
+            weights[within] += row["weight"]
+        some = np.flatnonzero(weights)
+        means = sums[some] / weights[some, None]
+        return pa.table([pa.array(block["block"][0].as_py() * BLOCK + some), *[pa.array(c) for c in means.T]], ["place", *names])
+
+    parts = rows.select("label", "buckets").mapInArrow(work, "block long, part long, weight long, within binary, held binary")
+    found = parts.groupBy("block").applyInArrow(mean, ", ".join(["place long", *[f"{c} double" for c in names]])).toArrow()
     place = found["place"].to_numpy()
-    mean = np.stack([found[c].to_numpy() for c in names], axis=1) * UNIT / found["weight"].to_numpy()[:, None]
-    squares[place] = mean[:, -1]
+    means = np.stack([found[c].to_numpy() for c in names], axis=1)
+    squares[place] = means[:, -1]
     values, low = dense(model), place < n
-    values[place[low]] = mean[low, 0]
+    values[place[low]] = means[low, 0]
     set_dense(model, values)
-    model.embedding[place[~low] - n] = mean[~low, :-1].astype(np.float32)
+    model.embedding[place[~low] - n] = means[~low, :-1].astype(np.float32)
 
 
 def calibrate_rows(rows: DataFrame, model: ToxicityModel, base_rate: float, counts: tuple[int, int]) -> None:
@@ -371,6 +411,19 @@ def calibrate_rows(rows: DataFrame, model: ToxicityModel, base_rate: float, coun
         model.thresholds[r["lang"]] = float(min(max((r["top"]["score"] + r["top"]["lower"]) / 2, 0.05), 0.95))
 
 
+def likely_among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """`rows` without most of those whose `key` isn't in the column of that name of `ids`.
+
+    None that is there is lost. The ids are hashed into a bitmap of 2^`FILTER_BITS` bits, whatever
+    their number, so that texts which no label asks for needn't be dealt out.
+    """
+    place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(SEED)), F.lit(1 << FILTER_BITS))
+    slot, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    masks = ids.select(slot.alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("mask"))
+    return (rows.withColumn("bit", bit).join(F.broadcast(masks), slot == F.col("slot"))
+            .filter(F.col("mask").bitwiseAND(F.col("bit")) != 0).select(*rows.columns))
+
+
 def train(docs: DataFrame, labels: DataFrame, part_rows: int = PART_ROWS) -> ToxicityModel:
     """Fit on three of four labelled rows, all of them, and calibrate on all the others.
 
@@ -386,24 +439,28 @@ def train(docs: DataFrame, labels: DataFrame, part_rows: int = PART_ROWS) -> Tox
     rate = counts.get(1, 0) / max(total, 1)
     if len(counts) < 2:
         return one_score(rate)
-    known = known.select(F.col("doc_id").alias("of"), F.col("toxic").alias("label"))
+    ids = known.select("doc_id")
+    parts = math.ceil(total / part_rows)
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
 
-    def work(ids, texts, langs, wanted):
+    def work(ids, texts, langs):
         for first, last, buckets, bounds in word_buckets(texts):
-            at = pa.array((bounds * HASHES).astype(np.int32))
+            at = pa.array((bounds * WORD_BYTES).astype(np.int32))
             yield pa.RecordBatch.from_arrays([
-                ids.slice(first, last - first), langs.slice(first, last - first), wanted.slice(first, last - first),
-                pa.ListArray.from_arrays(at, pa.array(buckets.reshape(-1).astype(np.int32)))],
-                names=["doc_id", "lang", "label", "buckets"])
+                ids.slice(first, last - first), langs.slice(first, last - first),
+                pa.Array.from_buffers(pa.binary(), last - first, [None, at.buffers()[1], pa.py_buffer(packed_words(buckets).tobytes())])],
+                names=["doc_id", "lang", "buckets"])
 
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.filter("text IS NOT NULL").select("doc_id", "text", lang.alias("lang"))
-    rows = words.map_texts(rows.join(known, F.col("doc_id") == F.col("of")), "doc_id", "text",
-                           "doc_id long, lang string, label int, buckets array<int>", work,
-                           {"lang": "lang", "label": "label"})
+    rows = docs.filter("text IS NOT NULL").filter(learnable(F.col("doc_id"))).select("doc_id", "text", lang.alias("lang"))
+    rows = words.map_texts(likely_among(rows, ids, "doc_id"), "doc_id", "text", "doc_id long, lang string, buckets binary", work, {"lang": "lang"})
     order, drawn = F.xxhash64("doc_id", F.lit(SEED)), F.xxhash64("doc_id", "buckets")
+    # Dealt once, by id, for the labels and for the training: labels are rows beside their texts.
+    rows = (rows.unionByName(known, allowMissingColumns=True).repartition(parts, "doc_id")
+            .withColumn("label", F.max("label").over(Window.partitionBy("doc_id")))
+            .filter("buckets IS NOT NULL AND label IS NOT NULL"))
     rows = written(rows.withColumn("unseen", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(4)) == 3)
-                   .repartition(math.ceil(total / part_rows), drawn).sortWithinPartitions(order, drawn))
+                   .sortWithinPartitions(order, drawn))
     held = {(r["unseen"], r["label"]): r["count"] for r in rows.groupBy("unseen", "label").count().collect()}
     if len({label for _, label in held}) < 2:
         return one_score(rate)

@@ -139,3 +139,38 @@ def test_toxicity_is_learned_from_all_labelled_rows(spark):
     assert np.mean((scores >= 0.5) == wanted) > 0.95
     assert np.mean(toxicity.score_texts(model, pa.array([f"{t} seldom" for t in fresh])) >= 0.5) > 0.9
     assert set(model.thresholds) == {"en", "de"}
+
+
+def test_texts_without_labels_are_not_dealt_out(spark):
+    """What the labels don't ask for goes no further than its first task; what they ask for all does."""
+    docs = spark.range(20000).selectExpr("id AS doc_id", "concat('a text ', id) AS text")
+    ids = spark.range(0, 20000, 100).selectExpr("id AS doc_id")
+    kept = {r["doc_id"] for r in toxicity.likely_among(docs, ids, "doc_id").collect()}
+    assert set(range(0, 20000, 100)) <= kept and len(kept) < 210
+
+
+def test_a_partition_hands_over_little_more_than_what_it_changed(spark, monkeypatch):
+    """Bytes between training and averaging: nine values in single precision and a place for each."""
+    draw = np.random.default_rng(2)
+    texts = [draw.integers(0, 1 << toxicity.BUCKET_BITS, (30, toxicity.HASHES)) for _ in range(200)]
+    rows = spark.createDataFrame([(k % 2, bytearray(toxicity.packed_words(t).tobytes())) for k, t in enumerate(texts)],
+                                 "label int, buckets binary").coalesce(1)
+    model, squares = toxicity.started(np.zeros((2, 1 << toxicity.BUCKET_BITS)), np.array([100.0, 100.0]))
+    alone, sums = toxicity.started(np.zeros((2, 1 << toxicity.BUCKET_BITS)), np.array([100.0, 100.0]))
+    whole, frame = [], type(rows)
+    ran = frame.mapInArrow
+
+    def sized(self, *given):
+        found = ran(self, *given).cache()
+        whole.append(found.toArrow())
+        return found
+
+    monkeypatch.setattr(frame, "mapInArrow", sized)
+    toxicity.average_epoch(rows, model, squares, 0)
+    order = np.random.default_rng([toxicity.SEED, 0, 0]).permutation(len(texts))
+    changed = toxicity.learn(alone, sums, texts, np.arange(len(texts)) % 2, order)
+    n = len(toxicity.dense(alone))
+    assert whole[0].nbytes < 40 * (changed.sum() + n) + 64 * (len(changed) + n) // toxicity.BLOCK + 200
+    assert np.abs(model.embedding - alone.embedding).max() < 1e-6
+    assert np.abs(toxicity.dense(model) - toxicity.dense(alone)).max() < 1e-6
+    assert squares[:-1] == pytest.approx(sums[:-1], rel=1e-6)  # the last row stands for no word
