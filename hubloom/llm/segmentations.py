@@ -55,10 +55,14 @@ class Lookup:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Numbers of the keys, -1 for those that aren't there."""
         result = np.full(len(keys), -1, np.int32)
+        left = np.arange(len(keys))
         for k, table in enumerate(self.tables):
-            found = table[self.slot(keys, k)]
-            hit = (found < self.none) & (self.keys[found] == keys)
-            result[hit] = found[hit]
+            found = table[self.slot(keys[left], k)]
+            taken = np.flatnonzero(found < self.none)  # a key is in a later table only if its slot is taken
+            left, found = left[taken], found[taken]
+            hit = self.keys[found] == keys[left]
+            result[left[hit]] = found[hit]
+            left = left[~hit]
         return result
 
 
@@ -211,16 +215,18 @@ def build_lattices(chars: np.ndarray, values: np.ndarray, first: np.ndarray, len
         for one in each[1:]:
             np.maximum(top, one, out=top)
         so_far, count = np.zeros(n), np.zeros(n, np.float32)
-        reach = np.empty((n, width))
+        reach = np.empty((width, n))
         for k, one in enumerate(each):
             share = np.exp((one - top).astype(np.float32))
             so_far += share
-            reach[:, k] = so_far
+            reach[k] = so_far
             count += ways[here + k + 1] * (share > 0)
         rest[here] = top + np.log(so_far)
         ways[here] = np.minimum(count, 1e15)
         # Whatever is drawn, the last possible piece is within reach.
-        lattices.reach[here, :width] = np.where(reach >= so_far[:, None], 2, reach / so_far[:, None])
+        reach /= so_far
+        reach[reach >= 1] = 2
+        lattices.reach[here, :width] = reach.T
     logs.clear()
     lattices.ids = np.stack(pieces, axis=1)
     return lattices
@@ -260,13 +266,17 @@ def sample_units(lattices: Lattices, kinds: np.ndarray, keys: np.ndarray) -> Sam
         whose.append(active)
         which.append(lattices.ids[here, size])
         here = here + size + 1
-        more = here < end
+        more = np.flatnonzero(here < end)
         here, end, keys, active = here[more], end[more], keys[more], active[more]
         step += 1
-    whose = np.concatenate(whose + [np.zeros(0, np.int64)])
-    ids = np.concatenate(which + [np.zeros(0, np.int32)])
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=len(kinds)))])
-    return Sampled(ids[np.argsort(whose, kind="stable")], bounds)
+    counts = np.zeros(len(kinds), np.int64)
+    for units in whose:
+        counts[units] += 1
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    ids = np.empty(int(bounds[-1]), np.int32)
+    for k, (units, found) in enumerate(zip(whose, which)):
+        ids[bounds[units] + k] = found
+    return Sampled(ids, bounds)
 
 
 def sample_others(lattices: Lattices, kinds: np.ndarray, keys: np.ndarray,
@@ -365,10 +375,9 @@ def search(lattices: Lattices, kinds: np.ndarray, bounds: np.ndarray, seeds: np.
     rounds: list[list[int]] = []
     root = uniform(draw_keys(seeds, 3, np.zeros(texts, np.int64)), 0)
     for k in range(samples):
-        fresh = sample_units(lattices, kinds, draw_keys(seeds[text_of], 4 * k, place))
         if k == 0:
             chosen = [(t, -1, 0, []) for t in range(texts)]
-            run = fresh
+            run = sample_units(lattices, kinds, draw_keys(seeds[text_of], 0, place))
         else:
             chosen = []
             take = np.full(len(kinds), k)  # the run that each unit is copied from
@@ -383,6 +392,12 @@ def search(lattices: Lattices, kinds: np.ndarray, bounds: np.ndarray, seeds: np.
             at = np.array([bounds[t] + unit for t, _, unit, _ in chosen], np.int64)
             others = sample_others(lattices, kinds[at], draw_keys(seeds[text_of[at]], 4 * k + 1, place[at]),
                                    [barred for *_, barred in chosen])
+            # Only units that aren't copied are drawn.
+            drawn_at = np.flatnonzero(take == k)
+            fresh = sample_units(lattices, kinds[drawn_at], draw_keys(seeds[text_of[drawn_at]], 4 * k, place[drawn_at]))
+            counts = np.zeros(len(kinds), np.int64)
+            counts[drawn_at] = np.diff(fresh.bounds)
+            fresh = Sampled(fresh.ids, np.concatenate([[0], np.cumsum(counts)]))
             run = merged([*runs, fresh], take, dict(zip(at.tolist(), others)))
         weight = lattices.weight(run.ids)
         rounds.append([t for t, *_ in chosen])

@@ -159,3 +159,18 @@ def test_copy_numbers_go_on_over_batches():
     assert segmentations.copy_numbers(ids, None).tolist() == [0, 1, 2, 0, 1, 0]
     assert segmentations.copy_numbers(ids, (4, 2)).tolist() == [3, 4, 5, 0, 1, 0]
     assert segmentations.copy_numbers(ids, (3, 2)).tolist() == [0, 1, 2, 0, 1, 0]
+
+
+def test_units_that_are_copied_are_not_drawn_again(monkeypatch):
+    """What stands before a sample's first new unit comes from the sample it was split off."""
+    drawn, draw = [], segmentations.sample_units
+
+    def counted(lattices, kinds, keys):
+        drawn.append(len(kinds))
+        return draw(lattices, kinds, keys)
+
+    monkeypatch.setattr(segmentations, "sample_units", counted)
+    texts = pa.array([f"the {k} quick brown foxes jumped over several lazy dogs, again and again" for k in range(60)])
+    found = list(segmentations.sampled_batches(pa.array(range(60)), texts, VOCABULARY, 2, 7))
+    assert sum(b.num_rows for b in found) == 120
+    assert sum(n == drawn[0] for n in drawn) == 1 and max(drawn[1:]) < drawn[0]
